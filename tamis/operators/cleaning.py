@@ -7,6 +7,7 @@ from has changed.  A plan is a fold of DataFrame transformations: one lazy Spark
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from tamis.functions import text
 from tamis.operators import quantiles
 from tamis.operators.columns import columns_of, melt, quoted
-from tamis.operators.crosscheck import folded
+from tamis.operators.crosscheck import folded, orphan_keys
+from tamis.operators.duplicates import duplicate_rows
+from tamis.operators.local import local_table
+from tamis.operators.lookup import attach
 from tamis.session import written
 
 IMPUTE, DEDUPE, DATES, SPELLINGS, OUTLIERS, NEGATIVES, ORPHANS = (
@@ -59,17 +63,40 @@ def handle_outliers(df: DataFrame, column: str, order_index: int = 0, drop: bool
 
 
 def spellings(df: DataFrame, column: str) -> DataFrame:
-    """Rows (forme, retenue): each caseless form and its most frequent spelling."""
+    """Rows (cle, valeur, occurrences): each spelling to replace, and the one that replaces it.
+
+    The most frequent spelling of a caseless form is kept, the first in order among equals.
+    Forms written in one way only, nearly all of a varied column, are not in the table.
+    """
     value = quoted(column)
-    counted = df.where(value.isNotNull()).groupBy(value.alias("brute")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(folded(F.col("brute")).alias("forme")).agg(
-        F.min_by("brute", F.struct(-F.col("n"), F.col("brute"))).alias("retenue")
+    counted = (
+        df.where(value.isNotNull()).groupBy(value.alias("cle"))
+        .agg(F.count(F.lit(1)).alias("occurrences"))
+        .withColumn("forme", folded(F.col("cle")))
     )
+    kept = counted.groupBy("forme").agg(
+        F.min_by("cle", F.struct(-F.col("occurrences"), F.col("cle"))).alias("valeur"),
+        F.count(F.lit(1)).alias("graphies"),
+    ).where("graphies > 1")
+    return counted.join(kept, "forme").where("cle != valeur").select("cle", "valeur", "occurrences")
 
 
 def regroup_spellings(df: DataFrame, column: str, order_index: int = 0) -> CleaningAction:
-    """The spellings may be many: they are kept as a written table, not as a parameter."""
-    return CleaningAction(order_index, SPELLINGS, column, {"table": written(spellings(df, column), "graphies")})
+    return CleaningAction(order_index, SPELLINGS, column, _kept(df, spellings(df, column), "graphies"))
+
+
+def flag_orphans(
+    df: DataFrame, column: str, known: DataFrame, known_key: str, order_index: int = 0
+) -> CleaningAction:
+    lost = orphan_keys(df, known, key=column, dimension_key=known_key)
+    table = lost.select("cle", F.lit(True).alias("valeur"), F.col("nb_lignes").alias("occurrences"))
+    return CleaningAction(order_index, ORPHANS, column, _kept(df, table, "orphelins"))
+
+
+def _kept(df: DataFrame, table: DataFrame, label: str) -> dict:
+    """A table of values may be long: it is kept as a written table, with its measured size."""
+    stored = written(table, label)
+    return {"table": stored, "size": stored.count(), "total": df.count()}
 
 
 # --- Replaying ----------------------------------------------------------------------------
@@ -88,7 +115,7 @@ def rows_affected(df: DataFrame, actions: Iterable[CleaningAction]) -> list[tupl
     counts, state = [], df
     for action in _enabled(actions):
         if action.action_type == DEDUPE:
-            affected = state.groupBy(*state.columns).count().agg(F.sum(F.col("count") - 1)).head()[0] or 0
+            affected = duplicate_rows(state).head()["doublons"]
         else:
             affected = _marked(state, action).agg(F.count_if("_touchee")).head()[0]
         counts.append((action.order_index, affected))
@@ -132,15 +159,9 @@ def _marked(df: DataFrame, action: CleaningAction) -> DataFrame:
         return _with(df, (value < params["low"]) | (value > params["high"]))
     if action.action_type == NEGATIVES:
         return _with(df, value < 0)
-    if action.action_type == ORPHANS:
-        known = params["known"].select(quoted(params["key"]).alias("_cle")).distinct()
-        joined = df.join(known.withColumn("_connue", F.lit(True)), value == F.col("_cle"), "left")
-        return _with(joined, value.isNotNull() & F.col("_connue").isNull())
-    if action.action_type == SPELLINGS:
-        table = params["table"].select(F.col("forme").alias("_forme"), F.col("retenue").alias("_retenue"))
-        # The optimizer broadcasts the spellings only if their size, once known, allows it.
-        joined = df.join(table, folded(value) == F.col("_forme"), "left")
-        return _with(joined, F.col("_retenue").isNotNull() & (F.col("_retenue") != value), F.col("_retenue"))
+    if action.action_type in (SPELLINGS, ORPHANS):
+        found = attach(df, value, params["table"], size=params["size"], total=params["total"])
+        return _with(found, F.col("_valeur").isNotNull(), F.col("_valeur"))
     raise ValueError(f"action inconnue : {action.action_type}")
 
 
@@ -151,10 +172,6 @@ def _with(df: DataFrame, touched: Column, new: Column | None = None) -> DataFram
 
 def plan_table(spark: SparkSession, file_id: str, actions: Sequence[CleaningAction], affected=()) -> DataFrame:
     """The plan as rows to store; parameters that are tables are stored by their files."""
-    import json
-
-    from tamis.operators.local import local_table
-
     counts = dict(affected)
 
     def stored(value):

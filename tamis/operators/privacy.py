@@ -13,15 +13,10 @@ from tamis.functions import fixed, text
 from tamis.operators import frequency
 from tamis.operators.columns import INTEGER, TEXT, ColumnRef, columns_of, melt, quoted
 from tamis.operators.local import local_table
+from tamis.operators.lookup import BROADCAST_ROWS, attach
 from tamis.operators.ranks import number_in_order
 from tamis.session import written
 
-# Token tables up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_TOKENS = 200_000
-# A value held by more than this share of the rows is "hot": there are at most 10,000 of them.
-HOT_SHARE = 1e-4
-SPREAD = 1024
-
 TOKEN_SCHEMA = "colonne string, empreinte string, jeton string"
 VAULT_SCHEMA = "type_pii string, empreinte string, rang bigint, jeton string"
 
@@ -161,53 +156,34 @@ def mask(
     *,
     key: str | None = None,
     normalise: bool = False,
-    broadcast_rows: int = BROADCAST_TOKENS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The table with the detected columns replaced by their tokens; missing stays missing.
 
     ``mapping`` holds (colonne, empreinte, jeton, occurrences); give it as a written table, it is
-    counted first.  A small column of tokens is broadcast.  A large one is joined by shuffle:
-    its hot values (at most 10,000, by definition of the share) are broadcast, and they and the
-    missing cells are spread over the partitions instead of meeting in one.
+    counted first, and each column is joined by broadcast or by a skew-proof shuffle accordingly.
     """
-    found = list(found)
     sizes = {
-        row["colonne"]: (row["valeurs"], row["cellules"])
+        row["colonne"]: row.asDict()
         for row in mapping.groupBy("colonne").agg(
-            F.count(F.lit(1)).alias("valeurs"), F.sum("occurrences").alias("cellules")
+            F.count(F.lit(1)).alias("size"), F.sum("occurrences").alias("total")
         ).collect()
     }
     form = _masked_form(normalise)
     out = df
-    for ref in _refs(df, found):
-        values, cells = sizes.get(ref.name, (0, 0))
+    for ref in _refs(df, list(found)):
         own = mapping.where(F.col("colonne") == ref.name).select(
-            F.col("empreinte").alias("_empreinte"), F.col("jeton").alias("_jeton"), "occurrences"
+            F.col("empreinte").alias("cle"), F.col("jeton").alias("valeur"), "occurrences"
+        )
+        measured = sizes.get(ref.name, {"size": 0, "total": 0})
+        found_tokens = attach(
+            out, text.fingerprint(form(ref), key), own,
+            size=measured["size"], total=measured["total"], out="_jeton", broadcast_rows=broadcast_rows,
         )
-        keyed = out.withColumn("_empreinte", text.fingerprint(form(ref), key))
-        if values <= broadcast_rows:
-            joined = keyed.join(F.broadcast(own.drop("occurrences")), "_empreinte", "left")
-        else:
-            joined = _join_spread(keyed, own, cells, df.columns)
-        out = joined.withColumn(ref.name, F.col("_jeton")).select(*[quoted(name) for name in df.columns])
+        out = found_tokens.withColumn(ref.name, F.col("_jeton")).drop("_jeton")
     return out
 
 
-def _join_spread(keyed: DataFrame, own: DataFrame, cells: int, columns: Sequence[str]) -> DataFrame:
-    hot = own.where(F.col("occurrences") > HOT_SHARE * cells).select(
-        "_empreinte", F.col("_jeton").alias("_chaud")
-    )
-    marked = keyed.join(F.broadcast(hot), "_empreinte", "left")
-    cold = F.when(F.col("_chaud").isNull(), F.col("_empreinte"))
-    scattered = F.when(
-        cold.isNull(), F.pmod(F.xxhash64(*[quoted(name).cast("string") for name in columns]), F.lit(SPREAD))
-    ).otherwise(F.lit(0).cast("long"))
-    left = marked.withColumn("_froid", cold).withColumn("_part", scattered).drop("_empreinte")
-    right = own.select(F.col("_empreinte").alias("_froid"), F.lit(0).cast("long").alias("_part"), "_jeton")
-    joined = left.join(right, ["_froid", "_part"], "left")
-    return joined.withColumn("_jeton", F.coalesce("_chaud", "_jeton"))
-
-
 def pseudonymise(
     df: DataFrame,
     found: Iterable[Detection],
@@ -215,7 +191,7 @@ def pseudonymise(
     order_by: str | None = None,
     key: str | None = None,
     normalise: bool = False,
-    broadcast_rows: int = BROADCAST_TOKENS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """The masked table, and its tokens (colonne, empreinte, jeton).
 
@@ -306,7 +282,7 @@ def vault_mapping(
 def leaks(masked: DataFrame, mapping: DataFrame, *, key: str | None = None, exclude: Sequence[str] = ()) -> DataFrame:
     """Rows (colonne, empreinte) of cells of the masked table that still hold an original value.
 
-    Empty when nothing leaked.  Values are counted once before they are fingerprinted.
+    Empty when nothing leaked.  Cells are reduced to fingerprints before anything is moved.
     """
     texts = [ref for ref in columns_of(masked, exclude) if ref.family in (TEXT, INTEGER)]
     names = local_table(
