@@ -68,8 +68,7 @@ def accentless(value: Column) -> Column:
 
 def first_word(stripped: Column) -> Column:
     """First word of a stripped text, missing when the text is blank."""
-    spaced = F.translate(stripped, BLANKS, " " * len(BLANKS))
-    return F.nullif(F.substring_index(spaced, " ", 1), F.lit(""))
+    return F.when(stripped != "", F.regexp_extract(stripped, f"^[^{BLANKS}]+", 0))
 
 
 def shown(value: Column) -> Column:

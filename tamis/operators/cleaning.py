@@ -56,7 +56,7 @@ def impute_mean(df: DataFrame, column: str, order_index: int = 0) -> CleaningAct
 def handle_outliers(df: DataFrame, column: str, order_index: int = 0, drop: bool = False) -> CleaningAction:
     refs = [ref for ref in columns_of(df) if ref.name == column]
     numbers = melt(df, refs, lambda ref: ref.number)
-    quartiles = quantiles.exact_quartiles(numbers, quantiles.sketches(numbers).collect()).collect()
+    quartiles = quantiles.quartiles(numbers, quantiles.sketches(numbers).collect())
     limits = [(low, high) for _, low, high in quantiles.fences(quartiles)]
     low, high = limits[0] if limits else (None, None)
     return CleaningAction(order_index, OUTLIERS, column, {"low": low, "high": high, "drop": drop})

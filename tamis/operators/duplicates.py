@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.operators.columns import NESTED, ColumnRef, columns_of, quoted
+from tamis.operators.columns import NESTED, TEXT, ColumnRef, columns_of, quoted
 
 
 def row_digest(refs: Sequence[ColumnRef]) -> Column:
@@ -24,12 +24,35 @@ def row_digest(refs: Sequence[ColumnRef]) -> Column:
     return F.unhex(F.sha2(F.concat_ws(",", *cells), 256))
 
 
+# Beyond these, a digest is narrower than the cells it stands for.
+FIXED_CELLS = 16
+TEXT_CELLS = 2
+TEXT_LENGTH = 64
+
+
+def row_key(refs: Sequence[ColumnRef]) -> list[Column]:
+    """Columns that are equal exactly when rows are, no wider than needed.
+
+    Numbers and dates are compared as they are; texts by value while they are few and short,
+    otherwise by digest.
+    """
+    fixed = [ref for ref in refs if ref.family not in (NESTED, TEXT)]
+    texts = [ref for ref in refs if ref.family in (NESTED, TEXT)]
+    if len(fixed) > FIXED_CELLS:
+        return [row_digest(refs).alias("_0")]
+    keys = [ref.value.alias(f"_{ref.index}") for ref in fixed]
+    if len(texts) > TEXT_CELLS or any(ref.family == NESTED for ref in texts):
+        return [*keys, row_digest(texts).alias("_t")]
+    for ref in texts:
+        short = F.char_length(ref.value) <= TEXT_LENGTH
+        digest = F.when(~short, F.unhex(F.sha2(ref.value, 256)))
+        keys += [F.when(short, ref.value).alias(f"_{ref.index}"), digest.alias(f"_{ref.index}d")]
+    return keys
+
+
 def duplicate_rows(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """One row (nb_lignes, doublons)."""
-    refs = columns_of(df, exclude)
-    narrow = len(refs) <= 8 and all(ref.family not in (NESTED, "text") for ref in refs)
-    key = [ref.value.alias(f"_{ref.index}") for ref in refs] if narrow else [row_digest(refs).alias("_0")]
-    distinct = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    distinct = df.groupBy(*row_key(columns_of(df, exclude))).agg(F.count(F.lit(1)).alias("n"))
     return distinct.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("nb_lignes"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("doublons"),

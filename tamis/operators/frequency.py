@@ -28,29 +28,36 @@ def count_texts(df: DataFrame, refs: Sequence[ColumnRef]) -> DataFrame:
     ``v`` is the value, or its digest when it is long.  Whatever has to be known about a long
     text is read off the whole text before it is replaced, and kept in ``long``.
     """
-    return melt(df, refs).groupBy("c", *_keys()).agg(F.count(F.lit(1)).alias("n"))
-
-
-@lru_cache(maxsize=1)
-def _keys() -> tuple[Column, Column]:
-    value = F.col("v")
-    return (
-        text.short_key(value).alias("v"),
-        F.when(text.is_long(value), _facts(value)).alias("long"),
+    # One projection per step, so that a long text is trimmed, folded and digested once.
+    steps = _long_steps()
+    rows = melt(df, refs)
+    for step in steps[:-1]:
+        rows = rows.withColumns(step)
+    return rows.groupBy("c", *[column.alias(name) for name, column in steps[-1].items()]).agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 
-def _facts(value: Column) -> Column:
-    stripped = text.strip(value)
-    word = text.first_word(stripped)
-    return F.struct(
-        text.short_key(stripped).alias("stripped"),
-        text.short_key(text.caseless(stripped)).alias("folded"),
+@lru_cache(maxsize=1)
+def _long_steps() -> list[dict[str, Column]]:
+    value, stripped, word = F.col("v"), F.col("_stripped"), F.col("_word")
+    long = F.col("_long")
+    facts = F.struct(
+        F.col("_skey").alias("stripped"),
+        text.short_key(F.col("_folded")).alias("folded"),
         F.when(~text.is_long(stripped), stripped).alias("readable"),
-        text.matches_pii(stripped, fixed.EMAIL).alias("email"),
-        F.coalesce(text.is_known_name(F.when(F.char_length(word) <= 64, word)), F.lit(False)).alias("name"),
-        text.shown(value).alias("shown"),
+        F.coalesce(text.matches_pii(stripped, fixed.EMAIL), F.lit(False)).alias("email"),
+        F.coalesce(text.is_known_name(word), F.lit(False)).alias("name"),
+        F.when(long, text.shown(value)).alias("shown"),
     )
+    return [
+        {"_long": text.is_long(value)},
+        {"_stripped": F.when(long, text.strip(value))},
+        {"_folded": text.caseless(stripped), "_skey": text.short_key(stripped), "_word": text.first_word(stripped)},
+        {"_word": F.when(F.char_length(word) <= 64, word)},
+        {"_facts": F.when(long, facts)},
+        {"v": F.when(long, text.short_key(value)).otherwise(value), "long": F.col("_facts")},
+    ]
 
 
 # Counters kept per value, and the text of which each is true.

@@ -15,6 +15,7 @@ from tamis.operators.columns import INTEGER, TEXT, ColumnRef, columns_of, melt,
 from tamis.operators.local import local_table
 from tamis.operators.lookup import BROADCAST_ROWS, attach
 from tamis.operators.ranks import number_in_order
+from tamis.operators.spread import spread
 from tamis.session import written
 
 TOKEN_SCHEMA = "colonne string, empreinte string, jeton string"
@@ -39,7 +40,7 @@ def detect(df: DataFrame, *, exclude: Sequence[str] = ()) -> DataFrame:
 
     Match rates are counted where the rows are: only one row of counters per column moves.
     """
-    refs = columns_of(df, exclude)
+    df, refs = spread(df), columns_of(df, exclude)
     texts = [ref for ref in refs if ref.family == TEXT]
     integers = [ref for ref in refs if ref.family == INTEGER]
     parts = []

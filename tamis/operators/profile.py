@@ -17,6 +17,7 @@ from tamis.operators.columns import (
 )
 from tamis.operators.duplicates import duplicate_rows
 from tamis.operators.local import local_table
+from tamis.operators.spread import held
 
 # Rows looked at first for the examples; columns that need more are completed exactly.
 PEEK_ROWS = 200
@@ -24,6 +25,8 @@ PEEK_ROWS = 200
 _TOP = "array<struct<valeur:string,occurrences:bigint>>"
 _TABLE_ROW = -1  # index under which the measures of the whole table travel
 
+CONCURRENT_JOBS = 4
+
 EVERYTHING = ("examples", "duplicates", "top_values", "statistics", "outliers")
 
 _FIELDS = (
@@ -56,20 +59,27 @@ def measure(
     values a profile displays.  Columns named in ``order_by`` give the row order (default: the
     order in which files are read).
     """
+    with held(df) as table:
+        return _measured(df, table, order_by, exclude, wanted)
+
+
+def _measured(
+    df: DataFrame, table: DataFrame, order_by: Sequence[str] | None, exclude: Sequence[str], wanted: Sequence[str]
+) -> DataFrame:
     refs = columns_of(df, exclude)
-    branches = [lambda group=group: _value_branch(df, group, wanted) for group in families(refs)]
+    branches = [lambda group=group: _value_branch(table, group, wanted) for group in families(refs)]
     numeric = [ref for ref in refs if ref.family in NUMERIC]
     if numeric and {"statistics", "outliers"} & set(wanted):
-        branches.append(lambda: _numeric_branch(df, numeric, wanted))
+        branches.append(lambda: _numeric_branch(table, numeric, wanted))
     if "examples" in wanted:
         branches.append(lambda: [
             Row(c=index, exemples=values) for index, values in first_examples(df, refs, order_by).items()
         ])
     if "duplicates" in wanted:
-        branches.append(lambda: duplicate_rows(df, exclude).withColumn("c", F.lit(_TABLE_ROW)).collect())
+        branches.append(lambda: duplicate_rows(table, exclude).withColumn("c", F.lit(_TABLE_ROW)).collect())
 
     found = {ref.index: {"c": ref.index, "nom": ref.name, "famille": ref.family} for ref in refs}
-    with ThreadPoolExecutor(len(branches)) as pool:
+    with ThreadPoolExecutor(CONCURRENT_JOBS) as pool:
         for rows in pool.map(lambda branch: branch(), branches):
             for row in rows:
                 found.setdefault(row["c"], {"c": row["c"]}).update(row.asDict(recursive=True))
@@ -97,21 +107,34 @@ def _value_branch(df: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[st
         )
         parts = [measured]
         printed = values.withColumn("v", F.col("v").cast("string")).withColumn("rang", F.col("v"))
-        if family in NUMERIC:
-            # Columns that carry statistics do not show their frequent values.
-            listed = measured.where(F.col("entiers") & (F.col("binaire") | _near_unique()))
-            printed = printed.join(F.broadcast(listed.select("c")), "c", "left_semi")
+        # Columns that carry statistics do not show their frequent values.
+        listed = measured.where(F.col("entiers") & (F.col("binaire") | _near_unique())).select("c")
+        if family == INTEGER:
+            printed = printed.join(F.broadcast(listed), "c", "left_semi")
+        elif family in NUMERIC:
+            return _merged(measured) + _listed_values(df, group, listed, wanted)
     if "top_values" in wanted and family != NESTED:
         parts.append(_top_values(printed))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return _merged(rows)
 
 
+def _listed_values(
+    df: DataFrame, group: Sequence[ColumnRef], listed: DataFrame, wanted: Sequence[str]
+) -> list[Row]:
+    """Frequent values of decimal columns, which only the rare whole-valued ones show."""
+    shown = {row["c"] for row in listed.collect()} if "top_values" in wanted else set()
+    if not shown:
+        return []
+    values = frequency.count_values(df, [ref for ref in group if ref.index in shown])
+    return _top_values(values.withColumn("v", F.col("v").cast("string")).withColumn("rang", F.col("v"))).collect()
+
+
 def _numeric_branch(df: DataFrame, numeric: Sequence[ColumnRef], wanted: Sequence[str]) -> list[Row]:
     """Moments, quartiles and outliers: three passes over the numeric columns, no value shuffled."""
     numbers = melt(df, numeric, lambda ref: ref.number)
     measured = _numeric_measures(numbers).collect()
-    quartiles = quantiles.exact_quartiles(numbers, measured).collect()
+    quartiles = quantiles.quartiles(numbers, measured)
     rows = [Row(**{k: v for k, v in row.asDict().items() if k != "cuts"}) for row in measured]
     rows += quartiles
     if "outliers" in wanted:
@@ -127,12 +150,12 @@ def _merged(rows: DataFrame) -> list[Row]:
 def _numeric_measures(numbers: DataFrame) -> DataFrame:
     """One row per numeric column, from rows (c, v double); nothing is shuffled but the result."""
     v = F.col("v")
-    return numbers.groupBy("c").agg(
+    return quantiles.cuts_of(numbers.groupBy("c").agg(
         F.count("v").alias("renseignees"),
         F.min("v").alias("minimum"), F.max("v").alias("maximum"),
         F.avg("v").alias("moyenne"), F.stddev_pop("v").alias("ecart_type"),
-        quantiles.bracket(v).alias("cuts"),
-    )
+        quantiles.bracket().alias("croquis"),
+    ))
 
 
 def _social_security(family: str) -> Column:

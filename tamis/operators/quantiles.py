@@ -5,11 +5,12 @@
 1. one mergeable sketch per column brackets each quartile between two values (columns with few
    values stop here: ``percentile`` is safe once the number of values is known to be small);
 2. one pass counts exactly the rows below, between and above the brackets, and keeps the values
-   only inside them (a few ten-thousandths of a large table), cut into equal-width slices;
+   only inside them (about a hundredth of a large table), cut into equal-width slices;
 3. the slices that hold a wanted rank are found from exact totals, and only their values are
    ordered, one task per slice.
 
-Ranks are located by exact counts, so the sketch decides the amount of work, not the result.
+Ranks are located by exact counts, so the sketch decides the amount of work, not the result.  If
+it ever misses a rank, the column is done again with its extremes as the bracket.
 """
 
 from __future__ import annotations
@@ -26,23 +27,49 @@ from tamis.operators.ranks import running_before
 
 PROBABILITIES = (0.25, 0.5, 0.75)
 NAMES = ("q25", "q50", "q75")
-SKETCH_ACCURACY = 10_000
+BOUNDS = ("bas25", "haut25", "bas50", "haut50", "bas75", "haut75")
+# Size of the sketch, and a margin of more than twice the rank error it is known for.
+SKETCH_SIZE = 4000
+MARGIN = 0.003
 # A column with no more values than this may be ordered in one task.
 SMALL_COLUMN = 200_000
 SLICES = 4096
 OUTSIDE = -1
 
 
-def bracket(value: Column) -> Column:
-    """Sketch aggregate giving, in order, a lower and an upper bracket for each quartile."""
-    margin = 2.0 / SKETCH_ACCURACY
-    cuts = [p + side * margin for p in PROBABILITIES for side in (-1, 1)]
-    return F.percentile_approx(value, cuts, SKETCH_ACCURACY)
+def bracket() -> Column:
+    """Sketch aggregate over the values ``v``."""
+    return F.expr(f"kll_sketch_agg_double(v, {SKETCH_SIZE})")
+
+
+def cuts_of(sketched: DataFrame) -> DataFrame:
+    """Replace the column ``croquis`` by ``cuts``: lower and upper bracket of each quartile."""
+    places = [p + side * MARGIN for p in PROBABILITIES for side in (-1, 1)]
+    read = ", ".join(f"CAST({place:.6f} AS DOUBLE)" for place in places)
+    cuts = F.when(F.col("renseignees") > 0, F.expr(f"kll_sketch_get_quantile_double(croquis, array({read}))"))
+    return sketched.withColumn("cuts", cuts).drop("croquis")
 
 
 def sketches(numbers: DataFrame) -> DataFrame:
-    """Per column ``c``: number of values and brackets, from rows (c, v)."""
-    return numbers.groupBy("c").agg(F.count("v").alias("renseignees"), bracket(F.col("v")).alias("cuts"))
+    """Per column ``c``: number of values, extremes and brackets, from rows (c, v)."""
+    return cuts_of(numbers.groupBy("c").agg(
+        F.count("v").alias("renseignees"), F.min("v").alias("minimum"), F.max("v").alias("maximum"),
+        bracket().alias("croquis"),
+    ))
+
+
+def quartiles(numbers: DataFrame, sketched: Iterable[Row], small: int = SMALL_COLUMN) -> list[Row]:
+    """Rows (c, q25, q50, q75) on the driver, one per column of the table."""
+    sketched = list(sketched)
+    found = exact_quartiles(numbers, sketched, small).collect()
+    missed = {row["c"] for row in found if any(value is None for value in row)}
+    if missed:
+        wide = [
+            Row(c=row["c"], renseignees=row["renseignees"], cuts=[row["minimum"], row["maximum"]] * len(NAMES))
+            for row in sketched if row["c"] in missed
+        ]
+        found = [row for row in found if row["c"] not in missed] + exact_quartiles(numbers, wide, small).collect()
+    return found
 
 
 def exact_quartiles(numbers: DataFrame, sketched: Iterable[Row], small: int = SMALL_COLUMN) -> DataFrame:
@@ -69,7 +96,7 @@ def _narrowed(numbers: DataFrame, sketched: Iterable[Row]) -> DataFrame:
     columns = _local_columns(numbers, sketched)
     zone, held = _placement()
     v = F.col("v")
-    located = numbers.where(v.isNotNull()).join(columns.select("c", "cuts"), "c")
+    located = numbers.where(v.isNotNull()).join(columns.select("c", *BOUNDS), "c")
     zoned = located.select("c", zone.alias("zone"), held.alias("slice"), "v")
     # A cut changes the zone, so a zone lies wholly inside or wholly outside the brackets.
     merged = zoned.groupBy(
@@ -96,9 +123,9 @@ def _local_columns(numbers: DataFrame, sketched: Iterable[Row]) -> DataFrame:
             "c": row["c"],
             "wanted": [rank(place) for place in places for rank in (math.floor, math.ceil)],
             "parts": [place - math.floor(place) for place in places],
-            "cuts": [float(cut) for cut in row["cuts"]],
+            **dict(zip(BOUNDS, map(float, row["cuts"]))),
         })
-    schema = "c int, wanted array<bigint>, parts array<double>, cuts array<double>"
+    schema = "c int, wanted array<bigint>, parts array<double>, " + ", ".join(f"{name} double" for name in BOUNDS)
     # One row per column of the table, so broadcasting it is bounded by the table's width.
     return F.broadcast(local_table(numbers.sparkSession, rows, schema))
 
@@ -108,7 +135,7 @@ def _placement() -> tuple[Column, Column]:
     """Zone of a value, increasing with it, and its slice when a bracket holds it."""
     v, zone, held = F.col("v"), F.lit(0), F.lit(None).cast("bigint")
     for i in range(len(PROBABILITIES)):
-        low, high = F.get("cuts", F.lit(2 * i)), F.get("cuts", F.lit(2 * i + 1))
+        low, high = F.col(BOUNDS[2 * i]), F.col(BOUNDS[2 * i + 1])
         zone = zone + (v >= low).cast("int") + (v > high).cast("int")
         held = F.coalesce(held, F.when((v >= low) & (v <= high), _slice(v, low, high)))
     return zone, held
@@ -152,19 +179,19 @@ def _interpolated() -> list[Column]:
     return out
 
 
-def fences(quartiles: Iterable[Row]) -> list[tuple[int, float, float]]:
+def fences(found: Iterable[Row]) -> list[tuple[int, float, float]]:
     """Column, lower and upper fence at 1.5 interquartile ranges; none when the range is zero."""
-    found = []
-    for row in quartiles:
+    limits = []
+    for row in found:
         spread = row["q75"] - row["q25"]
         if spread != 0:
-            found.append((row["c"], row["q25"] - 1.5 * spread, row["q75"] + 1.5 * spread))
-    return found
+            limits.append((row["c"], row["q25"] - 1.5 * spread, row["q75"] + 1.5 * spread))
+    return limits
 
 
-def outlier_counts(numbers: DataFrame, quartiles: Iterable[Row]) -> DataFrame:
+def outlier_counts(numbers: DataFrame, found: Iterable[Row]) -> DataFrame:
     """Rows (c, extremes): number of values strictly beyond the fences, from rows (c, v double)."""
-    rows = [{"c": c, "low": low, "high": high} for c, low, high in fences(quartiles)]
+    rows = [{"c": c, "low": low, "high": high} for c, low, high in fences(found)]
     limits = local_table(numbers.sparkSession, rows, "c int, low double, high double")
     beyond = (F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))
     return (  # the fences are one row per column of the table

@@ -211,7 +211,7 @@ def iqr_outliers(spark, folder):
     ):
         refs = columns_of(df)
         numbers = melt(df, refs, lambda ref: ref.number)
-        quartiles = quantiles.exact_quartiles(numbers, quantiles.sketches(numbers).collect()).collect()
+        quartiles = quantiles.quartiles(numbers, quantiles.sketches(numbers).collect())
         beyond = quantiles.outlier_counts(numbers, quartiles)
         values = {f"q{p}": F.lit(quartiles[0][f"q{p}"]) for p in (25, 50, 75)}
         frames.append(beyond.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,7 +146,7 @@ def _needs_whole_files(spark: SparkSession, path: str, files: DataFrame) -> bool
     Files no larger than one split are read whole anyway.  Otherwise one pass over the lines
     settles it: if every line has an even number of quotes, no quoted cell crosses a line end.
     """
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB") or 0)
+    split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     if files.agg(F.max("length")).head()[0] <= split:
         return True
     line = F.col("value")
@@ -153,6 +154,12 @@ def _needs_whole_files(spark: SparkSession, path: str, files: DataFrame) -> bool
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
+def size_in_bytes(setting: str) -> int:
+    """A size setting such as ``134217728b`` or ``128MB`` in bytes."""
+    number, unit = re.fullmatch(r"([0-9]+)([a-z]*)", setting.strip().lower()).groups()
+    return int(number) * 1024 ** "bkmgtp".index(unit[:1] or "b")
+
+
 def detect_separator(spark: SparkSession, file: str) -> str:
     """Separator of a file among ``, ; TAB |``, judged on its first 8,192 characters."""
     lines = spark.read.text(file).select(F.substring("value", 1, fixed.SEPARATOR_SAMPLE)).head(256)
