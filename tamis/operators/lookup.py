@@ -33,9 +33,9 @@ def attach(
     """
     columns = [quoted(name) for name in df.columns]
     keyed = df.withColumn("_cle", key)
-    cold = table.select(F.col("cle").alias("_cle"), F.col("valeur").alias(out))
+    cold = table.select(F.col("cle").alias("_cle"), F.col("valeur").alias(out), "occurrences")
     if size <= broadcast_rows:
-        return keyed.join(F.broadcast(cold), "_cle", "left").select(*columns, out)
+        return keyed.join(F.broadcast(cold.drop("occurrences")), "_cle", "left").select(*columns, out)
 
     hot = table.where(F.col("occurrences") > HOT_SHARE * total).select(
         F.col("cle").alias("_cle"), F.col("valeur").alias("_chaud"), F.lit(True).alias("_vu")
@@ -47,6 +47,8 @@ def attach(
     left = marked.withColumn("_froid", left_to_find).withColumn(
         "_part", F.when(F.col("_froid").isNull(), scattered).otherwise(F.lit(0).cast("long"))
     )
-    right = cold.withColumnRenamed("_cle", "_froid").withColumn("_part", F.lit(0).cast("long"))
+    # Always zero, but not a constant: the optimizer would drop a constant from the join keys.
+    zero = F.pmod(F.col("occurrences"), F.lit(1))
+    right = cold.select(F.col("_cle").alias("_froid"), zero.alias("_part"), out)
     joined = left.join(right, ["_froid", "_part"], "left")
     return joined.select(*columns, F.coalesce("_chaud", out).alias(out))
