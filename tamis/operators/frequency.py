@@ -18,12 +18,21 @@ from tamis.operators.columns import ColumnRef, melt
 
 
 def count_values(df: DataFrame, refs: Sequence[ColumnRef]) -> DataFrame:
-    """Rows (c, v, n) of columns of one physical family, missing values included."""
-    return melt(df, refs).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    """Rows (c, v, n) of columns of one physical family; see ``signed_count`` for missing values."""
+    return melt(df, refs).groupBy("c", "v").agg(signed_count("v"))
+
+
+def signed_count(name: str) -> Column:
+    """Number of rows, negative for the row that stands for missing values.
+
+    Consumers tell the two apart by the count.  A filter on the value would be pushed below the
+    exchange, each consumer would get an exchange of its own, and none could be reused.
+    """
+    return F.sum(F.when(F.col(name).isNull(), -1).otherwise(1)).alias("n")
 
 
 def count_texts(df: DataFrame, refs: Sequence[ColumnRef]) -> DataFrame:
-    """Rows (c, v, long, n) of text columns, missing values included.
+    """Rows (c, v, long, n) of text columns; see ``signed_count`` for missing values.
 
     ``v`` is the value, or its digest when it is long.  Whatever has to be known about a long
     text is read off the whole text before it is replaced, and kept in ``long``.
@@ -34,7 +43,7 @@ def count_texts(df: DataFrame, refs: Sequence[ColumnRef]) -> DataFrame:
     for step in steps[:-1]:
         rows = rows.withColumns(step)
     return rows.groupBy("c", *[column.alias(name) for name, column in steps[-1].items()]).agg(
-        F.count(F.lit(1)).alias("n")
+        signed_count("v")
     )
 
 
@@ -95,7 +104,7 @@ def text_measures(texts: DataFrame) -> DataFrame:
     would triple the rows and a set per column would not fit a task.
     """
     valued = (
-        texts.where(F.col("v").isNotNull())
+        texts.where("n > 0")
         .withColumn("readable", _readable())
         .select("c", "n", *_weighted_tests())
     )
@@ -139,7 +148,7 @@ def _weighted_tests() -> list[Column]:
 
 def missing_counts(counted: DataFrame) -> DataFrame:
     """Rows (c, manquantes): the row that stands for the missing values of each column."""
-    return counted.where(F.col("v").isNull()).select("c", F.col("n").alias("manquantes"))
+    return counted.where("n < 0").select("c", (-F.col("n")).alias("manquantes"))
 
 
 def text_rates(df: DataFrame, refs: Sequence[ColumnRef]) -> DataFrame:

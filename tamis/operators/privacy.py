@@ -127,16 +127,17 @@ def tokens(
     firsts = (
         rows.where(F.col("v").isNotNull()).groupBy("c", "v")
         .agg(F.min("position").alias("premiere"), F.count(F.lit(1)).alias("occurrences"))
-    )
+        .select("c", text.fingerprint(F.col("v"), key).alias("empreinte"), "premiere", "occurrences")
+    )  # from here on fingerprints stand for values: nothing written holds one
     kinds = {one.colonne: one.type_pii for one in found}
     labels = local_table(
         df.sparkSession,
         [{"c": ref.index, "colonne": ref.name, "type_pii": kinds[ref.name]} for ref in refs],
         "c int, colonne string, type_pii string",
     )
-    numbered = number_in_order(firsts, ["c"], "premiere", "rang", tie=["v"])
+    numbered = number_in_order(firsts, ["c"], "premiere", "rang", tie=["empreinte"])
     return numbered.join(F.broadcast(labels), "c").select(
-        "colonne", "type_pii", text.fingerprint(F.col("v"), key).alias("empreinte"), "rang",
+        "colonne", "type_pii", "empreinte", "rang",
         text.token(F.col("type_pii"), F.col("rang")).alias("jeton"), "occurrences",
     )
 

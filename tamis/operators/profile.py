@@ -98,8 +98,8 @@ def _value_branch(df: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[st
         whole = F.col("v") % 1 == 0 if family in NUMERIC else F.lit(False)
         binary = F.col("v").isin(0, 1) if family in NUMERIC else F.lit(False)
         measured = values.groupBy("c").agg(
-            F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).cast("long").alias("manquantes"),
-            F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("renseignees"),
+            F.sum(F.greatest(-F.col("n"), F.lit(0).cast("long"))).alias("manquantes"),
+            F.sum(F.greatest(F.col("n"), F.lit(0).cast("long"))).alias("renseignees"),
             F.count("v").alias("distinctes"),
             F.sum(F.when(_social_security(family), F.col("n")).otherwise(0)).cast("long").alias("motif_3"),
             F.bool_and(whole).alias("entiers"),
@@ -172,7 +172,7 @@ def _top_values(counted: DataFrame) -> DataFrame:
     """
     window = Window.partitionBy("c").orderBy(F.desc("n"), "rang", "v")
     best = (
-        counted.where(F.col("v").isNotNull())
+        counted.where("n > 0")
         .select("c", "rang", "v", "n", F.row_number().over(window).alias("place"))
         .where(F.col("place") <= fixed.TOP_VALUE_COUNT)
     )

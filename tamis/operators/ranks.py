@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamis.session import written
+
 BLOCK_BITS = 20
 
 
@@ -29,16 +31,16 @@ def number_in_order(
 
     A whole-number order column that is unique within its group is cut every 2^20, so that a
     block holds at most 2^20 rows, whatever the gaps.  Any other order column is first replaced
-    by its place in a distributed sort, which is such a number.
+    by its place in a distributed sort, which is such a number.  Sizes, offsets and rows must
+    agree on the blocks, so all three read one written table.
     """
-    if not isinstance(df.schema[order].dataType, (T.LongType, T.IntegerType)):
-        ordered = df.sort(F.col(order), *[F.col(name) for name in tie])
-        return number_in_order(
-            ordered.withColumn("_place", F.monotonically_increasing_id()), groups, "_place", out
-        ).drop("_place")
+    if isinstance(df.schema[order].dataType, (T.LongType, T.IntegerType)):
+        placed = df.withColumn("_place", F.col(order).cast("long"))
+    else:
+        placed = df.sort(F.col(order), *tie).withColumn("_place", F.monotonically_increasing_id())
 
     keys = list(groups)
-    blocked = df.withColumn("_block", F.shiftright(F.col(order).cast("long"), BLOCK_BITS))
+    blocked = written(placed, "ordre").withColumn("_block", F.shiftright("_place", BLOCK_BITS))
     sizes = (
         blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_super", F.shiftright("_block", BLOCK_BITS))
@@ -54,9 +56,9 @@ def number_in_order(
         .withColumn("_before", F.col("_base") + running_before("_size", [*keys, "_super"], ["_block"]))
         .select(*keys, "_block", "_before")
     )
-    within = Window.partitionBy(*keys, "_block").orderBy(order, *tie)
+    within = Window.partitionBy(*keys, "_block").orderBy("_place", *tie)
     return (
         blocked.join(offsets, [*keys, "_block"])
         .withColumn(out, F.col("_before") + F.row_number().over(within))
-        .drop("_block", "_before")
+        .drop("_place", "_block", "_before")
     )
