@@ -72,8 +72,13 @@ def first_word(stripped: Column) -> Column:
 
 
 def shown(value: Column) -> Column:
-    """Form in which a value may be displayed: one line, at most 80 characters."""
-    line = strip(F.regexp_replace(value, f"[{BLANKS}]+", " "))
+    """Form in which a value may be displayed: one line, at most 80 characters.
+
+    Up to 81 characters that are not blank, with the blanks before each, decide it entirely: either
+    they are all there is, or their line is already longer than 80.
+    """
+    decisive = F.regexp_extract(value, f"^(?:[{BLANKS}]*[^{BLANKS}]){{0,{fixed.SHOWN_LENGTH + 1}}}", 0)
+    line = strip(F.regexp_replace(decisive, f"[{BLANKS}]+", " "))
     cut = F.concat(F.substring(line, 1, fixed.SHOWN_LENGTH - 1), F.lit(fixed.ELLIPSIS))
     return F.when(F.char_length(line) <= fixed.SHOWN_LENGTH, line).otherwise(cut)
 

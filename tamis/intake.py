@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamis.functions import fixed
 from tamis.operators import privacy
 from tamis.operators.profile import measure, profile_from
-from tamis.sources import loader, registry
+from tamis.sources import loader, registry, sinks
 
 
 @dataclass(frozen=True)
@@ -27,8 +27,8 @@ class Store:
     def mappings(self) -> str:
         return f"{self.folder}/jetons"
 
-    def masked(self, file_id: str, version: int) -> str:
-        return f"{self.folder}/masques/{file_id}-v{version}.parquet"
+    def masked(self, file_id: str, version: int, kind: str) -> str:
+        return f"{self.folder}/masques/{file_id}-v{version}.{kind}"
 
 
 def examine(df: DataFrame, order_by: str | None = None) -> tuple[dict, list[privacy.Detection]]:
@@ -66,9 +66,13 @@ def prepared(
     )
 
 
-def pseudonymise(spark: SparkSession, store: Store, file_id: str, *, key: str | None = None) -> dict:
+def pseudonymise(
+    spark: SparkSession, store: Store, file_id: str, *, key: str | None = None, kind: str = "parquet"
+) -> dict:
     """Mask a registered dataset into a new table; returns the new registry row and a summary.
 
+    ``kind`` is the format of the new table, ``parquet`` or ``csv``.
+
     Data and tokens are written to new places first and the registry row last, so an
     interruption leaves the dataset as it was.  The original is never overwritten while read.
     """
@@ -79,10 +83,10 @@ def pseudonymise(spark: SparkSession, store: Store, file_id: str, *, key: str |
     masked, mapping = privacy.pseudonymise(table, found, order_by=loader.POSITION, key=key)
 
     version = row["version"] + 1
-    path = store.masked(file_id, version)
-    masked.drop(loader.POSITION).write.parquet(path)
+    path = store.masked(file_id, version, kind)
+    sinks.write_table(masked.drop(loader.POSITION), path)
     registry.append_mapping(mapping, file_id, store.mappings)
-    profiled, _ = examine(spark.read.parquet(path))
+    profiled, _ = examine(loader.load(spark, path))
     new = registry.entry(
         workspace=row["workspace_id"], path=path, size=row["size_bytes"], profile=profiled["profile"],
         score=profiled["score"], status=fixed.PII_MASKED, version=version, file_id=file_id, name=row["name"],

@@ -21,7 +21,7 @@ from tamis.operators.profile import (
 from tamis.plans import statements as sql
 from tamis.plans import views
 from tamis.session import shared_folder, written
-from tamis.sources import loader, registry
+from tamis.sources import loader, registry, sinks
 from tamis.streaming.intake import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,27 +74,16 @@ def promotion_types(spark, folder):
     return local_table(spark, rows, "colonne string, type string")
 
 
-def _write_csv(df: DataFrame, folder: str, separator: str = ";") -> str:
-    path = f"{folder}/table.csv"
-    (
-        df.write.option("header", True).option("sep", separator).option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .mode("append").csv(path)
-    )
-    return path
-
-
 @query("ingest_csv_roundtrip", sql.over([sql.staff_sql()], f"SELECT {', '.join(views.STAFF_COLUMNS)} FROM staff"))
 def ingest_csv_roundtrip(spark, folder):
-    path = _write_csv(views.staff(spark, folder), _new_folder(spark, "aller-retour"))
-    return loader.load(spark, path)
+    path = f"{_new_folder(spark, 'aller-retour')}/table.csv"
+    return loader.load(spark, sinks.write_table(views.staff(spark, folder), path, separator=";"))
 
 
 @query("intake_stream", "SELECT 'csv' AS format, 'detectee' AS pii_status, count(*) AS nb_lignes FROM customer")
 def intake_stream(spark, folder):
-    drop, store = _new_folder(spark, "depot"), intake.Store(_new_folder(spark, "registre"))
-    views.staff(spark, folder).repartition(2, "cle").write.option("header", True).option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(drop)
+    drop, store = f"{_new_folder(spark, 'depot')}/entrees.csv", intake.Store(_new_folder(spark, "registre"))
+    sinks.write_table(views.staff(spark, folder).repartition(2, "cle"), drop)
     watch(spark, drop, store, "w1").awaitTermination()
     rows = registry.current(registry.read(spark, store.registry))
     return rows.groupBy("format", "pii_status").agg(

@@ -111,7 +111,8 @@ def store(tmp_path):
     return intake.Store(str(tmp_path / "store"))
 
 
-def test_intake_registers_each_file_once_and_masks_it_once(spark, tmp_path, store):
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_intake_registers_each_file_once_and_masks_it_once(spark, tmp_path, store, kind):
     drop = tmp_path / "drop"
     drop.mkdir()
     (drop / "people.csv").write_text("email;montant;v\na@b.fr;1,5;1\nc@d.fr;2,5;2\na@b.fr;3,5;3\n")
@@ -124,9 +125,10 @@ def test_intake_registers_each_file_once_and_masks_it_once(spark, tmp_path, stor
     assert (listed.name, listed.pii_status) == ("people.csv", "detectee")
     assert json.loads(registry.profile_of(rows, listed.id))["nb_lignes"] == 3
 
-    result = intake.pseudonymise(spark, store, listed.id)
+    result = intake.pseudonymise(spark, store, listed.id, kind=kind)
     assert (result["colonnes_masquees"], result["valeurs_masquees"]) == (["email"], 2)
-    content = spark.read.parquet(result["path"]).sort("v").collect()
+    assert result["format"] == kind
+    content = tamis.load(spark, result["path"]).sort("v").collect()
     assert [row.email for row in content] == ["email_001@masked.local", "email_002@masked.local", "email_001@masked.local"]
     assert spark.read.parquet(store.mappings).count() == 2
     assert "a@b.fr" not in result["profile"] and "a@b.fr" in (drop / "people.csv").read_text()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis import context, profile
+from tamis.functions import text
 from tamis.operators import spread
 
 
@@ -179,3 +180,16 @@ def test_context_carries_no_rows_and_can_withhold_columns(dirty):
 def test_names_with_dots_and_backquotes(spark):
     odd = frame(spark, **{"a.b": [1, 2], "c`d": ["x", "y"]})
     assert [entry["nom"] for entry in profiled(odd)["colonnes"]] == ["a.b", "c`d"]
+
+
+@pytest.mark.parametrize("value", [
+    "a" * 80, "a" * 81, " a" * 40, " a" * 41, "  a  " * 50, "b" * 79 + " \t" + "c", "b" * 80 + "   ", "   ", "",
+    "x" * 40 + " " * 500 + "y" * 39, "x" * 40 + " " * 500 + "y" * 40,
+])
+def test_shown_form_depends_on_the_whole_text(spark, value):
+    import re
+
+    line = re.sub(r"\s+", " ", value).strip()
+    expected = line if len(line) <= 80 else line[:79] + "…"
+    df = frame(spark, v=[value])
+    assert df.select(text.shown(df["v"])).head()[0] == expected
