@@ -10,37 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import mixing, perplexity, secrets, simhash, tiling
-from tamis.llm.common import read
+from tamis.llm.common import free_name, read
 from tamis.session import written
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Documents with a number of their own, so that rows with equal or missing ids stay apart."""
-    return docs.withColumn("pipeline_row", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with a number of their own, so that rows with equal or missing ids stay apart; and the number's name."""
+    number = free_name(docs, "row_number")
+    return written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
+
+
+def _only(rows: DataFrame, number: str, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose number is in the one column of ``kept``."""
+    return rows.join(kept.toDF(number), number, "left_semi").select(*columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the perplexity band of their language reject go."""
-    rows = written(_numbered(docs), "quality-input")
-    judged = perplexity.judge(
-        rows, read(spark, sf_dir, "labels"), row_column="pipeline_row",
-    ).where("kept").select(F.col("row").alias("kept_row"))
-    return rows.join(judged, F.col("pipeline_row") == F.col("kept_row"), "left_semi").select(*docs.columns)
+    rows, number = _numbered(docs)
+    judged = perplexity.judge(rows, read(spark, sf_dir, "labels"), row_column=number)
+    return _only(rows, number, judged.where("kept").select("row"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked, the one with the smallest doc_id stays (the first row of it, if repeated)."""
-    rows = written(_numbered(docs), "simhash-input")
-    groups = simhash.near_duplicates(rows.select(F.struct("doc_id", "pipeline_row").alias("doc_id"), "text"))
-    first = groups.select(F.col("component_id.pipeline_row").alias("kept_row")).distinct()
-    return rows.join(first, F.col("pipeline_row") == F.col("kept_row"), "left_semi").select(*docs.columns)
+    rows, number = _numbered(docs)
+    named = rows.select(F.struct("doc_id", F.col(number).alias("number")).alias("doc_id"), "text")
+    first = simhash.near_duplicates(named).select(F.col("component_id.number")).distinct()
+    return _only(rows, number, first, docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = tiling.contaminated_keys(docs, read(spark, sf_dir, "benchmark"))
-    keyed = docs.withColumn("pipeline_key", tiling.key(F.col("doc_id"), F.col("text")))
-    return keyed.join(found, F.col("pipeline_key") == F.col("key"), "left_anti").select(*docs.columns)
+    name = free_name(docs, "text_key")
+    found = tiling.contaminated_keys(docs, read(spark, sf_dir, "benchmark")).toDF(name)
+    return docs.withColumn(name, tiling.key(F.col("doc_id"), F.col("text"))).join(found, name, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,16 +57,15 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that the budget leaves out go. At the cut of a budget a document is taken in part: its first words_taken words.
     """
-    rows = written(_numbered(docs), "mix-input")
-    taken = mixing.mix(rows, id_column="pipeline_row").select(
-        F.col("doc_id").alias("taken_row"), F.col("size").alias("taken_size"), "rounds", "part"
-    )
+    rows, number = _numbered(docs)
+    taken = mixing.mix(rows, id_column=number).where("rounds > 0 or part > 0")
     times = F.concat(
-        F.array_repeat(F.col("taken_size"), F.col("rounds").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>"))
-    )
-    return rows.join(taken.where("rounds > 0 or part > 0"), F.col("pipeline_row") == F.col("taken_row")).select(
-        *docs.columns, F.posexplode(times).alias("epoch", "words_taken")
+        F.array_repeat(F.col("size"), F.col("rounds").cast("int")),
+        F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")),
     )
+    added, taken_words = free_name(docs, "epoch"), free_name(docs, "words_taken")
+    counted = taken.select(F.col("doc_id").alias(number), F.posexplode(times).alias(added, taken_words))
+    return rows.join(counted, number).select(*docs.columns, added, taken_words)
 
 
 STAGES = [

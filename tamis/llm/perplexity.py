@@ -150,7 +150,6 @@ def kneser_ney(grams: DataFrame) -> dict[int, DataFrame]:
 def log_probabilities(wanted: DataFrame, model: dict[int, DataFrame]) -> DataFrame:
     """(gram, logp) of every n-gram of ``wanted``, those the model has not seen by backing off to their ends."""
     found = wanted.select("gram")
-    columns = []
     for order in range(ORDER, 0, -1):
         mask = F.lit((1 << BITS * order) - 1)
         table = model[order].select(F.col("gram").alias("g"), F.col("p").alias(f"p{order}"))
@@ -160,7 +159,6 @@ def log_probabilities(wanted: DataFrame, model: dict[int, DataFrame]) -> DataFra
     p = F.coalesce("p1", F.lit(1e-7))
     for order in range(2, ORDER + 1):
         p = F.coalesce(f"p{order}", F.coalesce(f"w{order}", F.lit(1.0)) * p)
-    del columns
     return found.select("gram", F.log(p).alias("logp"))
 
 
@@ -230,8 +228,10 @@ def scored(docs: DataFrame, table: DataFrame, *, text_column: str = "text", broa
 
             def score(data, begin, end, owner, at, inverse, count):
                 grams, word = _grams(data, begin[at], end[at])
-                value = np.bincount(word, logs[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)] if len(grams) else None, len(at))
-                return np.bincount(owner, value[inverse], count), np.bincount(owner, end - begin + 1, count).astype(np.int64)
+                value = np.zeros(0)
+                if len(at):
+                    value = np.bincount(word, logs[np.searchsorted(keys, grams)], len(at))
+                return np.bincount(owner, value[inverse], count).astype(float), np.bincount(owner, end - begin + 1, count).astype(np.int64)
 
             for rows, columns, (likelihood, grams) in _base_batches(batches, score):
                 yield pa.RecordBatch.from_arrays(

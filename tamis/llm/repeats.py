@@ -210,17 +210,23 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     candidates = _first_round(texts, length, gram)
     for turn, step in enumerate(STEPS):
         candidates = written(candidates, f"ranks-{step}")
-        # Partial counts first: a rank that a third of all documents share is one row per task. The join back can be split.
-        ranks = candidates.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-        shared = candidates.join(ranks, "rank", "left_semi").drop("rank")
-        if turn + 1 < len(STEPS):
-            shared = written(shared, f"shared-{step}")
-        wholes = shared.where("whole1 is not null").groupBy("whole1", "whole2").agg(F.count("*").alias("n")).where("n > 1").select("whole1", "whole2", F.lit(True).alias("whole"))
-        told = shared.join(wholes, ["whole1", "whole2"], "left")
-        if turn + 1 < len(STEPS):
-            told = written(told.select("row", "at", "first", "last", F.coalesce("whole", F.lit(False)).alias("whole")), f"told-{step}")
-            candidates = _next_round(texts, told.where("not whole"), STEPS[turn + 1], length, gram)
+        # Partial counts first: a rank that a third of all documents share is one row per task. Counts are written before
+        # they are joined, so that both sides of the join are plain exchanges, of which Spark can split a hot one.
+        ranks = written(candidates.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), f"repeated-{step}")
+        shared = written(candidates.join(ranks, "rank", "left_semi"), f"shared-{step}")
+        wholes = written(
+            shared.where("whole1 is not null").groupBy("whole1", "whole2")
+            .agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "first", "last")).alias("one"), F.first("rank").alias("rank")).where("n > 1"),
+            f"wholes-{step}",
+        )
+        told = shared.join(wholes.select("whole1", "whole2", F.lit(True).alias("whole")), ["whole1", "whole2"], "left")
+        told = told.select("row", "at", "first", "last", "rank", F.coalesce("whole", F.lit(False)).alias("whole"))
         done.append(told.where("whole").select("row", (F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + length).alias("end")))
+        if turn + 1 < len(STEPS):
+            left = written(told.where("not whole"), f"open-{step}")
+            # Positions that are done may still be the other copy of one that is not: of those with the same bytes, one stays.
+            others = wholes.join(left.select("rank").distinct(), "rank", "left_semi").select("one.*")
+            candidates = _next_round(texts, left.select("row", "at", "first", "last").unionByName(others), STEPS[turn + 1], length, gram)
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
