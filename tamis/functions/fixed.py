@@ -62,10 +62,17 @@ PERSON_NAME = "nom de personne"
 
 # Patterns of personal data in order of precedence, and the prefix of tokens.
 PII_PATTERNS = (
-    (EMAIL, r"(?iu)^[^@{ws}]+@[^@{ws}]+\.[a-z]{{2,}}$"),
-    (PHONE, r"^(?:0[1-9][0-9]{{8}}|\+33[1-9][0-9]{{8}})$"),
-    (IBAN, r"(?i)^FR[0-9]{{2}}[0-9A-Z]{{23}}$"),
-    (SOCIAL_SECURITY, r"^[0-9]{{13,15}}$"),
+    (EMAIL, r"(?iu)^[^@\p{IsWhite_Space}\x1c-\x1f]+@[^@\p{IsWhite_Space}\x1c-\x1f]+\.[a-z]{2,}$"),
+    (PHONE, r"^(?:0[1-9][0-9]{8}|\+33[1-9][0-9]{8})$"),
+    (IBAN, r"(?i)^FR[0-9]{2}[0-9A-Z]{23}$"),
+    (SOCIAL_SECURITY, r"^[0-9]{13,15}$"),
+)
+# The same shapes inside a longer text.
+INSIDE_SHAPES = (
+    r"[^@\s,;:()<>\"]+@[^@\s,;:()<>\"]+\.[A-Za-z]{2,}",
+    r"(?<![0-9+])(?:0[1-9][0-9]{8}|\+33[1-9][0-9]{8})(?![0-9])",
+    r"(?i)FR[0-9]{2}[0-9A-Z]{23}",
+    r"(?<![0-9])[0-9]{13,15}(?![0-9])",
 )
 TOKEN_PREFIXES = {
     EMAIL: "email",
@@ -85,17 +92,19 @@ PII_MASKED = "masquee"
 
 # Directory of French first names and last names.
 FIRST_NAMES = (
-    "Camille Lucas Emma Nathan Chloe Hugo Lea Louis Manon Theo Sarah Enzo Ines Gabriel Jade "
-    "Raphael Louise Arthur Alice Adam Anna Paul Julie Antoine Marie Thomas Clara Maxime Laura "
-    "Julien Sophie Nicolas Elodie Alexandre Celine Mathieu Amelie Vincent Nadia Karim Fatima "
-    "Mehdi Aicha Youssef Sofia Ismael Nour Bilal"
-).split()
+    "Camille", "Lucas", "Emma", "Nathan", "Chloe", "Hugo", "Lea", "Louis", "Manon", "Theo", "Sarah",
+    "Enzo", "Ines", "Gabriel", "Jade", "Raphael", "Louise", "Arthur", "Alice", "Adam", "Anna", "Paul",
+    "Julie", "Antoine", "Marie", "Thomas", "Clara", "Maxime", "Laura", "Julien", "Sophie", "Nicolas",
+    "Elodie", "Alexandre", "Celine", "Mathieu", "Amelie", "Vincent", "Nadia", "Karim", "Fatima", "Mehdi",
+    "Aicha", "Youssef", "Sofia", "Ismael", "Nour", "Bilal",
+)
 LAST_NAMES = (
-    "Martin Bernard Dubois Thomas Robert Richard Petit Durand Leroy Moreau Simon Laurent "
-    "Lefebvre Michel Garcia David Bertrand Roux Vincent Fournier Morel Girard Andre Mercier "
-    "Dupont Lambert Bonnet Francois Martinez Legrand Garnier Faure Rousseau Blanc Guerin Muller "
-    "Henry Roussel Nicolas Perrin Benali Traore Diallo Nguyen Sow Cherif Haddad Ferrari"
-).split()
+    "Martin", "Bernard", "Dubois", "Thomas", "Robert", "Richard", "Petit", "Durand", "Leroy", "Moreau",
+    "Simon", "Laurent", "Lefebvre", "Michel", "Garcia", "David", "Bertrand", "Roux", "Vincent", "Fournier",
+    "Morel", "Girard", "Andre", "Mercier", "Dupont", "Lambert", "Bonnet", "Francois", "Martinez",
+    "Legrand", "Garnier", "Faure", "Rousseau", "Blanc", "Guerin", "Muller", "Henry", "Roussel", "Nicolas",
+    "Perrin", "Benali", "Traore", "Diallo", "Nguyen", "Sow", "Cherif", "Haddad", "Ferrari",
+)
 
 # Kinds of anomaly and their messages.
 MIXED_DATES = "formats_multiples"

@@ -120,7 +120,7 @@ def is_boolean_word(stripped: Column) -> Column:
 
 def matches_pii(stripped: Column, kind: str) -> Column:
     """Whether a stripped text has the shape of one kind of personal data."""
-    pattern = dict(fixed.PII_PATTERNS)[kind].format(ws=BLANKS)
+    pattern = dict(fixed.PII_PATTERNS)[kind]
     guards = {
         fixed.EMAIL: F.contains(stripped, F.lit("@")),
         fixed.PHONE: F.char_length(stripped).between(10, 12),

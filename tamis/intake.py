@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tamis.functions import fixed
 from tamis.operators import privacy
 from tamis.operators.profile import measure, profile_from
+from tamis.session import written
 from tamis.sources import loader, registry, sinks
 
 
@@ -57,9 +58,9 @@ def prepared(
     max_bytes: int | None = None, max_rows: int | None = None,
 ) -> dict:
     """The registry row of a dataset, which nothing has been written for yet."""
-    table = loader.load(spark, path, max_bytes=max_bytes, max_rows=max_rows)
+    table = loader.load(spark, path, max_bytes=max_bytes, max_rows=max_rows, with_position=True)
     size = loader.list_files(spark, path).agg(F.sum("length")).head()[0]
-    profiled, found = examine(table)
+    profiled, found = examine(table, order_by=table.columns[-1])
     return registry.entry(
         workspace=workspace, path=path, size=size, profile=profiled["profile"], score=profiled["score"],
         status=fixed.PII_FOUND if found else fixed.PII_NONE,
@@ -67,11 +68,14 @@ def prepared(
 
 
 def pseudonymise(
-    spark: SparkSession, store: Store, file_id: str, *, key: str | None = None, kind: str = "parquet"
+    spark: SparkSession, store: Store, file_id: str, *, key: str | None = None, kind: str = "parquet",
+    vault: DataFrame | None = None,
 ) -> dict:
     """Mask a registered dataset into a new table; returns the new registry row and a summary.
 
-    ``kind`` is the format of the new table, ``parquet`` or ``csv``.
+    ``kind`` is the format of the new table, ``parquet`` or ``csv``.  With a ``vault`` (type_pii, empreinte,
+    rang, jeton; it may be empty) values keep the tokens they have there, and the extended vault is
+    written to the store's folder ``coffre``.
 
     Data and tokens are written to new places first and the registry row last, so an
     interruption leaves the dataset as it was.  The original is never overwritten while read.
@@ -79,14 +83,23 @@ def pseudonymise(
     row = registry.find(registry.read(spark, store.registry), file_id)
     registry.check_maskable(row)
     table = loader.load(spark, row["path"], with_position=True)
-    found = privacy.detections(privacy.detect(table, exclude=(loader.POSITION,)))
-    masked, mapping = privacy.pseudonymise(table, found, order_by=loader.POSITION, key=key)
+    position = table.columns[-1]
+    found = privacy.detections(privacy.detect(table, exclude=(position,)))
+    if vault is None:
+        masked, mapping = privacy.pseudonymise(table, found, order_by=position, key=key)
+    else:  # tokens shared with the files masked before; the longer vault is written to a place of its own
+        kinds = {one.colonne: one.type_pii for one in found}
+        extended = written(privacy.extend_vault(vault, table, kinds, order_by=position, key=key), "coffre")
+        mapping = written(privacy.vault_mapping(extended, table, kinds, key=key), "jetons")
+        masked = privacy.mask(table, mapping, found, key=key)
+        sinks.write_table(extended, f"{store.folder}/coffre/{file_id}-v{row['version'] + 1}.parquet")
 
     version = row["version"] + 1
     path = store.masked(file_id, version, kind)
-    sinks.write_table(masked.drop(loader.POSITION), path)
+    sinks.write_table(masked.drop(position), path)
     registry.append_mapping(mapping, file_id, store.mappings)
-    profiled, _ = examine(loader.load(spark, path))
+    again = loader.load(spark, path, with_position=True)
+    profiled, _ = examine(again, order_by=again.columns[-1])
     new = registry.entry(
         workspace=row["workspace_id"], path=path, size=row["size_bytes"], profile=profiled["profile"],
         score=profiled["score"], status=fixed.PII_MASKED, version=version, file_id=file_id, name=row["name"],

@@ -30,13 +30,13 @@ class ColumnRef:
 
     @property
     def value(self) -> Column:
-        """The value, with NaN folded to missing and the type widened to its family's."""
+        """The value, with NaN folded to missing, both zeros to one, and the type widened to its family's."""
         raw = quoted(self.name)
         if self.family == INTEGER:
             return raw.cast("bigint")
         if self.family == REAL:
             wide = raw.cast("double")
-            return F.when(~F.isnan(wide), wide)
+            return F.when(~F.isnan(wide), F.when(wide == 0, F.lit(0.0)).otherwise(wide))  # one zero
         if self.family == EXACT:
             return raw.cast("string")  # the scale is fixed: equal texts are equal numbers
         if self.family == NESTED:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tamis.operators.columns import quoted
 
-# Lookup tables up to this many rows are broadcast; larger ones are joined by shuffle.
+# Lookup tables up to this many rows and bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 * 1024**2
 # A key held by more than this share of the rows is "hot": there are at most 10,000 of them.
 HOT_SHARE = 1e-4
 SPREAD = 1024
@@ -21,20 +22,26 @@ def attach(
     *,
     size: int,
     total: int,
+    width: int | None = None,
     out: str = "_valeur",
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add column ``out``: the ``valeur`` that ``table`` (cle, valeur, occurrences) gives the key.
 
     ``size`` is the number of rows of ``table``, whose keys are unique, and ``total`` the number
-    of rows of ``df`` it stands for.  A small table is broadcast.  With a large one, the hot keys
+    of rows of ``df`` it stands for, and ``width`` the bytes of its keys and values (measured here if
+    not given).  A small table is broadcast.  With a large one, the hot keys
     (at most 1 / HOT_SHARE of them) are broadcast, and their rows and the rows without a key are
     spread over the partitions instead of meeting in one.
     """
     columns = [quoted(name) for name in df.columns]
     keyed = df.withColumn("_cle", key)
     cold = table.select(F.col("cle").alias("_cle"), F.col("valeur").alias(out), "occurrences")
-    if size <= broadcast_rows:
+    if size <= broadcast_rows and width is None:
+        width = table.agg(F.coalesce(F.sum(
+            F.coalesce(F.octet_length(F.col("cle").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("valeur").cast("string")), F.lit(0))
+        ), F.lit(0))).first()[0]
+    if size <= broadcast_rows and (width or 0) <= BROADCAST_BYTES:
         return keyed.join(F.broadcast(cold.drop("occurrences")), "_cle", "left").select(*columns, out)
 
     hot = table.where(F.col("occurrences") > HOT_SHARE * total).select(

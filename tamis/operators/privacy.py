@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import fixed, text
 from tamis.operators import frequency
-from tamis.operators.columns import INTEGER, TEXT, ColumnRef, columns_of, melt, quoted
+from tamis.operators.columns import EXACT, INTEGER, TEXT, ColumnRef, columns_of, melt, quoted
 from tamis.operators.local import local_table
 from tamis.operators.lookup import BROADCAST_ROWS, attach
 from tamis.operators.ranks import number_in_order
@@ -43,6 +43,7 @@ def detect(df: DataFrame, *, exclude: Sequence[str] = ()) -> DataFrame:
     df, refs = spread(df), columns_of(df, exclude)
     texts = [ref for ref in refs if ref.family == TEXT]
     integers = [ref for ref in refs if ref.family == INTEGER]
+    decimals = [ref for ref in refs if ref.family == EXACT]
     parts = []
     if texts:
         parts.append(frequency.text_rates(df, texts))
@@ -55,6 +56,13 @@ def detect(df: DataFrame, *, exclude: Sequence[str] = ()) -> DataFrame:
                 F.count_if(value.between(F.lit(10**12), F.lit(10**15 - 1))).alias("motif_3"),
             )
         )
+    if decimals:  # printed with their scale: whole, and 13 to 15 digits before the point
+        parts.append(
+            melt(df, decimals).where(F.col("v").isNotNull()).groupBy("c").agg(
+                F.count(F.lit(1)).alias("renseignees"),
+                F.count_if(F.col("v").rlike(r"^[1-9][0-9]{12,14}(\.0*)?$")).alias("motif_3"),
+            )
+        )
     if not parts:
         return local_table(df.sparkSession, [], DETECTION_SCHEMA)
     counters = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -168,7 +176,8 @@ def mask(
     sizes = {
         row["colonne"]: row.asDict()
         for row in mapping.groupBy("colonne").agg(
-            F.count(F.lit(1)).alias("size"), F.sum("occurrences").alias("total")
+            F.count(F.lit(1)).alias("size"), F.sum("occurrences").alias("total"),
+            F.sum(F.octet_length("empreinte") + F.octet_length("jeton")).alias("width"),
         ).collect()
     }
     form = _masked_form(normalise)
@@ -177,10 +186,10 @@ def mask(
         own = mapping.where(F.col("colonne") == ref.name).select(
             F.col("empreinte").alias("cle"), F.col("jeton").alias("valeur"), "occurrences"
         )
-        measured = sizes.get(ref.name, {"size": 0, "total": 0})
+        measured = sizes.get(ref.name, {"size": 0, "total": 0, "width": 0})
         found_tokens = attach(
             out, text.fingerprint(form(ref), key), own,
-            size=measured["size"], total=measured["total"], out="_jeton", broadcast_rows=broadcast_rows,
+            size=measured["size"], total=measured["total"], width=measured["width"], out="_jeton", broadcast_rows=broadcast_rows,
         )
         out = found_tokens.withColumn(ref.name, F.col("_jeton")).drop("_jeton")
     return out
@@ -234,15 +243,12 @@ def extend_vault(
         "c int, type_pii string",
     )
     position = F.monotonically_increasing_id() if order_by is None else quoted(order_by)
-    # Columns of one row come in table order, so a position never stands for two values.
-    width = len(wanted)
-    order = {ref.index: i for i, ref in enumerate(wanted)}
-    rank = F.coalesce(*[F.when(F.col("c") == index, F.lit(i)) for index, i in order.items()])
+    # Of any type that can be ordered; columns of one row come in table order.
     firsts = (
-        melt(df, wanted, lambda ref: ref.printed, keep=[(position.cast("long"), "position")])
+        melt(df, wanted, lambda ref: ref.printed, keep=[(position, "position")])
         .where(F.col("v").isNotNull()).join(F.broadcast(labels), "c")
         .groupBy("type_pii", text.fingerprint(F.col("v"), key).alias("empreinte"))
-        .agg(F.min(F.col("position") * width + rank).alias("premiere"))
+        .agg(F.min(F.struct("position", "c")).alias("premiere"))
     )
     if vault is None:
         vault = local_table(df.sparkSession, [], VAULT_SCHEMA)
@@ -284,20 +290,43 @@ def vault_mapping(
 def leaks(masked: DataFrame, mapping: DataFrame, *, key: str | None = None, exclude: Sequence[str] = ()) -> DataFrame:
     """Rows (colonne, empreinte) of cells of the masked table that still hold an original value.
 
-    Empty when nothing leaked.  Cells are reduced to fingerprints before anything is moved.
+    Empty when nothing leaked.  Cells are reduced to fingerprints before anything is moved: of the
+    whole cell, and of everything inside a text that has the shape of personal data or is a word
+    or a pair of words, as a name is.
     """
-    texts = [ref for ref in columns_of(masked, exclude) if ref.family in (TEXT, INTEGER)]
+    texts = [ref for ref in columns_of(masked, exclude) if ref.family in (TEXT, INTEGER, EXACT)]
     names = local_table(
         masked.sparkSession, [{"c": ref.index, "colonne": ref.name} for ref in texts], "c int, colonne string"
     )
     shown = (
         melt(masked, texts, lambda ref: ref.printed).where(F.col("v").isNotNull())
+        .select("c", F.explode(F.array_distinct(_inside(F.col("v")))).alias("v"))
         .select("c", text.fingerprint(F.col("v"), key).alias("empreinte")).distinct()
     )
     originals = mapping.select("empreinte").distinct()
     return shown.join(originals, "empreinte", "left_semi").join(F.broadcast(names), "c").select("colonne", "empreinte")
 
 
+def _inside(cell: Column) -> Column:
+    """The cell, and the parts of it that could be a personal value of their own."""
+    shaped = [F.regexp_extract_all(cell, F.lit(shape), F.lit(0)) for shape in fixed.INSIDE_SHAPES]
+    words = F.filter(F.split(cell, r"[\s,;:()\[\]\"<>]+"), lambda w: w != "")
+    # Bound to a variable: inside the lambda the split would be done anew for each word.
+    named = F.transform(F.array(words), lambda ws: F.concat(ws, F.transform(ws, lambda w, i: F.concat_ws(" ", F.slice(ws, i + 1, 2)))))[0]
+    return F.concat(F.array(cell), *shaped, named)
+
+
+def context_leaks(context: DataFrame, mapping: DataFrame, *, key: str | None = None) -> DataFrame:
+    """Rows (nom, empreinte) of original values shown by a context: its examples and frequent values."""
+    entry = context.select(F.explode("colonnes").alias("e"))
+    frequent = F.coalesce(F.transform(F.col("e.statistiques.modalites_frequentes"), lambda m: m["valeur"]), F.array().cast("array<string>"))
+    shown = entry.select(F.col("e.nom").alias("nom"), F.explode(F.concat(F.col("e.exemples"), frequent)).alias("v"))
+    inside = shown.where(F.col("v").isNotNull()).select("nom", F.explode(F.array_distinct(_inside(F.col("v")))).alias("v"))
+    return inside.select("nom", text.fingerprint(F.col("v"), key).alias("empreinte")).distinct().join(
+        mapping.select("empreinte").distinct(), "empreinte", "left_semi"
+    ).select("nom", "empreinte")
+
+
 def leak_audit(masked: DataFrame, mapping: DataFrame, *, key: str | None = None) -> DataFrame:
     """One row (valeurs_verifiees, fuites)."""
     checked = mapping.agg(F.count_distinct("empreinte").alias("valeurs_verifiees"), F.lit(0).cast("long").alias("fuites"))

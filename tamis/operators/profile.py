@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tamis.functions import fixed, text
 from tamis.operators import frequency, quantiles
 from tamis.operators.columns import (
-    FLAG, INTEGER, MOMENT, NESTED, NUMERIC, TEXT,
+    EXACT, FLAG, INTEGER, MOMENT, NESTED, NUMERIC, TEXT,
     ColumnRef, columns_of, families, melt, quoted,
 )
 from tamis.operators.duplicates import duplicate_rows
@@ -95,8 +95,7 @@ def _value_branch(df: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[st
         printed = values.withColumn("rang", F.coalesce(F.col("long")["shown"], F.col("v")))
     else:
         values = frequency.count_values(df, group)
-        whole = F.col("v") % 1 == 0 if family in NUMERIC else F.lit(False)
-        binary = F.col("v").isin(0, 1) if family in NUMERIC else F.lit(False)
+        whole, binary = _whole(family), _binary(family)
         measured = values.groupBy("c").agg(
             F.sum(F.greatest(-F.col("n"), F.lit(0).cast("long"))).alias("manquantes"),
             F.sum(F.greatest(F.col("n"), F.lit(0).cast("long"))).alias("renseignees"),
@@ -112,7 +111,8 @@ def _value_branch(df: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[st
         if family == INTEGER:
             printed = printed.join(F.broadcast(listed), "c", "left_semi")
         elif family in NUMERIC:
-            return _merged(measured) + _listed_values(df, group, listed, wanted)
+            counted = _merged(measured)
+            return counted + _listed_values(df, group, counted, wanted)
     if "top_values" in wanted and family != NESTED:
         parts.append(_top_values(printed))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -120,16 +120,36 @@ def _value_branch(df: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[st
 
 
 def _listed_values(
-    df: DataFrame, group: Sequence[ColumnRef], listed: DataFrame, wanted: Sequence[str]
+    df: DataFrame, group: Sequence[ColumnRef], counted: Sequence[Row], wanted: Sequence[str]
 ) -> list[Row]:
-    """Frequent values of decimal columns, which only the rare whole-valued ones show."""
-    shown = {row["c"] for row in listed.collect()} if "top_values" in wanted else set()
+    """Frequent values of real and decimal columns, which only the rare whole-valued ones show."""
+    shown = {
+        row["c"] for row in counted
+        if row.asDict().get("entiers") and row["renseignees"]
+        and (row["binaire"] or row["distinctes"] / row["renseignees"] >= fixed.NUMERIC_IDENTIFIER_RATIO)
+    } if "top_values" in wanted else set()
     if not shown:
         return []
     values = frequency.count_values(df, [ref for ref in group if ref.index in shown])
+    if group[0].family == EXACT:  # whole values printed with their scale: the part before the point is the order
+        numbered = values.withColumn("rang", F.split_part("v", F.lit("."), F.lit(1)).cast("decimal(38,0)"))
+        return _top_values(numbered, shown="v").collect()
     return _top_values(values.withColumn("v", F.col("v").cast("string")).withColumn("rang", F.col("v"))).collect()
 
 
+def _whole(family: str) -> Column:
+    """Whether a counted value is a whole number; decimals travel as text of a fixed scale."""
+    if family == EXACT:
+        return F.col("v").rlike(r"^-?[0-9]+(\.0*)?$")
+    return F.col("v") % 1 == 0 if family in NUMERIC else F.lit(False)
+
+
+def _binary(family: str) -> Column:
+    if family == EXACT:
+        return F.col("v").rlike(r"^[01](\.0*)?$")
+    return F.col("v").isin(0, 1) if family in NUMERIC else F.lit(False)
+
+
 def _numeric_branch(df: DataFrame, numeric: Sequence[ColumnRef], wanted: Sequence[str]) -> list[Row]:
     """Moments, quartiles and outliers: three passes over the numeric columns, no value shuffled."""
     numbers = melt(df, numeric, lambda ref: ref.number)
@@ -160,12 +180,14 @@ def _numeric_measures(numbers: DataFrame) -> DataFrame:
 
 def _social_security(family: str) -> Column:
     """A whole number printed with 13 to 15 digits; no other pattern can match a number."""
+    if family == EXACT:
+        return F.col("v").rlike(r"^[1-9][0-9]{12,14}(\.0*)?$")
     if family != INTEGER:
         return F.lit(False)
     return F.col("v").between(F.lit(10**12), F.lit(10**15 - 1))
 
 
-def _top_values(counted: DataFrame) -> DataFrame:
+def _top_values(counted: DataFrame, shown: str = "rang") -> DataFrame:
     """Rows (c, modalites): most frequent values first, equal counts in value order.
 
     Spark keeps five rows per column in every task before anything moves.
@@ -173,10 +195,10 @@ def _top_values(counted: DataFrame) -> DataFrame:
     window = Window.partitionBy("c").orderBy(F.desc("n"), "rang", "v")
     best = (
         counted.where("n > 0")
-        .select("c", "rang", "v", "n", F.row_number().over(window).alias("place"))
+        .select("c", F.col(shown).alias("montre"), "n", F.row_number().over(window).alias("place"))
         .where(F.col("place") <= fixed.TOP_VALUE_COUNT)
     )
-    listed = F.array_sort(F.collect_list(F.struct("place", text.shown(F.col("rang")).alias("valeur"), "n")))
+    listed = F.array_sort(F.collect_list(F.struct("place", text.shown(F.col("montre")).alias("valeur"), "n")))
     return best.groupBy("c").agg(listed.alias("l")).select(
         "c",
         F.transform("l", lambda e: F.struct(e["valeur"].alias("valeur"), e["n"].alias("occurrences")))

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tamis.session import written
 
@@ -29,15 +28,12 @@ def number_in_order(
 ) -> DataFrame:
     """Add consecutive numbers from 1 within ``groups``, following ``order``.
 
-    A whole-number order column that is unique within its group is cut every 2^20, so that a
-    block holds at most 2^20 rows, whatever the gaps.  Any other order column is first replaced
-    by its place in a distributed sort, which is such a number.  Sizes, offsets and rows must
-    agree on the blocks, so all three read one written table.
+    The order is replaced by each row's place in a distributed sort by order and ``tie``, a unique
+    number that is cut every 2^20: a block holds at most 2^20 rows, whatever repeats or gaps the
+    order column has.  Sizes, offsets and rows must agree on the blocks, so all three read one
+    written table.
     """
-    if isinstance(df.schema[order].dataType, (T.LongType, T.IntegerType)):
-        placed = df.withColumn("_place", F.col(order).cast("long"))
-    else:
-        placed = df.sort(F.col(order), *tie).withColumn("_place", F.monotonically_increasing_id())
+    placed = df.sort(F.col(order), *tie).withColumn("_place", F.monotonically_increasing_id())
 
     keys = list(groups)
     blocked = written(placed, "ordre").withColumn("_block", F.shiftright("_place", BLOCK_BITS))

@@ -6,17 +6,18 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tamis.operators.columns import quoted
-
-# By the optimizer's estimate.  A larger table already has enough splits to occupy the cores.
+# By the optimizer's estimate of the files.  A larger table already has enough splits to occupy the cores.
 SMALL_BYTES = 256 * 1024**2
+# Equal rows compress to almost nothing: a small file may hold billions.
+SMALL_ROWS = 5_000_000
 
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    """Whether the optimizer knows the table to be small; this runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+    """Whether the optimizer knows the table to be small, and its rows are few."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > limit:
+        return False
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -26,9 +27,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     if not is_small(df):
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # By content rather than in turn: a task that is run again sends rows to the same place.
-    return df.repartition(cores, F.xxhash64(*[quoted(name).cast("string") for name in df.columns]))
+    # In turn, so that equal rows do not meet; Spark orders rows first, so a task run again deals them alike.
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 @contextmanager

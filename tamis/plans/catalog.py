@@ -155,14 +155,24 @@ def profile_examples(spark, folder):
 @query("duplicate_rows", sql.over([sql.sales_sql()], """
     SELECT 'sales' AS nom, count(*) AS nb_lignes, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM sales)) AS doublons
     FROM sales UNION ALL
-    SELECT 'lineitem', count(*), count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_quantity FROM lineitem))
-    FROM lineitem UNION ALL
-    SELECT 'documents', count(*), count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) FROM documents"""))
+    SELECT 'lineitem', count(*), count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) FROM lineitem UNION ALL
+    SELECT 'parts', count(*), count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_quantity FROM lineitem)) FROM lineitem UNION ALL
+    SELECT 'textes', count(*), count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) FROM documents UNION ALL
+    SELECT 'documents', count(*), count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) FROM documents UNION ALL
+    SELECT 'zeros', count(*), count(*) - (SELECT count(DISTINCT l_quantity * (l_partkey % 2)) FROM lineitem) FROM lineitem"""))
 def duplicates(spark, folder):
     tables = {
         "sales": views.sales(spark, folder),
-        "lineitem": views.read(spark, folder, "lineitem").select("l_partkey", "l_quantity"),
-        "documents": views.read(spark, folder, "documents").select("text", "lang"),
+        "lineitem": views.read(spark, folder, "lineitem"),
+        "parts": views.read(spark, folder, "lineitem").select("l_partkey", "l_quantity"),
+        "textes": views.read(spark, folder, "documents").select("text", "lang"),
+        "documents": views.read(spark, folder, "documents"),
+        # Seventeen columns of reals in which zero has either sign.
+        "zeros": views.read(spark, folder, "lineitem").select(*[
+            (F.when(F.col("l_linenumber") % 2 == 0, -1.0).otherwise(1.0) * 0 + F.col("l_quantity") * (F.col("l_partkey") % 2)
+             * F.when((F.col("l_partkey") % 2 == 0) & (F.col("l_linenumber") % 2 == 0), -1.0).otherwise(1.0)).alias(f"x{i}")
+            for i in range(17)
+        ]),
     }
     return _stack([duplicate_rows(df).withColumn("nom", F.lit(name)) for name, df in tables.items()])
 
@@ -313,8 +323,79 @@ def profile_long_texts(spark, folder):
         "nom", "type", "valeurs_manquantes", "cardinalite", F.col("statistiques.moyenne").alias("moyenne"))
 
 
+_DECIMALS = {"cle": sql.NUMBER, "prix": sql.NUMBER, "solde": sql.NUMBER, "drapeau": sql.NUMBER}
+_DECIMAL_COLUMNS = """CAST(o_orderkey AS DECIMAL(15,0)) AS cle, CAST(o_totalprice AS DECIMAL(15,2)) AS prix,
+  CAST(CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_totalprice END AS DECIMAL(15,2)) AS solde,
+  CAST(o_orderkey % 2 AS DECIMAL(5,2)) AS drapeau"""
+
+
+@query("profile_decimals", sql.profile_statement(
+    "SELECT nom, type, valeurs_manquantes, cardinalite, minimum, maximum, moyenne, mediane, ecart_type, modalites, anomalie FROM prof",
+    "exacts", [f"exacts AS (SELECT {_DECIMAL_COLUMNS} FROM orders)"], "exacts", _DECIMALS, "cle"))
+def profile_decimals(spark, folder):
+    exact = views.read(spark, folder, "orders").selectExpr(*_split_columns(_DECIMAL_COLUMNS))
+    return flat(column_profiles(measure(exact, wanted=("top_values", "statistics", "outliers")))).select(
+        "nom", "type", "valeurs_manquantes", "cardinalite", *_STATISTICS, "modalites", "anomalie")
+
+
+def _split_columns(text: str) -> list[str]:
+    """The column expressions of a select list, cut at commas outside parentheses."""
+    parts, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
 # --- Personal data ------------------------------------------------------------------------
 
+
+@query("pii_detect_decimals", """
+    SELECT 'nir' AS colonne, 'numéro de sécurité sociale' AS type_pii,
+      round(count(*) FILTER (length(CAST(n AS VARCHAR)) BETWEEN 13 AND 15) / count(n), 3) AS confiance, 'NIR_001' AS exemple_masque
+    FROM (SELECT CAST(1000000000000 + c_custkey * 7919 AS DECIMAL(15,0)) AS n FROM customer)""")
+def pii_detect_decimals(spark, folder):
+    customers = views.read(spark, folder, "customer").selectExpr(
+        "CAST(1000000000000 + c_custkey * 7919 AS DECIMAL(15,0)) AS nir", "CAST(c_acctbal AS DECIMAL(15,2)) AS solde")
+    return privacy.detect(customers)
+
+
+@query("csv_headers", """
+    SELECT o_orderkey AS ordre, o_orderstatus AS "statut", concat('s', o_orderstatus) AS "Statut.1", o_totalprice AS montant FROM orders""")
+def csv_headers(spark, folder):
+    """Files with their columns in different orders, and names that differ in case alone."""
+    path = f"{_new_folder(spark, 'entetes')}/table.csv"
+    rows = views.read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("a"), F.col("o_orderstatus").alias("b"), F.concat(F.lit("s"), "o_orderstatus").alias("c"), F.col("o_totalprice").alias("d"))
+    lines = {
+        "ordre,statut,Statut,montant": rows.where("a % 2 = 0").select(F.concat_ws(",", "a", "b", "c", "d").alias("value")),
+        "montant,ordre,statut,Statut": rows.where("a % 2 <> 0").select(F.concat_ws(",", "d", "a", "b", "c").alias("value")),
+    }
+    for header, body in lines.items():  # each part file gets a header, as a CSV writer gives it
+        named = body.withColumnRenamed("value", header)
+        named.write.mode("append").option("header", True).option("quote", "").option("escapeQuotes", False).option("sep", "\x01").csv(path)
+    return loader.load(spark, path)
+
+
+@query("pii_vault_masked_table", sql.over([sql.staff_sql(), """
+    v AS (SELECT email AS x, min(CASE WHEN cle % 3 = 0 THEN 0 ELSE 1 END) AS lot,
+        min(CASE WHEN cle % 3 = 0 THEN cle END) AS p0, min(cle) AS p1 FROM staff GROUP BY email),
+    r AS (SELECT x, row_number() OVER (ORDER BY lot, CASE WHEN lot = 0 THEN p0 ELSE p1 END) AS rang FROM v)
+    """], """SELECT cle, printf('email_%03d@masked.local', rang) AS email, service FROM staff LEFT JOIN r ON email = x"""))
+def pii_vault_masked_table(spark, folder):
+    """Two halves masked one after the other with one vault; the row order is text."""
+    staff = views.staff(spark, folder).select("cle", "email", "service", F.lpad(F.col("cle").cast("string"), 12, "0").alias("ordre"))
+    kinds, vault, parts = {"email": fixed.EMAIL}, None, []
+    for half in (staff.where(F.col("cle") % 3 == 0), staff.where(F.col("cle") % 3 != 0)):
+        vault = written(privacy.extend_vault(vault, half, kinds, order_by="ordre"), "coffre")
+        mapping = written(privacy.vault_mapping(vault, half, kinds), "jetons")
+        parts.append(privacy.mask(half, mapping, [privacy.Detection("email", fixed.EMAIL, 1.0, "")]))
+    return _stack(parts).select("cle", "email", "service")
+
+
 _DETECTED = {
     "staff": sql.STAFF_SPEC, "sales": sql.SALES_SPEC, "events": sql.EVENTS_SPEC,
     "documents": ([], "documents", {"text": sql.TEXT, "lang": sql.TEXT, "source": sql.TEXT}, "doc_id"),

@@ -88,8 +88,8 @@ def profiled(cells: str) -> str:
         END AS anomalie,
         round(manq / nb, 4) AS part
       FROM lab),
-    freq AS (SELECT pos, v, count(*) AS k FROM m WHERE v IS NOT NULL GROUP BY pos, v),
-    top AS (SELECT pos, v, k, row_number() OVER (PARTITION BY pos ORDER BY k DESC, v) AS r FROM freq QUALIFY r <= 5),
+    freq AS (SELECT pos, v, any_value(d) AS d, count(*) AS k FROM m WHERE v IS NOT NULL GROUP BY pos, v),
+    top AS (SELECT pos, v, k, row_number() OVER (PARTITION BY pos ORDER BY k DESC, d, v) AS r FROM freq QUALIFY r <= 5),
     modal AS (SELECT pos, string_agg(concat({shown('v')}, ' × ', k), ' | ' ORDER BY r) AS modalites FROM top GROUP BY pos),
     firsts AS (SELECT pos, v, row_number() OVER (PARTITION BY pos ORDER BY rangee) AS r FROM m WHERE v IS NOT NULL QUALIFY r <= 3),
     exa AS (SELECT pos, string_agg({shown('v')}, ' | ' ORDER BY r) AS exemples FROM firsts GROUP BY pos),

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent, as in tests on one machine, is a folder of its own used.
+    Without the setting, a session on one machine uses a temporary folder, which goes with the
+    process; on a cluster that is an error, since executors would write to disks of their own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    return (folder or tempfile.mkdtemp(prefix="tamis-")).rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="tamis-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

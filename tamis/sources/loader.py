@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,19 +33,21 @@ def load(
 ) -> DataFrame:
     """Load a CSV or Parquet table, each column a number only if no value changes by it.
 
-    ``with_position`` adds a column ``_position`` that orders the rows as the files do.
+    ``with_position`` adds a last column ``_position`` (underscores are added if the table has one) that orders
+    the rows as the files do.
     """
     extension = extension_of(path)
     files = list_files(spark, path)
     check_size(files, max_bytes)
     if extension == ".csv":
-        rows, names = _scan(spark, path, files, with_position=with_position)
-        table = promote(rows, keep=(POSITION,)).select(*[quoted(name) for name in names])
+        rows, names, overflow = _scan(spark, path, files, with_position=with_position)
+        keep = names[-1:] if with_position else []
+        table = promote(rows, keep=keep, overflow=overflow).select(*[quoted(name) for name in names])
     else:
         table = spark.read.parquet(path)
         if with_position:
-            table = table.withColumn(POSITION, _position())
-    check_rows(table.drop(POSITION), max_rows)
+            table = table.withColumn(free(POSITION, table.columns), _position())
+    check_rows(table.select(*[quoted(name) for name in table.columns[:-1]]) if with_position else table, max_rows)
     return table
 
 
@@ -53,8 +56,7 @@ def extension_of(path: str) -> str:
     extension = "." + name.rsplit(".", 1)[1] if "." in name else ""
     if extension not in FORMATS:
         raise Refused(
-            f"Format non pris en charge : « {extension or 'inconnu'} ». "
-            f"Formats acceptés : {', '.join(FORMATS)}."
+            f"L'extension « {extension or 'absente'} » n'est pas lue ici ; les tables sont en {' ou '.join(FORMATS)}."
         )
     return extension
 
@@ -72,19 +74,18 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def check_size(files: DataFrame, max_bytes: int | None = None) -> None:
     total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
     if total == 0:
-        raise Refused("Ce fichier est vide. Choisis un fichier contenant des données.")
+        raise Refused("Aucun octet à lire : la table est vide.")
     if max_bytes is not None and total > max_bytes:
-        raise Refused(f"Ce fichier dépasse la limite de {max_bytes // 1024**2} Mo.")
+        raise Refused(f"La table occupe {total} octets, plus que les {max_bytes} admis.")
 
 
 def check_rows(table: DataFrame, max_rows: int | None = None) -> None:
     if not table.columns or table.isEmpty():
         raise Refused(
-            "Ce fichier ne contient aucune donnée exploitable. "
-            "Vérifie qu'il a bien une ligne d'en-têtes et au moins une ligne de données."
+            "Aucune ligne de données sous l'en-tête."
         )
     if max_rows is not None and table.limit(max_rows + 1).count() > max_rows:
-        raise Refused(f"Ce fichier contient plus de {max_rows} lignes. Filtre-le avant de le déposer.")
+        raise Refused(f"La table a plus de {max_rows} lignes, le maximum admis.")
 
 
 # --- Text files ---------------------------------------------------------------------------
@@ -94,33 +95,55 @@ def read_text(
     spark: SparkSession, path: str, *, separator: str | None = None, with_position: bool = False
 ) -> DataFrame:
     """A CSV table with every column as text, missing cells null, and sound column names."""
-    rows, names = _scan(spark, path, list_files(spark, path), separator, with_position)
-    if not rows.where(quoted(OVERFLOW).isNotNull()).isEmpty():
+    rows, names, overflow = _scan(spark, path, list_files(spark, path), separator, with_position)
+    if not rows.where(quoted(overflow).isNotNull()).isEmpty():
         raise _unreadable()
     return rows.select(*[quoted(name) for name in names])
 
 
 def _scan(
     spark: SparkSession, path: str, files: DataFrame, separator: str | None = None, with_position: bool = False
-) -> tuple[DataFrame, list[str]]:
-    """The cells as text with one column more, for what a record holds beyond the header."""
-    first = files.where("length > 0").sort("path").head()["path"]
-    separator = separator or detect_separator(spark, first)
-    reader = _reader(spark, separator, multiline=_needs_whole_files(spark, path, files))
-    names = repair_header(_first_record(spark, first, separator))
-    raw = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*raw, OVERFLOW]])
-    rows = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    cells = [_missing(F.col(column)).alias(name) for column, name in zip(raw, names)]
-    places = [_position().alias(POSITION)] if with_position else []
-    kept = [*names, POSITION] if with_position else names
-    return rows.select(*cells, *places, OVERFLOW), kept
+) -> tuple[DataFrame, list[str], str]:
+    """The cells as text with one column more, for what a record holds beyond the header; the names; that column's name.
+
+    Every file's header is read.  Files that have the same columns in another order are read in their
+    own order and put together by name; files with other columns are refused.
+    """
+    full = [row["path"] for row in files.where("length > 0").sort("path").select("path").toLocalIterator()]
+    separator = separator or detect_separator(spark, full[0])
+    multiline = _needs_whole_files(spark, path, files)
+    reader = _reader(spark, separator, multiline)
+    headers: dict[tuple, list[str]] = {}
+    for file in full:  # one line of each file
+        headers.setdefault(tuple(_first_record(spark, file, separator, multiline)), []).append(file)
+    names = repair_header(next(iter(headers)))
+    overflow, position = free(OVERFLOW, names), free(POSITION, names)
+    parts = []
+    for header, own in headers.items():
+        found = repair_header(header)
+        if sorted(found) != sorted(names):
+            raise Refused(f"Les fichiers n'ont pas les mêmes colonnes : {sorted(set(found) ^ set(names))}.")
+        raw = [f"c{i}" for i in range(len(found))]
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in [*raw, "rest"]])
+        rows = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(own if len(headers) > 1 else path)
+        places = [_position().alias(position)] if with_position else []
+        cells = {name: _missing(F.col(column)).alias(name) for column, name in zip(raw, found)}
+        parts.append(rows.select(*[cells[name] for name in names], *places, F.col("rest").alias(overflow)))
+    kept = [*names, position] if with_position else names
+    return reduce(DataFrame.unionByName, parts), kept, overflow
+
+
+def free(wanted: str, names: Sequence[str]) -> str:
+    """``wanted``, with underscores added until no column is called so in any case."""
+    taken = {name.lower() for name in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def _unreadable() -> Refused:
     return Refused(
-        "Ce fichier n'a pas pu être lu. Vérifie qu'il s'agit bien d'un tableau "
-        "avec une ligne d'en-têtes, puis réessaie."
+        "Lecture impossible : un enregistrement a plus de cellules que l'en-tête."
     )
 
 
@@ -170,25 +193,26 @@ def detect_separator(spark: SparkSession, file: str) -> str:
         return fixed.DEFAULT_SEPARATOR
 
 
-def _first_record(spark: SparkSession, file: str, separator: str) -> Sequence[str | None]:
-    record = _reader(spark, separator, multiline=False).option("header", False).csv(file).head()
+def _first_record(spark: SparkSession, file: str, separator: str, multiline: bool) -> Sequence[str | None]:
+    record = _reader(spark, separator, multiline).option("header", False).csv(file).head()
     return list(record) if record else []
 
 
 def repair_header(cells: Sequence[str | None]) -> list[str]:
-    """Unique column names: blanks are numbered by position, repeats by occurrence."""
+    """Column names that differ in more than case: blanks are numbered by position, repeats by occurrence."""
     wanted = [cell if cell else f"Unnamed: {i}" for i, cell in enumerate(cells)]
-    taken, names, seen = set(wanted), [], {}
+    taken, names, seen = {name.lower() for name in wanted}, [], {}
     for name in wanted:
-        if name not in seen:
-            seen[name] = 0
+        same = name.lower()
+        if same not in seen:
+            seen[same] = 0
             names.append(name)
             continue
         candidate = name
-        while candidate in taken:
-            seen[name] += 1
-            candidate = f"{name}.{seen[name]}"
-        taken.add(candidate)
+        while candidate.lower() in taken:
+            seen[same] += 1
+            candidate = f"{name}.{seen[same]}"
+        taken.add(candidate.lower())
         names.append(candidate)
     return names
 
@@ -200,7 +224,7 @@ def _missing(cell: Column) -> Column:
 # --- Promotion ----------------------------------------------------------------------------
 
 
-def promotions(df: DataFrame, keep: Sequence[str] = ()) -> dict[str, str]:
+def promotions(df: DataFrame, keep: Sequence[str] = (), overflow: str | None = None) -> dict[str, str]:
     """Columns of text that are numbers without exception, and the type each becomes.
 
     One pass over the rows, one row of verdicts per column.
@@ -220,7 +244,7 @@ def promotions(df: DataFrame, keep: Sequence[str] = ()) -> dict[str, str]:
         ).collect()
     )
     names = {ref.index: ref.name for ref in refs}
-    if any(names[row["c"]] == OVERFLOW for row in verdicts):
+    if any(names[row["c"]] == overflow for row in verdicts):
         raise _unreadable()  # a record longer than the header: the same pass sees it
     return {
         names[row["c"]]: "bigint" if row["entier"] else "double"
@@ -229,9 +253,9 @@ def promotions(df: DataFrame, keep: Sequence[str] = ()) -> dict[str, str]:
     }
 
 
-def promote(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def promote(df: DataFrame, keep: Sequence[str] = (), overflow: str | None = None) -> DataFrame:
     """The table with its lossless numeric columns as numbers; a decimal comma becomes a dot."""
-    kinds = promotions(df, keep)
+    kinds = promotions(df, keep, overflow)
 
     def cell(name: str) -> Column:
         if name not in kinds:

@@ -79,7 +79,7 @@ def find(rows: DataFrame, file_id: str) -> dict:
     """One dataset, or a refusal when there is none."""
     row = current(rows.where(F.col("id") == file_id)).head()
     if row is None:
-        raise Refused("Ce fichier n'existe pas ou a été supprimé.")
+        raise Refused("Aucun fichier de ce numéro : il n'existe pas dans le registre.")
     return row.asDict()
 
 
@@ -91,10 +91,10 @@ def profile_of(rows: DataFrame, file_id: str) -> str:
 def check_maskable(row: dict) -> None:
     """A dataset is masked once, and only if there is something to mask."""
     if row["pii_status"] == fixed.PII_MASKED:
-        raise Refused("Ce fichier a déjà été pseudonymisé.")
+        raise Refused("Les jetons remplacent déjà les valeurs de ce fichier.")
     if row["pii_status"] != fixed.PII_FOUND:
         raise Refused(
-            "Aucune donnée personnelle n'a été détectée dans ce fichier : il n'y a rien à pseudonymiser."
+            "Ce fichier ne montre pas de données personnelles : rien à pseudonymiser."
         )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,7 +40,7 @@ def watch(
 
     def take(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        done = registry.read(session, store.registry).select("path").distinct()
+        done = registry.read(session, store.registry).where(F.col("workspace_id") == workspace).select("path").distinct()
         fresh = batch.join(done, "path", "left_anti").sort("path").collect()  # at most files_per_trigger
         accepted, refused = [], []
         for arrival in fresh:
@@ -49,6 +50,8 @@ def watch(
                 )
             except Refused as reason:
                 refused.append({"path": arrival["path"], "motif": str(reason)})
+            except PySparkException as failure:  # a file that cannot be read must not stop those after it
+                refused.append({"path": arrival["path"], "motif": f"Lecture impossible : {type(failure).__name__}."})
         if refused:
             local_table(session, refused, REFUSAL_SCHEMA).coalesce(1).write.mode("append").parquet(f"{store.folder}/refus")
         if accepted:

@@ -24,7 +24,7 @@ def frame(spark, **columns):
     rows = list(zip(*columns.values()))
     kinds = {int: "bigint", float: "double", str: "string", bool: "boolean", Decimal: "decimal(20,2)"}
     types = [next(kinds[type(v)] for v in columns[name] + [""] if v is not None) for name in names]
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in zip(names, types))
+    schema = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in zip(names, types))
     return spark.createDataFrame(rows, schema).coalesce(1)
 
 
