@@ -14,7 +14,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.llm.common import bounded_batches
@@ -60,42 +60,35 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
-def _signed(value: int) -> int:
-    return value - (1 << BITS) if value >> (BITS - 1) else value
-
-
-def near_masks() -> list[int]:
-    """The masks of distance 0 and 1."""
-    return [0, *(_signed(1 << bit) for bit in range(BITS))]
-
-
-def far_masks() -> list[int]:
-    """The masks of distance 2 with both bits in the same half."""
-    half = BITS // 2
-    return [
-        _signed(1 << first | 1 << second)
-        for start in (0, half) for first, second in combinations(range(start, start + half), 2)
-    ]
+HALF = BITS // 2
+SINGLES = [1 << bit for bit in range(HALF)]
+PAIRS = [a | b for a, b in combinations(SINGLES, 2)]
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column ``print``), enough to connect all at distance 3 or less.
 
     Around each point, all fingerprints at distance 1 or less, and those that came from distance 2, are linked to the
-    smallest of the former: at most 1 + 2 bits apart.
+    smallest of the former: at most 1 + 2 bits apart. Points are dealt by one half of their bits, once for each half: a
+    fingerprint is sent to its own half and the 32 halves a bit away, and the points that share its half are formed there.
     """
-    def emitted(source: DataFrame, masks: list[int]) -> DataFrame:
-        return source.select("print", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select(
-            F.col("print").bitwiseXOR(F.col("mask")).alias("point"), "print"
-        )
-
-    near = emitted(prints, near_masks())
-    centers = near.groupBy("point").agg(F.min("print").alias("center"), F.count("*").alias("members"))
-    far = emitted(prints.where(F.bit_count("print") % 2 == 0), far_masks())
-    # The smaller side is built into a hash table by partition, so that the points at distance 2 need no sort.
-    met = far.join(centers.select("point", "center").hint("shuffle_hash"), "point").select("print", "center")
-    shared = near.join(centers.where("members > 1").select("point", "center").hint("shuffle_hash"), "point").select("print", "center")
-    return met.unionByName(shared).where("print <> center").distinct()
+    masks = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
+    low, high = F.col("print").bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftrightunsigned("print", HALF)
+    sent = (
+        prints.select("print", F.explode(F.array(F.struct(high.alias("key"), low.alias("rest"), F.lit(0).alias("half")), F.struct(low.alias("key"), high.alias("rest"), F.lit(1).alias("half")))).alias("to"))
+        .select("print", "to.half", "to.key", "to.rest", F.explode(masks([0, *SINGLES])).alias("step"))
+        .select("half", F.col("key").bitwiseXOR(F.col("step")).alias("key"), "rest", "print", (F.col("step") == 0).alias("own"))
+        .repartition("half", "key")
+    )
+    even = F.bit_count("print") % 2 == 0
+    flips = F.when(F.col("own") & even, masks([0, *SINGLES, *PAIRS])).when(F.col("own"), masks([0, *SINGLES])).otherwise(masks([0]))
+    points = sent.select("half", "key", "rest", "print", F.explode(flips).alias("flip")).select(
+        "half", "key", F.col("rest").bitwiseXOR(F.col("flip")).alias("point"), "print", (F.bit_count("flip") < 2).alias("near")
+    )
+    # Partitioned by half and key already: the window sorts, but moves nothing.
+    around = Window.partitionBy("half", "key", "point")
+    met = points.withColumn("center", F.min(F.when(F.col("near"), F.col("print"))).over(around))
+    return met.where("center <> print").select("print", "center").distinct()
 
 
 def near_duplicates(
