@@ -17,6 +17,10 @@ from tamis.functions import fixed, text
 from tamis.operators.columns import ColumnRef, melt
 
 
+# Characters of a long text that order it among values of equal count; beyond them its digest does.
+ORDER_LENGTH = 256
+
+
 def count_values(df: DataFrame, refs: Sequence[ColumnRef]) -> DataFrame:
     """Rows (c, v, n) of columns of one physical family; see ``signed_count`` for missing values."""
     return melt(df, refs).groupBy("c", "v").agg(signed_count("v"))
@@ -58,6 +62,7 @@ def _long_steps() -> list[dict[str, Column]]:
         F.coalesce(text.matches_pii(stripped, fixed.EMAIL), F.lit(False)).alias("email"),
         F.coalesce(text.is_known_name(word), F.lit(False)).alias("name"),
         F.when(long, text.shown(value)).alias("shown"),
+        F.substring(value, 1, ORDER_LENGTH).alias("start"),
     )
     return [
         {"_long": text.is_long(value)},

@@ -92,7 +92,10 @@ def _value_branch(df: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[st
     if family == TEXT:
         values = frequency.count_texts(df, group)
         parts = [frequency.missing_counts(values), frequency.text_measures(values)]
-        printed = values.withColumn("rang", F.coalesce(F.col("long")["shown"], F.col("v")))
+        printed = values.select(
+            "c", "v", "n", F.coalesce(F.col("long")["start"], F.col("v")).alias("rang"),
+            F.coalesce(F.col("long")["shown"], F.col("v")).alias("montre"), F.col("long").isNotNull().alias("longue"),
+        )
     else:
         values = frequency.count_values(df, group)
         whole, binary = _whole(family), _binary(family)
@@ -189,13 +192,15 @@ def _top_values(counted: DataFrame) -> DataFrame:
 
     Spark keeps five rows per column in every task before anything moves.
     """
-    window = Window.partitionBy("c").orderBy(F.desc("n"), "rang", "v")
+    if "montre" not in counted.columns:
+        counted = counted.withColumns({"montre": F.col("rang"), "longue": F.lit(False)})
+    window = Window.partitionBy("c").orderBy(F.desc("n"), "rang", "longue", "v")
     best = (
         counted.where("n > 0")
-        .select("c", "rang", "v", "n", F.row_number().over(window).alias("place"))
+        .select("c", "montre", "n", F.row_number().over(window).alias("place"))
         .where(F.col("place") <= fixed.TOP_VALUE_COUNT)
     )
-    listed = F.array_sort(F.collect_list(F.struct("place", text.shown(F.col("rang")).alias("valeur"), "n")))
+    listed = F.array_sort(F.collect_list(F.struct("place", text.shown(F.col("montre")).alias("valeur"), "n")))
     return best.groupBy("c").agg(listed.alias("l")).select(
         "c",
         F.transform("l", lambda e: F.struct(e["valeur"].alias("valeur"), e["n"].alias("occurrences")))

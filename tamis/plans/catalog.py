@@ -16,7 +16,7 @@ from tamis.operators.columns import columns_of, melt
 from tamis.operators.duplicates import duplicate_rows
 from tamis.operators.local import local_table
 from tamis.operators.profile import (
-    column_profiles, context, first_examples, measure, profile, profile_from,
+    EVERYTHING, column_profiles, context, first_examples, measure, profile, profile_from,
 )
 from tamis.plans import statements as sql
 from tamis.plans import views
@@ -315,12 +315,11 @@ _LONG = {"text": sql.TEXT, "lang": sql.TEXT, "source": sql.TEXT, "n_chars": sql.
 
 
 @query("profile_long_texts", sql.profile_statement(
-    "SELECT nom, type, valeurs_manquantes, cardinalite, moyenne FROM prof", "documents", [], "documents", _LONG, "doc_id"))
+    f"SELECT {', '.join(_FLAT)} FROM prof", "documents", [], "documents", _LONG, "doc_id"))
 def profile_long_texts(spark, folder):
-    documents = views.read(spark, folder, "documents").select(*_LONG)
-    measures = measure(documents, wanted=("statistics",))
-    return column_profiles(measures).select(
-        "nom", "type", "valeurs_manquantes", "cardinalite", F.col("statistiques.moyenne").alias("moyenne"))
+    documents = views.read(spark, folder, "documents").select("doc_id", *_LONG)
+    measures = measure(documents, order_by=["doc_id"], exclude=["doc_id"], wanted=EVERYTHING)
+    return flat(column_profiles(measures)).select(*_FLAT)
 
 
 _DECIMALS = {"cle": sql.NUMBER, "prix": sql.NUMBER, "solde": sql.NUMBER, "drapeau": sql.NUMBER}
