@@ -11,14 +11,13 @@ import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions import text
 from tamis.operators import quantiles
 from tamis.operators.columns import columns_of, melt, quoted
 from tamis.operators.crosscheck import folded, orphan_keys
-from tamis.operators.duplicates import duplicate_rows
 from tamis.operators.local import local_table
 from tamis.operators.lookup import attach
 from tamis.session import written
@@ -111,16 +110,25 @@ def replay(df: DataFrame, actions: Iterable[CleaningAction]) -> DataFrame:
 
 
 def rows_affected(df: DataFrame, actions: Iterable[CleaningAction]) -> list[tuple[int, int]]:
-    """(order_index, rows) for each enabled action, each counted on the state it meets."""
-    counts, state = [], df
+    """(order_index, rows) for each enabled action, each counted on the state it meets.
+
+    The counts are observed while the whole plan runs once.
+    """
+    watched, state = [], df
     for action in _enabled(actions):
         if action.action_type == DEDUPE:
-            affected = duplicate_rows(state).head()["doublons"]
+            before, after = Observation(), Observation()
+            state = state.observe(before, F.count(F.lit(1)).alias("n")).dropDuplicates()
+            state = state.observe(after, F.count(F.lit(1)).alias("n"))
+            watched.append((action.order_index, before, after))
         else:
-            affected = _marked(state, action).agg(F.count_if("_touchee")).head()[0]
-        counts.append((action.order_index, affected))
-        state = _apply(state, action)
-    return counts
+            touched = Observation()
+            marked = _marked(state, action).observe(touched, F.count_if("_touchee").alias("n"))
+            state = _changed(state.columns, marked, action)
+            watched.append((action.order_index, touched, None))
+    if watched:
+        state.write.format("noop").mode("overwrite").save()
+    return [(at, one.get["n"] - (other.get["n"] if other else 0)) for at, one, other in watched]
 
 
 def _enabled(actions: Iterable[CleaningAction]) -> list[CleaningAction]:
@@ -134,10 +142,14 @@ def toggled(actions: Sequence[CleaningAction], order_index: int, enabled: bool)
 def _apply(df: DataFrame, action: CleaningAction) -> DataFrame:
     if action.action_type == DEDUPE:
         return df.dropDuplicates()
-    marked = _marked(df, action)
+    return _changed(df.columns, _marked(df, action), action)
+
+
+def _changed(names: Sequence[str], marked: DataFrame, action: CleaningAction) -> DataFrame:
+    """The table after an action, from the marked one."""
     name, params = action.column_name, action.params
     value = quoted(name)
-    columns = [quoted(column) for column in df.columns]
+    columns = [quoted(column) for column in names]
     if action.action_type in FLAG_SUFFIX and not params.get("drop"):
         return marked.select(*columns, F.col("_touchee").alias(name + FLAG_SUFFIX[action.action_type]))
     if action.action_type in FLAG_SUFFIX:
@@ -187,3 +199,37 @@ def plan_table(spark: SparkSession, file_id: str, actions: Sequence[CleaningActi
         for one in actions
     ]
     return local_table(spark, rows, ACTION_SCHEMA)
+
+
+def store_plan(
+    spark: SparkSession, folder: str, file_id: str, actions: Sequence[CleaningAction], affected=()
+) -> str:
+    """Write a plan, and the tables among its parameters, below ``folder``; returns where the plan is."""
+    place = f"{folder.rstrip('/')}/{file_id}"
+
+    def stored(action: CleaningAction, name: str, value):
+        if not isinstance(value, DataFrame):
+            return value
+        path = f"{place}/{action.order_index}-{name}"
+        value.write.mode("overwrite").parquet(path)
+        return {"parquet": path}
+
+    kept = [replace(one, params={name: stored(one, name, value) for name, value in one.params.items()}) for one in actions]
+    plan_table(spark, file_id, kept, affected).coalesce(1).write.mode("overwrite").parquet(f"{place}/plan")
+    return f"{place}/plan"
+
+
+def stored_plan(spark: SparkSession, folder: str, file_id: str) -> list[CleaningAction]:
+    """The actions of a stored plan, ready to be replayed."""
+    rows = spark.read.schema(ACTION_SCHEMA).parquet(f"{folder.rstrip('/')}/{file_id}/plan").collect()  # a row per action
+
+    def read(value):
+        return spark.read.parquet(value["parquet"]) if isinstance(value, dict) and "parquet" in value else value
+
+    return [
+        CleaningAction(
+            row["order_index"], row["action_type"], row["column_name"],
+            {name: read(value) for name, value in json.loads(row["params"]).items()}, row["enabled"],
+        )
+        for row in rows
+    ]

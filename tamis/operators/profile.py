@@ -51,14 +51,17 @@ def measure(
     order_by: Sequence[str] | None = None,
     exclude: Sequence[str] = (),
     wanted: Sequence[str] = EVERYTHING,
+    hold: bool = True,
 ) -> DataFrame:
     """Everything a profile and a detection are made of: one row per column, one for the table.
 
     The independent branches run as concurrent jobs.  What each brings back is one row per
     column of the table; cells never leave the executors, but for the examples and frequent
     values a profile displays.  Columns named in ``order_by`` give the row order (default: the
-    order in which files are read).
+    order in which files are read).  ``hold`` keeps a small table in memory between the passes.
     """
+    if not hold:
+        return _measured(df, df, order_by, exclude, wanted)
     with held(df) as table:
         return _measured(df, table, order_by, exclude, wanted)
 

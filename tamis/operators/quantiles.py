@@ -175,7 +175,9 @@ def _interpolated() -> list[Column]:
     out = []
     for i, name in enumerate(NAMES):
         low, high = F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}")
-        out.append((low + (high - low) * F.get("parts", F.lit(i))).alias(name))
+        part = F.get("parts", F.lit(i))
+        # The same arithmetic as Spark's percentile, to the last bit.
+        out.append(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(name))
     return out
 
 

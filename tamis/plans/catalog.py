@@ -218,25 +218,6 @@ def iqr_outliers(spark, folder):
     return _stack(frames)
 
 
-@query("modality_variants", sql.over([sql.staff_sql()], """
-    SELECT 'service' AS nom, count(DISTINCT service) AS graphies, count(DISTINCT lower(trim(service))) AS formes,
-      count(DISTINCT service) - count(DISTINCT lower(trim(service))) AS variantes FROM staff"""))
-def modality_variants(spark, folder):
-    measures = measure(views.staff(spark, folder).select("service"), wanted=())
-    return measures.where("c >= 0").select(
-        "nom", F.col("distinctes").alias("graphies"), F.col("sans_casse").alias("formes"),
-        (F.col("distinctes") - F.col("sans_casse")).alias("variantes"))
-
-
-@query("date_shapes", sql.over([sql.sales_sql()], f"""
-    SELECT {sql.shape('date_vente')} AS forme, count(*) AS occurrences FROM sales GROUP BY 1"""))
-def date_shapes(spark, folder):
-    shape = text.date_shape(text.strip(F.col("date_vente")))
-    return views.sales(spark, folder).groupBy(shape.alias("forme")).agg(F.count(F.lit(1)).alias("occurrences"))
-
-
-# --- Profiles -----------------------------------------------------------------------------
-
 _FLAT = (
     "nom", "type", "valeurs_manquantes", "part_manquantes", "cardinalite", "exemples", *_STATISTICS,
     "modalites", "anomalie",
@@ -259,6 +240,48 @@ def flat(columns: DataFrame, *kept: str) -> DataFrame:
     )
 
 
+@query("quartiles_narrowed", """
+    WITH m AS (SELECT 'l_extendedprice' AS nom, l_extendedprice AS d FROM lineitem UNION ALL
+      SELECT 'l_quantity', l_quantity FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem)
+    SELECT nom, round(quantile_cont(d, 0.25), 4) AS q25, round(quantile_cont(d, 0.5), 4) AS q50,
+      round(quantile_cont(d, 0.75), 4) AS q75 FROM m GROUP BY nom""")
+def quartiles_narrowed(spark, folder):
+    """The way of large columns: brackets, counts around them, slices."""
+    lines = views.read(spark, folder, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")
+    refs = columns_of(lines)
+    numbers = melt(lines, refs, lambda ref: ref.number)
+    found = quantiles.quartiles(numbers, quantiles.sketches(numbers).collect(), small=0)
+    rows = [{"nom": refs[row["c"]].name, **{f"q{p}": round(row[f"q{p}"], 4) for p in (25, 50, 75)}} for row in found]
+    return local_table(spark, rows, "nom string, q25 double, q50 double, q75 double")
+
+
+@query("profile_unheld", sql.profile_statement(
+    f"SELECT {', '.join(_FLAT)} FROM prof", "sales", *sql.SALES_SPEC))
+def profile_unheld(spark, folder):
+    """The profile of a table too large to be kept in memory between the passes."""
+    measures = measure(views.sales(spark, folder), order_by=["ordre"], hold=False)
+    return flat(column_profiles(measures)).select(*_FLAT)
+
+
+@query("modality_variants", sql.over([sql.staff_sql()], """
+    SELECT 'service' AS nom, count(DISTINCT service) AS graphies, count(DISTINCT lower(trim(service))) AS formes,
+      count(DISTINCT service) - count(DISTINCT lower(trim(service))) AS variantes FROM staff"""))
+def modality_variants(spark, folder):
+    measures = measure(views.staff(spark, folder).select("service"), wanted=())
+    return measures.where("c >= 0").select(
+        "nom", F.col("distinctes").alias("graphies"), F.col("sans_casse").alias("formes"),
+        (F.col("distinctes") - F.col("sans_casse")).alias("variantes"))
+
+
+@query("date_shapes", sql.over([sql.sales_sql()], f"""
+    SELECT {sql.shape('date_vente')} AS forme, count(*) AS occurrences FROM sales GROUP BY 1"""))
+def date_shapes(spark, folder):
+    shape = text.date_shape(text.strip(F.col("date_vente")))
+    return views.sales(spark, folder).groupBy(shape.alias("forme")).agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+# --- Profiles -----------------------------------------------------------------------------
+
 @query("anomalies", sql.per_table(
     lambda name, *spec: sql.profile_statement(
         "SELECT {name} AS jeu, nom, anomalie FROM prof WHERE anomalie IS NOT NULL", name, *spec), sql.BOTH))
@@ -437,6 +460,13 @@ def pii_masked_table(spark, folder):
     return privacy.pseudonymise(staff, found, order_by="cle")[0]
 
 
+@query("pii_masked_by_shuffle", sql.over([sql.staff_sql(), sql.token_ctes()], f"SELECT {_MASKED} FROM staff"))
+def pii_masked_by_shuffle(spark, folder):
+    """The way of large token tables: joined by shuffle, hot keys apart."""
+    staff, found = _staff_and_detections(spark, folder)
+    return privacy.pseudonymise(staff, found, order_by="cle", broadcast_rows=0)[0]
+
+
 @query("pii_masking_summary", sql.over([sql.staff_sql(), sql.token_ctes()],
     "SELECT colonne, count(*) AS valeurs_masquees FROM jet GROUP BY colonne"))
 def pii_masking_summary(spark, folder):
@@ -599,6 +629,44 @@ def clean_replay(spark, folder):
     return cleaning.replay(staff, actions).select("cle", "service", F.round("salaire", 2).alias("salaire"))
 
 
+def _sales_plan(spark: SparkSession, folder: str):
+    sales = views.sales(spark, folder)
+    return sales, [
+        cleaning.CleaningAction(0, cleaning.DATES, "date_vente"),
+        cleaning.CleaningAction(1, cleaning.DEDUPE),
+        cleaning.CleaningAction(2, cleaning.NEGATIVES, "montant"),
+        cleaning.flag_orphans(sales, "cle", views.staff(spark, folder), "cle", order_index=3),
+    ]
+
+
+_SALES_REPLAYED = [
+    sql.sales_sql(), sql.staff_sql(),
+    f"d AS (SELECT DISTINCT ordre, id_vente, cle, coalesce({_PARSED}, date_vente) AS date_vente, client, montant, statut FROM sales)",
+]
+
+
+@query("clean_replay_stored", sql.over(_SALES_REPLAYED, """
+    SELECT *, montant < 0 AS montant_negatif, cle NOT IN (SELECT cle FROM staff) AS cle_orphelin FROM d"""))
+def clean_replay_stored(spark, folder):
+    """A plan written, read back and replayed."""
+    sales, actions = _sales_plan(spark, folder)
+    place = _new_folder(spark, "plans")
+    cleaning.store_plan(spark, place, "ventes", actions)
+    return cleaning.replay(sales, cleaning.stored_plan(spark, place, "ventes"))
+
+
+@query("clean_replay_stored_counts", sql.over(_SALES_REPLAYED, f"""
+    SELECT 0 AS order_index, 'unify_dates' AS action_type, (SELECT count(*) FROM sales WHERE {_PARSED} <> date_vente) AS rows_affected
+    UNION ALL SELECT 1, 'drop_duplicates', (SELECT count(*) FROM sales) - (SELECT count(*) FROM d)
+    UNION ALL SELECT 2, 'flag_negative', (SELECT count(*) FROM d WHERE montant < 0)
+    UNION ALL SELECT 3, 'flag_orphans', (SELECT count(*) FROM d WHERE cle NOT IN (SELECT cle FROM staff))"""))
+def clean_replay_stored_counts(spark, folder):
+    sales, actions = _sales_plan(spark, folder)
+    place = _new_folder(spark, "plans")
+    path = cleaning.store_plan(spark, place, "ventes", actions, cleaning.rows_affected(sales, actions))
+    return spark.read.parquet(path).select("order_index", "action_type", "rows_affected")
+
+
 @query("clean_replay_counts", sql.over(_REPLAYED, """
     SELECT 0 AS order_index, 'handle_outliers' AS action_type, (SELECT count(*) FROM staff) - (SELECT count(*) FROM e0) AS rows_affected
     UNION ALL SELECT 1, 'impute_mean', (SELECT count(*) FROM e0 WHERE salaire IS NULL)
