@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +34,27 @@ class Store:
 
 
 def examine(df: DataFrame, order_by: str | None = None) -> tuple[dict, list[privacy.Detection]]:
-    """Profile (as JSON, with its score) and detections of a table, from one set of measures."""
+    """Profile (as JSON, with its score) and detections of a table, from one set of measures.
+
+    The profile is stored for good, so it shows no value of a column that is detected as personal.
+    """
     hidden = () if order_by is None or not order_by.startswith("_") else (order_by,)
     measures = measure(df, order_by=None if order_by is None else [order_by], exclude=hidden)
     profiled = profile_from(measures).select(
         F.to_json(F.struct("*")).alias("profile"), "score_qualite"
     ).head()
     found = privacy.detections(privacy.detections_from(measures))
-    return {"profile": profiled["profile"], "score": profiled["score_qualite"]}, found
+    return {"profile": _withheld(profiled["profile"], {one.colonne for one in found}), "score": profiled["score_qualite"]}, found
+
+
+def _withheld(profile: str, names: set[str]) -> str:
+    """A profile without the examples and frequent values of some columns."""
+    whole = json.loads(profile)
+    for column in whole["colonnes"]:
+        if column["nom"] in names:
+            column["exemples"] = []
+            column.get("statistiques", {}).pop("modalites_frequentes", None)
+    return json.dumps(whole, ensure_ascii=False)
 
 
 def register(
@@ -106,8 +120,10 @@ def pseudonymise(
     )
     registry.append(spark, store.registry, [new])
     summary = privacy.masking_summary(mapping).collect()  # one row per masked column
+    audited = privacy.leak_audit(again.drop(again.columns[-1]), mapping, key=key).head()
     return {
         **new,
         "colonnes_masquees": [one.colonne for one in found],
         "valeurs_masquees": sum(line["valeurs_masquees"] for line in summary),
+        "fuites": audited["fuites"],
     }

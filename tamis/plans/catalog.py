@@ -710,6 +710,67 @@ def rate_card_gaps(spark, folder):
     return metering.rate_card_gaps(_usage(spark, folder), metering.rate_card(spark))
 
 
+@query("csv_ragged", """
+    SELECT o_orderkey AS ordre, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS statut,
+      CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice END AS montant FROM orders""")
+def csv_ragged(spark, folder):
+    """Records with fewer cells than the header: what lacks is missing."""
+    path = f"{_new_folder(spark, 'inegal')}/table.csv"
+    cells = F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws(",", "o_orderkey")).when(
+        F.col("o_orderkey") % 3 == 2, F.concat_ws(",", "o_orderkey", "o_orderstatus")
+    ).otherwise(F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_totalprice"))
+    lines = views.read(spark, folder, "orders").select(cells.alias("ordre,statut,montant"))
+    lines.write.option("header", True).option("quote", "").option("sep", "\x01").csv(path)
+    return loader.load(spark, path)
+
+
+@query("admission", """
+    SELECT nom, n <= 500 AS admise, n AS nb_lignes FROM (
+      SELECT 'nation' AS nom, count(*) AS n FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier
+      UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part)""")
+def admission(spark, folder):
+    """Tables of at most 500 rows are admitted, in either format."""
+    frames = []
+    for name, kind in (("nation", "csv"), ("supplier", "parquet"), ("customer", "csv"), ("part", "parquet")):
+        table = views.read(spark, folder, name)
+        path = sinks.write_table(table, f"{_new_folder(spark, 'admission')}/{name}.{kind}")
+        try:
+            admitted = not loader.load(spark, path, max_rows=500).isEmpty()
+        except loader.Refused:
+            admitted = False
+        frames.append(table.agg(F.count(F.lit(1)).alias("nb_lignes")).select(F.lit(name).alias("nom"), F.lit(admitted).alias("admise"), "nb_lignes"))
+    return _stack(frames)
+
+
+@query("stored_profile", """
+    SELECT 'supplier.csv' AS name, count(*) AS nb_lignes, (SELECT count(*) FROM (DESCRIBE supplier)) AS nb_colonnes,
+      round(avg(s_acctbal), 2) AS moyenne FROM supplier""")
+def stored_profile(spark, folder):
+    """A profile written to the registry and found again by the dataset's number."""
+    path = sinks.write_table(views.read(spark, folder, "supplier"), f"{_new_folder(spark, 'fiche')}/supplier.csv")
+    store = intake.Store(_new_folder(spark, "registre"))
+    row = intake.register(spark, store, "w1", path)
+    found = registry.find(registry.read(spark, store.registry), row["id"])
+    whole = registry.read(spark, store.registry).where(F.col("id") == found["id"]).select("name", F.from_json(
+        "profile", "nb_lignes bigint, nb_colonnes bigint, colonnes array<struct<nom:string,statistiques:struct<moyenne:double>>>").alias("p"))
+    balance = F.filter("p.colonnes", lambda c: c["nom"] == "s_acctbal")[0]["statistiques"]["moyenne"]
+    return whole.select("name", "p.nb_lignes", "p.nb_colonnes", balance.alias("moyenne"))
+
+
+@query("stored_tokens", sql.over([sql.staff_sql(), sql.token_ctes()], """
+    SELECT 'masquee' AS pii_status, 2 AS version, 0 AS fuites, colonne AS column_name, count(*) AS jetons FROM jet GROUP BY colonne"""))
+def stored_tokens(spark, folder):
+    """A registered dataset masked: its new status and version, the audit, and the tokens kept for each column."""
+    path = sinks.write_table(views.staff(spark, folder), f"{_new_folder(spark, 'masque')}/staff.csv")
+    store = intake.Store(_new_folder(spark, "registre"))
+    row = intake.register(spark, store, "w1", path)
+    result = intake.pseudonymise(spark, store, row["id"])
+    now = registry.current(registry.read(spark, store.registry)).select("id", "pii_status", "version")
+    kept = spark.read.parquet(store.mappings).groupBy("file_id", "column_name").agg(F.count_distinct("original_hash").alias("jetons"))
+    return kept.join(now, F.col("file_id") == F.col("id")).select(
+        "pii_status", "version", F.lit(result["fuites"]).cast("int").alias("fuites"), "column_name", "jetons")
+
+
 @query("registry_listing", """
     SELECT concat('fichier-', CAST(doc_id AS VARCHAR)) AS id, concat('doc', CAST(doc_id AS VARCHAR), '.csv') AS name,
       'csv' AS format, doc_id * 10 AS size_bytes,
