@@ -399,6 +399,32 @@ def profile(df: DataFrame, *, order_by: Sequence[str] | None = None, exclude: Se
     return profile_from(measure(df, order_by=order_by, exclude=exclude))
 
 
+def approximate(df: DataFrame, *, exclude: Sequence[str] = (), error: float = 0.01) -> DataFrame:
+    """Cardinalities and quartiles within a relative error, for columns whose values are too many to be shuffled.
+
+    Rows (nom, manquantes, renseignees, distinctes, q25, q50, q75): two passes of partial aggregates, after which one
+    sketch per column and task moves.  ``error`` is the relative standard deviation of the cardinality and the rank
+    error of the quartiles.
+    """
+    refs = [ref for ref in columns_of(df, exclude) if ref.family != NESTED]
+    counted = melt(df, refs, lambda ref: ref.printed).groupBy("c").agg(
+        F.count_if(F.col("v").isNull()).alias("manquantes"), F.count("v").alias("renseignees"),
+        F.approx_count_distinct("v", error).alias("distinctes"),
+    )
+    names = local_table(df.sparkSession, [{"c": ref.index, "nom": ref.name} for ref in refs], "c int, nom string")
+    out = counted.join(F.broadcast(names), "c")  # a row per column
+    numeric = [ref for ref in refs if ref.family in NUMERIC]
+    places = F.array(*(F.lit(p) for p in quantiles.PROBABILITIES))
+    if numeric:
+        found = melt(df, numeric, lambda ref: ref.number).groupBy("c").agg(
+            F.percentile_approx("v", places, round(1 / error)).alias("q")
+        )
+        out = out.join(F.broadcast(found), "c", "left")
+    else:
+        out = out.withColumn("q", F.lit(None).cast("array<double>"))
+    return out.select("nom", "manquantes", "renseignees", "distinctes", *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(quantiles.NAMES)))
+
+
 def context(profiled: DataFrame, redact: Sequence[str] = ()) -> DataFrame:
     """Compact form of a profile, without rows, score, duplicates, missing counts or anomalies.
 

@@ -136,5 +136,30 @@ def test_files_masked_with_one_vault_share_tokens(spark, tmp_path):
     assert tokens[0][1:] == tokens[1][:4] and vault.count() == 6
 
 
+def test_the_approximate_mode_is_within_its_error(spark):
+    from tamis.operators.profile import approximate
+
+    df = spark.range(20_000).select(F.col("id").alias("n"), (F.col("id") % 50).cast("string").alias("s"), F.when(F.col("id") % 4 == 0, F.col("id") * 0.5).alias("x"))
+    got = {r["nom"]: r for r in approximate(df).collect()}
+    assert abs(got["n"]["distinctes"] - 20_000) <= 0.05 * 20_000 and abs(got["s"]["distinctes"] - 50) <= 3
+    assert abs(got["n"]["q50"] - 10_000) <= 0.02 * 20_000 and got["x"]["manquantes"] == 15_000 and got["s"]["q50"] is None
+
+
+def test_a_stored_plan_is_replayed(spark, tmp_path):
+    from tamis.operators import cleaning
+
+    df = spark.createDataFrame([(1, "Data", 5.0), (2, "data", None), (3, "Data", -1.0), (3, "Data", -1.0)], "k int, s string, x double")
+    actions = [
+        cleaning.regroup_spellings(df, "s"), cleaning.impute_mean(df, "x", 1), cleaning.CleaningAction(2, cleaning.DEDUPE),
+        cleaning.CleaningAction(3, cleaning.NEGATIVES, "x"), cleaning.CleaningAction(4, cleaning.DATES, "s", enabled=False),
+    ]
+    counts = cleaning.rows_affected(df, actions)
+    assert counts == [(0, 1), (1, 1), (2, 1), (3, 1)]
+    cleaning.store_plan(spark, str(tmp_path), "f", actions, counts)
+    again = cleaning.stored_plan(spark, str(tmp_path), "f")
+    assert [a.enabled for a in again] == [True, True, True, True, False]
+    assert sorted(map(str, cleaning.replay(df, again).collect())) == sorted(map(str, cleaning.replay(df, actions).collect()))
+
+
 def test_a_separator_of_the_loader_stays_free():
     assert loader.free("_x", ["_X", "a"]) == "_x_"
