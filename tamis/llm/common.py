@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.session import written
+
 #: A word: a maximal run of anything but ASCII white space (for Java and DuckDB regular expressions).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -33,6 +35,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def beside(table: DataFrame, label: str, most_rows: int = 100_000) -> DataFrame:
+    """A table of a few short columns, written; hinted for broadcast if it has at most ``most_rows`` rows."""
+    table = written(table, label)
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+
+
 def word_count(text: Column) -> Column:
     """Words in a text; a missing text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import Hashed, bounded_batches, in_groups, mixed, runs
+from tamis.llm.common import Hashed, beside, bounded_batches, in_groups, mixed, runs
 from tamis.session import written
 
 #: Characters of an n-gram, and bits of one: five of twelve fit in a long.
@@ -298,6 +298,7 @@ def _middle(scores: DataFrame) -> DataFrame:
     centre = scores.groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 10000).alias("middle"), F.count("*").alias("n")).select(
         F.col("lang").alias("band_lang"), "middle", "n"
     )
+    centre = beside(centre, "centres")
     off = F.abs(F.col("perplexity") - F.col("middle")) * F.sqrt("n_words")
     return scores.join(centre, F.col("lang").eqNullSafe(F.col("band_lang"))).groupBy("band_lang").agg(
         F.first("middle").alias("middle"), (1.4826 * F.percentile_approx(off, 0.5, 10000)).alias("scale"), F.first("n").alias("n"),
@@ -326,7 +327,7 @@ def judge(
     scores = written(scores.withColumn(
         "base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     ).withColumn("perplexity", F.when(F.col("n_grams") > 0, -F.col("log_likelihood") / F.col("n_grams"))), "scores")
-    limits = bands(scores, labels)
+    limits = beside(bands(scores, labels), "bands")  # a row per language
     width = spread * F.sqrt(F.lit(FLOOR * FLOOR) + F.pow("scale", F.lit(2)) / F.greatest("n_words", F.lit(1)))
     inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return scores.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left").withColumn(
