@@ -6,6 +6,7 @@ and read again. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,16 @@ from tamis.session import written
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Documents with a number of their own, so that rows with equal or missing ids stay apart; and the number's name."""
+    """Documents with a number of their own, so that rows with equal or missing ids stay apart; and the number's name.
+
+    Rows of a Parquet table have a place, file and row, that is the same in every scan. Other tables are numbered and written.
+    """
     number = free_name(docs, "row_number")
-    return written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.withColumn(number, place), number
+    except AnalysisException:  # not a scan of files
+        return written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered"), number
 
 
 def _only(rows: DataFrame, number: str, kept: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,7 +43,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked, the one with the smallest doc_id stays (the first row of it, if repeated)."""
     rows, number = _numbered(docs)
-    named = rows.select(F.struct("doc_id", F.col(number).alias("number")).alias("doc_id"), "text")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col(number).alias("number"))
+    named = rows.select(order.alias("doc_id"), "text")
     first = simhash.near_duplicates(named).select(F.col("component_id.number")).distinct()
     return _only(rows, number, first, docs.columns)
 
@@ -58,7 +67,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents that the budget leaves out go. At the cut of a budget a document is taken in part: its first words_taken words.
     """
     rows, number = _numbered(docs)
-    taken = mixing.mix(rows, id_column=number).where("rounds > 0 or part > 0")
+    taken = mixing.mix(rows, id_column=number, key_column="doc_id").where("rounds > 0 or part > 0")
     times = F.concat(
         F.array_repeat(F.col("size"), F.col("rounds").cast("int")),
         F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")),

@@ -58,14 +58,14 @@ def random_key(seed: int, *columns: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", key_column: str | None = None,
     weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 0,
 ) -> DataFrame:
     """What the mix takes of each document: doc_id, size, source, source_size, target, taken.
 
     ``taken`` counts words, repeats included. Of a budget of e whole epochs and r words more, every document is taken e
     times, and the documents first in the random order of their source once more, the last of these in part, so that a
-    source's taken words are the whole part of its target exactly.
+    source's taken words are the whole part of its target exactly. The order is by a hash of ``key_column`` (the id by default).
 
     Missing texts and texts without a word have size 0 and give nothing; a missing source is a source, the last in order;
     rows repeated are documents of their own (equal ones are interchangeable, so the result is still fixed); a missing id is
@@ -73,7 +73,8 @@ def mix(
     """
     sized = written(docs.select(
         F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"),
-    ).withColumn("key", random_key(seed, F.col("doc_id"))).withColumn("range", F.substring("key", 1, RANGE_DIGITS)), "mix-sizes")
+        random_key(seed, F.col(key_column or id_column)).alias("key"),
+    ).withColumn("range", F.substring("key", 1, RANGE_DIGITS)), "mix-sizes")
 
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     by_source = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
