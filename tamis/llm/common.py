@@ -35,6 +35,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def sampled(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """All of a table of at most ``rows`` rows, else about so many: those with the smallest hash of ``columns``.
+
+    The share is set by a count, so that no task has to gather the sample.
+    """
+    count = df.count()
+    if count <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) < int(rows / count * (1 << 31)))
+
+
 def beside(table: DataFrame, label: str, most_rows: int = 100_000) -> DataFrame:
     """A table of a few short columns, written; hinted for broadcast if it has at most ``most_rows`` rows."""
     table = written(table, label)

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bounded_batches
+from tamis.llm.common import bounded_batches, sampled
 
-#: Pages whose markup trains the potentials: those with the smallest hash of their id, so many at most.
+#: Pages whose markup trains the potentials: those with the smallest hash of id and html, about so many.
 TRAINING_PAGES = 2000
 
 # Fixed values of HTML.
@@ -286,13 +286,13 @@ def main_text(html: str | None, model: Model) -> str:
 
 
 def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id", limit: int = TRAINING_PAGES) -> Model:
-    """Count potentials over a bounded sample of pages: those with the smallest hash of id and html, ``limit`` at most.
+    """Count potentials over a bounded sample of pages: those with the smallest hash of id and html, about ``limit``.
 
     The sample's counts are summed in Spark; what reaches the driver is one row per feature, of at most
     ``limit`` pages' features.
     """
     bounded_batches(pages.sparkSession)
-    sample = pages.select(F.col(html_column).alias("html"), F.xxhash64(F.col(id_column).cast("string"), html_column).alias("h")).orderBy("h").limit(limit)
+    sample = sampled(pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html")), limit, "id", "html")
 
     def run(batches):
         for batch in batches:

@@ -69,3 +69,12 @@ def test_no_labels_for_the_pages_and_empty_tables(spark):
     labels = spark.createDataFrame([(7, 0, 0), (None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
     assert [r["verdict"] for r in urlrules.judge(table, labels).collect()] == ["allow"]
     assert urlrules.judge(pages(spark, []), labels).count() == 0
+
+
+def test_a_sample_is_bounded_and_fixed(spark):
+    from tamis.llm.common import sampled
+
+    df = spark.range(10_000).select("id")
+    some = sampled(df, 1000, "id")
+    assert 800 < some.count() < 1200 and some.exceptAll(sampled(df.repartition(5), 1000, "id")).count() == 0
+    assert sampled(df, 10_000, "id").count() == 10_000
