@@ -11,13 +11,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.llm.common import sampled
 from tamis.session import written
 
 #: Listed rules: verdict, host, path.
 LISTED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Least share of labelled URLs that hold a rule's tokens and the label, and least share of the URLs with the tokens that do.
 SUPPORT, CONFIDENCE = 0.002, 0.6
-#: Labelled URLs that rules are mined from: those with the smallest hash, so many at most.
+#: Labelled URLs that rules are mined from: those with the smallest hash of their row, about so many.
 LABELLED = 2_000_000
 BAD = "label:bad"
 
@@ -64,11 +65,11 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 def mine(urls: DataFrame, bad: Column, *, support: float = SUPPORT, confidence: float = CONFIDENCE, limit: int = LABELLED) -> DataFrame:
     """Rules from labelled urls (column ``url``): rule_id, tokens, key (the rarest token), support, confidence.
 
-    FP-growth runs over at most ``limit`` labelled URLs; a rule whose tokens include those of another rule with as much
+    FP-growth runs over about ``limit`` labelled URLs at most; a rule whose tokens include those of another rule with as much
     confidence is pruned. The number of rules is bounded by the support, not by the URLs.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    labelled = urls.where(bad.isNotNull()).select("url", bad.alias("bad")).orderBy(F.xxhash64("url", "bad")).limit(limit)
+    labelled = sampled(urls.where(bad.isNotNull()), limit, *urls.columns).select("url", bad.alias("bad"))
     baskets = written(labelled.select(
         F.concat(tokens(host, path, F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
     ), "baskets")
