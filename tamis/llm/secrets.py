@@ -83,8 +83,6 @@ def characters_per_token(text: str, vocabulary: str = VOCABULARY) -> float:
 
 
 def _is_random(text: str, ratio: float, vocabulary: str) -> bool:
-    if not any(c.isdigit() for c in text) and (text.islower() or text.isupper() or text.istitle()):
-        return False  # one alphabet in one case: a word, a name or a rule of dashes
     if any(known.fullmatch(text) for known in KNOWN):
         return False
     return characters_per_token(text, vocabulary) < ratio
