@@ -1,7 +1,8 @@
 """Secrets in texts: patterns, and strings that a tokenizer's vocabulary finds hard to shorten.
 
 A byte-pair vocabulary writes language in few tokens; random characters need a token for every one or two. What remains of
-long unbroken strings after known digests and identifiers is a secret if it has few characters per token.
+long unbroken strings after known digests and identifiers is a secret if it has few characters per token, as a whole or in
+any window of its tokens: a key at the end of a readable path is not averaged with the path.
 """
 
 from __future__ import annotations
@@ -42,6 +43,14 @@ KNOWN = (
     re.compile(r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=][A-Za-z0-9+/=]+"),
     re.compile(r"[0-9_+/=-]+"),
 )
+#: Digests (hexadecimal, or named and in base64) and identifiers as parts of a longer match; windows do not reach into them.
+KNOWN_PARTS = re.compile(r"(?<![A-Za-z0-9])(?:%s)(?![A-Za-z0-9])" % "|".join((
+    *(known.pattern for known in KNOWN[:3]),
+    r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=](?:%s)" % "|".join(
+        "[A-Za-z0-9+/]{%d}%s" % size for size in ((22, "=="), (27, "="), (38, "=="), (43, "="), (64, ""), (86, "=="))
+    ),
+)))
+PART = re.compile(r"[A-Za-z0-9]+")
 
 
 def _base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -82,17 +91,80 @@ def characters_per_token(text: str, vocabulary: str = VOCABULARY) -> float:
     return len(text) / max(1, sum(len(encode(text[at : at + PIECE])) for at in range(0, len(text), PIECE)))
 
 
-def _is_random(text: str, ratio: float, vocabulary: str) -> bool:
+def _tokens(text: str, vocabulary: str) -> list[tuple[int, int]]:
+    """Start and end of each token of letters or digits; tokens of separators count neither as tokens nor as characters."""
+    encoding, found = _encoding(vocabulary), []
+    for first in range(0, len(text), PIECE):
+        at = first
+        for token in encoding.encode_ordinary(text[first : first + PIECE]):
+            end = at + len(encoding.decode_single_token_bytes(token))
+            if text[at].isalnum():
+                found.append((at, end))
+            at = end
+    return found
+
+
+def _random_windows(text: str, ratio: float, vocabulary: str) -> list[tuple[int, int]]:
+    """Spans of a match in which windows of its tokens are random: of each token on, the fewest that have LENGTH characters.
+
+    Windows that meet are one span, grown to the ends of the parts between separators that it touches. Separators are passed
+    over, so that neither a path's nor a key's own slashes count. Digits alone are not judged.
+    """
+    spans: list[tuple[int, int]] = []
+    for first, last in _between(text, KNOWN_PARTS):
+        part, end, size = text[first:last], 0, 0
+        tokens = _tokens(part, vocabulary)
+        for begin, (start, stop) in enumerate(tokens):
+            while end < len(tokens) and size < LENGTH:
+                size += tokens[end][1] - tokens[end][0]
+                end += 1
+            if size < LENGTH:
+                break
+            until = tokens[end - 1][1]
+            if size < ratio * (end - begin) and any(c.isalpha() for c in part[start:until]):
+                if spans and first + start <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], first + until)
+                else:
+                    spans.append((first + start, first + until))
+            size -= stop - start
+    grown: list[tuple[int, int]] = []
+    parts = [m.span() for m in PART.finditer(text)] if spans else []
+    at = 0
+    for start, until in spans:
+        while parts[at][1] <= start:
+            at += 1
+        start = min(start, parts[at][0])
+        while parts[at][1] < until:
+            at += 1
+        until = max(until, parts[at][1])
+        if not text[until:].strip("="):
+            until = len(text)
+        if grown and start <= grown[-1][1]:
+            grown[-1] = (grown[-1][0], until)
+        else:
+            grown.append((start, until))
+    return grown
+
+
+def _between(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """The stretches of a text that no match of the pattern covers."""
+    edges = [0, *(edge for m in pattern.finditer(text) for edge in m.span()), len(text)]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b - a >= LENGTH]
+
+
+def _random_spans(text: str, ratio: float, vocabulary: str) -> list[tuple[int, int]]:
+    """The random parts of a match of UNBROKEN: all of it, or the windows that are."""
     if any(known.fullmatch(text) for known in KNOWN):
-        return False
-    return characters_per_token(text, vocabulary) < ratio
+        return []
+    return [(0, len(text))] if characters_per_token(text, vocabulary) < ratio else _random_windows(text, ratio, vocabulary)
 
 
 def spans_of(text: str | None, ratio: float = RATIO, vocabulary: str = VOCABULARY) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) in code points, by start, then kind as listed."""
     text = text or ""
     found = _base_spans(text)
-    found += [(m.start(), m.end(), "random") for m in UNBROKEN.finditer(text) if _is_random(m[0], ratio, vocabulary)]
+    for m in UNBROKEN.finditer(text):
+        found += [(m.start() + a, m.start() + b, "random") for a, b in _random_spans(m[0], ratio, vocabulary)]
     return sorted(found, key=lambda span: (span[0], KINDS.index(span[2]), span[1]))
 
 
