@@ -7,11 +7,13 @@ that a URL may fit. DataFrame operations only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import sampled
+from tamis.llm.common import beside, sampled
 from tamis.session import written
 
 #: Listed rules: verdict, host, path.
@@ -57,8 +59,7 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     prefixed = lambda mark, array: F.transform(array, lambda t: F.concat(F.lit(mark), t))
     return F.array_distinct(F.concat(
         F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("end:"), F.element_at(labels, -1))),
-        prefixed("word:", F.slice(F.array_distinct(words), 1, 8)), prefixed("path:", F.slice(F.array_distinct(segments), 1, 8)),
-        prefixed("query:", F.slice(F.array_distinct(query), 1, 8)),
+        prefixed("word:", words), prefixed("path:", segments), prefixed("query:", query),
     ))
 
 
@@ -67,13 +68,30 @@ def mine(urls: DataFrame, bad: Column, *, support: float = SUPPORT, confidence:
 
     FP-growth runs over about ``limit`` labelled URLs at most; a rule whose tokens include those of another rule with as much
     confidence is pruned. The number of rules is bounded by the support, not by the URLs.
+
+    Tokens found with the label less often than the support are dropped before, which loses no rule. Of tokens that the same
+    URLs hold, one is mined: a rule with two of them would be pruned, and a rule with one of them holds for each.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     labelled = sampled(urls.where(bad.isNotNull()), limit, *urls.columns).select("url", bad.alias("bad"))
     baskets = written(labelled.select(
-        F.concat(tokens(host, path, F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
+        F.monotonically_increasing_id().alias("row"), "bad", tokens(host, path, F.col("url")).alias("items")
     ), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    least = math.ceil(support * baskets.count())
+    held = baskets.select("row", "bad", F.explode("items").alias("token"))
+    # Two hashes of the set of rows that hold a token: tokens of one set are mined as one.
+    counts = held.groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("n_bad"),
+        F.bit_xor(F.xxhash64("row")).alias("print"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("other_print"),
+    ).where((F.col("n_bad") >= least) & (F.col("n_bad") > 0))
+    classes = written(counts.groupBy("print", "other_print", "n").agg(F.array_sort(F.collect_list("token")).alias("members")), "token-classes").select(
+        F.col("members")[0].alias("token"), "members", "n"
+    )
+    named = held.join(beside(classes.select("token"), "class-names"), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    mined = written(baskets.select("row", "bad").join(named, "row", "left").select(F.concat(
+        F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
+    ).alias("items")), "mined-baskets")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(mined)
     found = written(
         model.associationRules.where(F.element_at("consequent", 1) == BAD)
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules",
@@ -85,13 +103,17 @@ def mine(urls: DataFrame, bad: Column, *, support: float = SUPPORT, confidence:
     ).unionByName(found.select("tokens", "confidence", F.explode(F.transform("tokens", lambda t: F.array(t))).alias("part")).where(F.size("tokens") > 1))
     worse = parts.join(singles, "part").where(F.col("part_confidence") >= F.col("confidence")).select("tokens").distinct()
     kept = found.join(worse, "tokens", "left_anti")
-    counts = baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    keys = kept.select("tokens", F.explode("tokens").alias("token")).join(counts, "token").groupBy("tokens").agg(
-        F.min(F.struct("n", "token"))["token"].alias("key")
-    )
-    return written(kept.join(keys, "tokens").select(
-        F.concat_ws(" ", "tokens").alias("rule_id"), "tokens", "key", "support", "confidence"
-    ), "kept-rules")
+    # A kept rule stands for every choice of one member from each of its classes.
+    told = kept.select("tokens", "support", "confidence", F.explode("tokens").alias("token")).join(classes, "token").groupBy(
+        "tokens", "support", "confidence"
+    ).agg(F.collect_list(F.struct("n", "members")).alias("parts"))
+    rules = told.select("support", "confidence", F.explode(F.aggregate(
+        "parts", F.array(F.array().cast("array<struct<n:bigint,token:string>>")),
+        lambda done, part: F.flatten(F.transform(done, lambda d: F.transform(
+            part["members"], lambda m: F.concat(d, F.array(F.struct(part["n"].alias("n"), m.alias("token"))))
+        ))),
+    )).alias("chosen")).select("support", "confidence", F.array_sort(F.col("chosen.token")).alias("tokens"), F.array_min("chosen")["token"].alias("key"))
+    return written(rules.select(F.concat_ws(" ", "tokens").alias("rule_id"), "tokens", "key", "support", "confidence"), "kept-rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -100,12 +122,11 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     A URL meets a rule through the rule's rarest token alone; the rest of its tokens are then checked.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    held = urls.select("url", tokens(host, path, F.col("url")).alias("held"))
-    keys = rules.select("key").distinct()
+    keys = beside(rules.select("key").distinct(), "rule-keys")
     met = (
-        held.select("url", "held", F.explode("held").alias("key")).join(keys, "key", "left_semi")
+        urls.select("url", F.explode(tokens(host, path, F.col("url"))).alias("key")).join(keys, "key", "left_semi")
         .join(rules.select("key", "rule_id", "tokens", "confidence", "support"), "key")
-        .where(F.size(F.array_except("tokens", "held")) == 0)
+        .where(F.size(F.array_except("tokens", tokens(host, path, F.col("url")))) == 0)
     )
     best = F.max(F.struct("confidence", "support", "rule_id"))
     return met.groupBy("url").agg(best.alias("best")).select("url", F.col("best.rule_id").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
@@ -120,8 +141,8 @@ def judge(
     label pages by id: bad where the quality is 0 or the page toxic. Without labels, or with none for these pages, nothing
     is mined.
 
-    A missing url, or one without ``://``, has an empty host and path and fits no listed rule; long urls are read whole, of
-    which the first 8 distinct words, path parts and query names each are tokens; pages labelled twice count twice; repeated
+    A missing url, or one without ``://``, has an empty host and path and fits no listed rule; long urls are read whole,
+    and all their distinct words, path parts and query names are tokens; pages labelled twice count twice; repeated
     rows stay repeated; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession

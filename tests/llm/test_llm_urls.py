@@ -64,6 +64,29 @@ def test_mined_rules_equal_counting(spark):
         assert verdicts[k]["verdict"] == (rule(*parts(u))[1] or ("block" if fits else "allow"))
 
 
+def test_late_path_parts_and_parameters_are_tokens(spark):
+    path = "/".join(f"part{chr(97 + k)}" for k in range(20))
+    query = "&".join(f"name{chr(97 + k)}={k}" for k in range(20))
+    host = ".".join(f"host{chr(97 + k)}" for k in range(20))
+    urls = [f"http://{host}.com/{path}/{'buy' if k % 2 else 'read'}/x?{query}&{'aff' if k % 3 else 'ref'}=1" for k in range(60)]
+    bad = [k % 2 == 1 and k % 3 > 0 for k in range(60)]
+    table = spark.createDataFrame([(u, b) for u, b in zip(urls, bad)], "url string, bad boolean")
+    rules = {tuple(r["tokens"]): (r["confidence"], round(r["support"], 9), r["key"]) for r in urlrules.mine(table, F.col("bad"), support=0.05).collect()}
+    assert rules[("path:buy", "query:aff")] == (1.0, round(20 / 60, 9), "path:buy")
+    assert not [t for t in rules if len(t) > 2]
+    labels = spark.createDataFrame([(k, 0 if b else 1, 0) for k, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    late = pages(spark, list(enumerate(urls)) + [(99, "http://other.com/1/2/a/b/c/d/e/f/g/h/i/j/buy?a&b&c&d&e&f&g&h&i&j&aff=2")])
+    got = {r["page_id"]: (r["verdict"], r["mined_rule"]) for r in urlrules.judge(late, labels, support=0.05, confidence=0.9).collect()}
+    assert got == {k: ("block", "path:buy query:aff") if k == 99 or bad[k] else ("allow", None) for k in got} and len(got) == 61
+
+
+def test_tokens_of_the_same_urls_each_give_the_rule(spark):
+    rows = [(f"http://a.com/{'spam/offer' if k < 20 else 'read'}/{k}", k < 18) for k in range(100)]
+    table = spark.createDataFrame(rows, "url string, bad boolean")
+    rules = {tuple(r["tokens"]): (r["confidence"], r["support"], r["key"]) for r in urlrules.mine(table, F.col("bad"), support=0.05).collect()}
+    assert rules == {("path:spam",): (0.9, 0.18, "path:spam"), ("path:offer",): (0.9, 0.18, "path:offer")}
+
+
 def test_no_labels_for_the_pages_and_empty_tables(spark):
     table = pages(spark, [(1, "http://b.com/")])
     labels = spark.createDataFrame([(7, 0, 0), (None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
