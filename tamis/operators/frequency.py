@@ -17,7 +17,7 @@ from tamis.functions import fixed, text
 from tamis.operators.columns import ColumnRef, melt
 
 
-# Characters of a long text that order it among values of equal count; beyond them its digest does.
+# Characters that order texts of equal count first; where they tie, ``profile`` reads the whole texts.
 ORDER_LENGTH = 256
 
 

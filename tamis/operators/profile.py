@@ -120,9 +120,9 @@ def _value_branch(df: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[st
             counted = _merged(measured)
             return counted + _listed_values(df, group, counted, wanted)
     if "top_values" in wanted and family != NESTED:
-        parts.append(_top_values(printed))
+        parts.append(_top_texts(printed) if family == TEXT else _top_values(printed))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return _merged(rows)
+    return _settled(df, group, _merged(rows)) if family == TEXT else _merged(rows)
 
 
 def _listed_values(
@@ -195,15 +195,13 @@ def _top_values(counted: DataFrame) -> DataFrame:
 
     Spark keeps five rows per column in every task before anything moves.
     """
-    if "montre" not in counted.columns:
-        counted = counted.withColumns({"montre": F.col("rang"), "longue": F.lit(False)})
-    window = Window.partitionBy("c").orderBy(F.desc("n"), "rang", "longue", "v")
+    window = Window.partitionBy("c").orderBy(F.desc("n"), "rang", "v")
     best = (
         counted.where("n > 0")
-        .select("c", "montre", "n", F.row_number().over(window).alias("place"))
+        .select("c", "rang", "n", F.row_number().over(window).alias("place"))
         .where(F.col("place") <= fixed.TOP_VALUE_COUNT)
     )
-    listed = F.array_sort(F.collect_list(F.struct("place", text.shown(F.col("montre")).alias("valeur"), "n")))
+    listed = F.array_sort(F.collect_list(F.struct("place", text.shown(F.col("rang")).alias("valeur"), "n")))
     return best.groupBy("c").agg(listed.alias("l")).select(
         "c",
         F.transform("l", lambda e: F.struct(e["valeur"].alias("valeur"), e["n"].alias("occurrences")))
@@ -211,6 +209,73 @@ def _top_values(counted: DataFrame) -> DataFrame:
     )
 
 
+def _top_texts(counted: DataFrame) -> DataFrame:
+    """Rows (c, premieres): the first values of each text column, one more than are listed, long texts by their start.
+
+    Where a long text ties with another value on count and start, ``debut`` holds the start. A long text is the first of its
+    ties, so the one row more shows a tie that reaches over the last place.
+    """
+    start = F.substring("rang", 1, frequency.ORDER_LENGTH)
+    window = Window.partitionBy("c").orderBy(F.desc("n"), "debut", F.desc("longue"), "rang", "v")
+    best = (
+        counted.where("n > 0").withColumn("debut", start)
+        .select("c", "n", "debut", "longue", "montre", F.row_number().over(window).alias("place"))
+        .where(F.col("place") <= fixed.TOP_VALUE_COUNT + 1)
+    )
+    ties = Window.partitionBy("c", "n", "debut")
+    told = best.withColumn("lie", (F.count("*").over(ties) > 1) & F.max("longue").over(ties))
+    listed = F.array_sort(F.collect_list(F.struct(
+        "place", text.shown(F.col("montre")).alias("valeur"), "n", F.when(F.col("lie"), F.col("debut")).alias("debut"),
+    )))
+    return told.groupBy("c").agg(listed.alias("premieres"))
+
+
+def _settled(df: DataFrame, group: Sequence[ColumnRef], rows: list[Row]) -> list[Row]:
+    """The rows with ``modalites`` for ``premieres``, ties of long texts settled by the whole texts."""
+    keys = {(row["c"], e["n"], e["debut"]) for row in rows for e in row.asDict().get("premieres") or () if e["debut"] is not None}
+    settled = _tied_texts(df, group, keys) if keys else {}
+    out = []
+    for row in rows:
+        fields = row.asDict()
+        if first := fields.pop("premieres", None):
+            listed, done = [], set()
+            for e in first:
+                key = (row["c"], e["n"], e["debut"])
+                if e["debut"] is None:
+                    listed.append((e["valeur"], e["n"]))
+                elif key not in done:
+                    done.add(key)
+                    listed += [(value, e["n"]) for value in settled[key]]
+            fields["modalites"] = [Row(valeur=v, occurrences=n) for v, n in listed[: fixed.TOP_VALUE_COUNT]]
+        out.append(Row(**fields))
+    return out
+
+
+def _tied_texts(df: DataFrame, group: Sequence[ColumnRef], keys: set[tuple]) -> dict[tuple, list[str]]:
+    """The first values, as displayed, in whole order, of all that have one of a few (column, count, start).
+
+    A second pass over the columns concerned. Texts of other starts stay where they are; of the others each distinct one
+    moves once per task, and then five of each key.
+    """
+    wanted = F.broadcast(local_table(
+        df.sparkSession, [{"de": c, "fois": n, "debut": start} for c, n, start in keys], "de int, fois bigint, debut string"
+    ))
+    starts = wanted.select("de", "debut").distinct()
+    refs = [ref for ref in group if ref.index in {c for c, _, _ in keys}]
+    found = (
+        melt(df, refs).where("v is not null").withColumn("debut", F.substring("v", 1, frequency.ORDER_LENGTH))
+        .join(F.broadcast(starts.withColumnRenamed("debut", "un")), (F.col("c") == F.col("de")) & (F.col("debut") == F.col("un")), "left_semi")
+        .groupBy("c", "debut", text.short_key(F.col("v")).alias("cle")).agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    )
+    matched = found.join(wanted.withColumnRenamed("debut", "un"), (F.col("c") == F.col("de")) & (F.col("n") == F.col("fois")) & (F.col("debut") == F.col("un")), "left_semi")
+    window = Window.partitionBy("c", "n", "debut").orderBy("v")
+    best = matched.withColumn("place", F.row_number().over(window)).where(F.col("place") <= fixed.TOP_VALUE_COUNT)
+    out: dict[tuple, list[str]] = {}
+    for row in best.select("c", "n", "debut", "place", text.shown(F.col("v")).alias("valeur")).sort("c", "n", "debut", "place").collect():
+        out.setdefault((row["c"], row["n"], row["debut"]), []).append(row["valeur"])
+    return out
+
+
 def first_examples(
     df: DataFrame, refs: Sequence[ColumnRef], order_by: Sequence[str] | None = None
 ) -> dict[int, list[str]]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tamis import context, profile
 from tamis.functions import text
 from tamis.operators import spread
+from tamis.operators.profile import measure
 
 
 def profiled(df, **options):
@@ -193,3 +194,24 @@ def test_shown_form_depends_on_the_whole_text(spark, value):
     expected = line if len(line) <= 80 else line[:79] + "…"
     df = frame(spark, v=[value])
     assert df.select(text.shown(df["v"])).head()[0] == expected
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_ties_of_long_texts_are_listed_in_order_of_the_whole_text(spark, copies):
+    # Blanks are not displayed, so that what follows the common start is.
+    long = [" " * 300 + f"{k:02d}" + "x" * 300 for k in range(40)]
+    mixed = long[8:] + [" " * 300 + f"{k:02d}" for k in range(0, 16, 2)] + [" " * 600 + "last", " " * 257 + "z", " " * 255 + "y"]
+    for values in (long, mixed, [*mixed, "!", "first" * 200]):
+        table = frame(spark, v=values * copies, w=list(range(len(values) * copies))).repartition(4)
+        counted = measure(table, wanted=("top_values",)).where("nom = 'v'").head()
+        listed = [(m["valeur"], m["occurrences"]) for m in counted["modalites"]]
+        short = [" ".join(v.split()) for v in sorted(values)[:5]]
+        assert listed == [(v if len(v) <= 80 else v[:79] + "…", copies) for v in short]
+
+
+def test_ties_behind_more_frequent_values_keep_their_places(spark):
+    values = ["often"] * 5 + [" " * 300 + f"{k}" + "x" * 300 for k in (3, 1, 2, 4)] * 2 + ["once", "Twice", "Twice"]
+    counted = measure(frame(spark, v=values), wanted=("top_values",)).where("nom = 'v'").head()
+    assert [(m["valeur"][:5], m["occurrences"]) for m in counted["modalites"]] == [
+        ("often", 5), ("1xxxx", 2), ("2xxxx", 2), ("3xxxx", 2), ("4xxxx", 2)
+    ]
