@@ -40,6 +40,20 @@ def test_scan_equals_brute_force(docs):
     assert got == sorted(((i, brute(t)[0], len(brute(t)[0]), round(brute(t)[1], 9)) for i, t in rows), key=str)
 
 
+def test_notices_inside_sentences_and_further_licenses(docs):
+    lesser = "redistribute it under the terms of the GNU {} General Public License as published by the Free Software Foundation; either"
+    rows = {
+        "Released under the MIT License, see LICENSE": "MIT", "It is released under the MIT License and more": "MIT",
+        "Licensed under the Apache License, Version 2.0 and others": "Apache-2.0", "Licensed under the Apache License, Version 2.0, as is": "Apache-2.0",
+        "Licensed under CC BY-NC 4.0, by us": "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0 by us": "CC-BY-NC-4.0",
+        lesser.format("Lesser"): "LGPL", lesser.format("Affero"): "AGPL-3.0", lesser.replace("{} ", ""): "",
+        "This is free and unencumbered software released into the public domain. Anyone is free": "Unlicense",
+    }
+    rows |= {f"so {text} and more": name for name, text in licenses.TEMPLATES if name in ("ISC", "EPL-2.0", "Zlib")}
+    got = {r["doc_id"]: list(r["licenses"]) for r in licenses.scan(docs(list(enumerate(rows)))).collect()}
+    assert got == {at: [name] if name else [] for at, name in enumerate(rows.values())}
+
+
 def test_bands_retrieve_nearly_surely_and_short_templates_are_refused(docs):
     assert licenses.collision_probability() > 0.999999
     with pytest.raises(ValueError):
