@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import Hashed, beside, bounded_batches, in_groups, mixed, runs, sampled
+from tamis.llm.common import Hashed, beside, bounded_batches, in_groups, mixed, runs
 from tamis.session import written
 
 #: Characters of an n-gram, and bits of one: five of twelve fit in a long.
@@ -21,8 +21,6 @@ ORDER, BITS = 5, 12
 PLAIN, BEGIN, END = 3072, 1, 2
 #: A model of more n-grams is joined by shuffle; a smaller one is broadcast (16 bytes each).
 BROADCAST_GRAMS = 8_000_000
-#: Labelled documents that fit the bands: those with the smallest hash of their id, about so many.
-LABELLED = 200_000
 #: How far from the median a band reaches, in standard deviations of a good document of the same length, and the least such
 #: deviation (of log perplexity per character).
 SPREAD, FLOOR = 3.5, 0.006
@@ -274,7 +272,7 @@ def scored(docs: DataFrame, table: DataFrame, *, text_column: str = "text", broa
     return counted.drop("grams", "times").join(sums, "number", "left").drop("number").fillna({"n_grams": 0, "log_likelihood": 0.0})
 
 
-def bands(scores: DataFrame, labels: DataFrame | None = None, limit: int = LABELLED) -> DataFrame:
+def bands(scores: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(band_lang, middle, scale) of log perplexity per character, for each language.
 
     The middle is the median, and the scale the median absolute deviation (as a standard deviation) of the distance from it
@@ -285,8 +283,8 @@ def bands(scores: DataFrame, labels: DataFrame | None = None, limit: int = LABEL
     everything = _middle(usable)
     if labels is None:
         return everything.drop("n")
-    sample = sampled(labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct(), limit, "good_id")
-    good = _middle(usable.join(sample, F.col("doc_id") == F.col("good_id"), "left_semi")).where(F.col("n") >= ENOUGH).select(
+    named_good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    good = _middle(usable.join(named_good, F.col("doc_id") == F.col("good_id"), "left_semi")).where(F.col("n") >= ENOUGH).select(
         F.col("band_lang").alias("good_lang"), F.col("middle").alias("good_middle"), F.col("scale").alias("good_scale")
     )
     return everything.join(good, F.col("band_lang").eqNullSafe(F.col("good_lang")), "left").select(

@@ -115,6 +115,17 @@ def test_bands_reject_outliers_and_keep_the_rest(docs):
     assert 500 not in kept and len(kept) >= 97
 
 
+def test_bands_read_all_good_labels(spark):
+    # Half of the documents have labels of their own; the many labels of other documents must not thin these out.
+    scores = spark.range(400).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(False).alias("base_failed"), F.lit(100).alias("n_words"),
+        (F.col("id") * F.col("id") % 397 / 100.0).alias("perplexity"),
+    )
+    own = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    many = own.unionByName(spark.range(1000, 600_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    assert perplexity.bands(scores, many).collect() == perplexity.bands(scores, own).collect()
+
+
 def test_empty_table(docs):
     assert perplexity.judge(docs([])).count() == 0
     assert [r["kept"] for r in perplexity.judge(docs([(1, None)])).collect()] == [False]
