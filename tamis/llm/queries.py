@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import archives, domtext, licenses, mixing, perplexity, repeats, secrets, simhash, statements, tiling, urlrules
+from tamis.llm import archives, domtext, exact, licenses, mixing, perplexity, repeats, secrets, simhash, statements, tiling, urlrules
 from tamis.llm.common import read
 
 
@@ -68,6 +68,10 @@ def op10_archives(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact.classes(read(spark, folder, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,10 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: build
     for build in (
         op1_license_scan, op2_source_mix, op3_simhash, op4_secrets, op5_decontamination, op6_repeated_strings,
-        op7_quality_rules, op8_url_rules, op9_main_text, op10_archives, pipeline,
+        op7_quality_rules, op8_url_rules, op9_main_text, op10_archives, op12_exact_dedup, pipeline,
     )
 }
 
 STATEMENTS: dict[str, str] = {
     "op1_license_scan": statements.LICENSES, "op2_source_mix": statements.MIX, "op10_archives": statements.ARCHIVES,
+    "op12_exact_dedup": statements.EXACT,
 }

@@ -85,3 +85,10 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN NULL ELSE keeper END AS refers_to
 FROM told
 """
+
+EXACT = f"""
+WITH normalised AS (SELECT doc_id, {_ASCII_LOWER.format("coalesce(text, '')")} AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
+FROM normalised WINDOW same AS (PARTITION BY body)
+"""
