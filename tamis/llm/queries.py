@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import archives, domtext, exact, licenses, mixing, perplexity, repeats, secrets, simhash, statements, tiling, urlrules
+from tamis.llm import archives, centroids, domtext, exact, licenses, mixing, perplexity, ranked, repeats, secrets, simhash, statements, tiling, urlrules
 from tamis.llm.common import read
 
 
@@ -68,10 +68,19 @@ def op10_archives(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    found = ranked.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.withColumnRenamed("query_id", "item_id")
+
+
 def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.classes(read(spark, folder, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(read(spark, folder, "embeddings")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,11 +91,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: build
     for build in (
         op1_license_scan, op2_source_mix, op3_simhash, op4_secrets, op5_decontamination, op6_repeated_strings,
-        op7_quality_rules, op8_url_rules, op9_main_text, op10_archives, op12_exact_dedup, pipeline,
+        op7_quality_rules, op8_url_rules, op9_main_text, op10_archives, op11_ranked_search, op12_exact_dedup, op13_centroids, pipeline,
     )
 }
 
 STATEMENTS: dict[str, str] = {
     "op1_license_scan": statements.LICENSES, "op2_source_mix": statements.MIX, "op10_archives": statements.ARCHIVES,
-    "op12_exact_dedup": statements.EXACT,
+    "op11_ranked_search": statements.RANKED, "op12_exact_dedup": statements.EXACT, "op13_centroids": statements.CENTROIDS,
 }

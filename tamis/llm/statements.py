@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tamis.llm.centroids import CLUSTERS, DIMENSIONS, ROUNDS, SCALE, SEED
 from tamis.llm.licenses import TEMPLATES
 
 _LITERALS = ", ".join(f"({at}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for at, (name, text) in enumerate(TEMPLATES))
@@ -92,3 +93,57 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
 FROM normalised WINDOW same AS (PARTITION BY body)
 """
+
+_ASSIGN = """
+a{0} AS MATERIALIZED (
+  SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT r, c, list_sum(list_transform(list_zip(vectors.v, c{0}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM vectors, c{0}) GROUP BY r
+)"""
+_MOVE = """
+m{0} AS MATERIALIZED (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY place)::BIGINT[] AS v
+  FROM (
+    SELECT c, place, sum(v[place])::HUGEINT AS s, count(*) AS n
+    FROM a{0} JOIN vectors USING (r), range(1, {2} + 1) AS places(place) GROUP BY c, place
+  ) GROUP BY c
+),
+c{1} AS MATERIALIZED (SELECT c, coalesce(m{0}.v, c{0}.v) AS v FROM c{0} LEFT JOIN m{0} USING (c))"""
+
+CENTROIDS = f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = {DIMENSIONS}
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+  FROM (SELECT sha256('{SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM vectors ORDER BY h, v LIMIT {CLUSTERS})
+),{",".join(_ASSIGN.format(i) + "," + _MOVE.format(i, i + 1, DIMENSIONS) for i in range(ROUNDS))},{_ASSIGN.format(ROUNDS)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c{ROUNDS}.v, ',')) AS centroid_sha256
+FROM vectors JOIN a{ROUNDS} USING (r) JOIN c{ROUNDS} USING (c)
+"""
+
+_TERMS = rf"regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH split AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS found FROM documents),
+held AS (SELECT r, doc_id, len(found) AS n FROM split WHERE len(found) > 0),
+stats AS (SELECT count(*) AS all_documents, sum(n) AS all_terms FROM held),
+items AS (SELECT row_number() OVER () AS q, item_id, list_distinct({_TERMS}) AS found FROM benchmark),
+asked AS (SELECT q, unnest(found) AS term FROM items),
+counted AS MATERIALIZED (
+  SELECT r, term, count(*) AS tf
+  FROM (SELECT r, unnest(found) AS term FROM split) WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * all_documents + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), stats
+),
+impacts AS (
+  SELECT r, term, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_documents) // all_terms)) AS impact
+  FROM counted JOIN held USING (r), stats
+),
+scores AS (SELECT q, r, sum(w * impact)::BIGINT AS score FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY q, r HAVING sum(w * impact) > 0),
+ranked AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM scores JOIN held USING (r))
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked JOIN items USING (q) WHERE rank <= 50
+"""
