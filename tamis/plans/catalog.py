@@ -724,6 +724,34 @@ def csv_ragged(spark, folder):
     return loader.load(spark, path)
 
 
+_READ_TEXT = "CASE WHEN text NOT IN (" + sql.quoted_list(fixed.MISSING_TOKENS) + ") THEN text END AS text"
+
+
+@query("csv_quoted_split", f"SELECT doc_id, {_READ_TEXT}, lang, source, n_chars FROM documents")
+def csv_quoted_split(spark, folder):
+    """Texts with quotes and line ends, in files of many splits: read in as many tasks as there are splits."""
+    documents = views.read(spark, folder, "documents")
+    path = sinks.write_table(documents.coalesce(2), f"{_new_folder(spark, 'cites')}/table.csv")
+    setting = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, str(64 * 1024))
+    try:
+        return written(loader.load(spark, path), "lus")
+    finally:
+        spark.conf.set(setting, usual)
+
+
+@query("csv_many_files", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def csv_many_files(spark, folder):
+    """A folder of files of 100 records, half of them with their columns in another order."""
+    path = f"{_new_folder(spark, 'fichiers')}/table.csv"
+    orders = views.read(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    for rest, columns in enumerate((orders.columns, orders.columns[::-1])):
+        part = orders.where(F.col("o_orderkey") % 2 == rest).select(*columns)
+        part.write.mode("append").option("header", True).option("maxRecordsPerFile", 100).csv(path)
+    return loader.load(spark, path)
+
+
 @query("admission", """
     SELECT nom, n <= 500 AS admise, n AS nb_lignes FROM (
       SELECT 'nation' AS nom, count(*) AS n FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier

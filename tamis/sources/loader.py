@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 
 from tamis.functions import fixed, text
 from tamis.operators.columns import columns_of, melt, quoted
+from tamis.operators.local import local_table
+from tamis.operators.lookup import attach
+from tamis.session import written
+from tamis.sources import records
 
 FORMATS = (".csv", ".parquet")
 OVERFLOW = "_en_trop"
@@ -106,31 +110,64 @@ def _scan(
 ) -> tuple[DataFrame, list[str], str]:
     """The cells as text with one column more, for what a record holds beyond the header; the names; that column's name.
 
-    Every file's header is read.  Files that have the same columns in another order are read in their
-    own order and put together by name; files with other columns are refused.
+    One pass over the lines finds the header of every file, however many files there are.  Files that have the same columns
+    in another order are put together by name; files with other columns are refused.
     """
-    full = [row["path"] for row in files.where("length > 0").sort("path").select("path").toLocalIterator()]
-    separator = separator or detect_separator(spark, full[0])
-    multiline = _needs_whole_files(spark, path, files)
-    reader = _reader(spark, separator, multiline)
-    headers: dict[tuple, list[str]] = {}
-    for file in full:  # one line of each file
-        headers.setdefault(tuple(_first_record(spark, file, separator, multiline)), []).append(file)
-    names = repair_header(next(iter(headers)))
-    overflow, position = free(OVERFLOW, names), free(POSITION, names)
-    parts = []
-    for header, own in headers.items():
-        found = repair_header(header)
-        if sorted(found) != sorted(names):
-            raise Refused(f"Les fichiers n'ont pas les mêmes colonnes : {sorted(set(found) ^ set(names))}.")
-        raw = [f"c{i}" for i in range(len(found))]
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in [*raw, "rest"]])
-        rows = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(own if len(headers) > 1 else path)
-        places = [_position().alias(position)] if with_position else []
-        cells = {name: _missing(F.col(column)).alias(name) for column, name in zip(raw, found)}
-        parts.append(rows.select(*[cells[name] for name in names], *places, F.col("rest").alias(overflow)))
-    kept = [*names, position] if with_position else names
-    return reduce(DataFrame.unionByName, parts), kept, overflow
+    sample = _sample(spark, files)
+    separator = separator or separator_of(sample)
+    line_end = "\r" if "\r" in sample and "\n" not in sample else "\n"
+    heads = written(records.heads(spark, path, separator, line_end), "tetes")
+    longest, opened = files.agg(F.max("length")).head()[0], heads.agg(F.max("ouvert")).head()[0]
+    headed, crossed = _headers(spark, path, heads, separator, line_end)
+    names = headed[0][1]
+    overflow, position, file = free(OVERFLOW, names), free(POSITION, names), "_fichier"
+    raw = [f"c{i}" for i in range(len(names))]
+    cells_of = T.StructType([T.StructField(name, T.StringType()) for name in [*raw, "rest"]])
+    whole = longest <= size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))  # read by one task anyway
+    if whole or not opened:
+        rows = _reader(spark, separator, whole).option("header", True).option("enforceSchema", True).schema(cells_of).csv(path)
+        rows = rows.select("*", F.col("_metadata.file_path").alias(file), *([_position().alias("_place")] if with_position else []))
+    else:  # cells hold line ends, and files have several splits
+        options = {"sep": separator, "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+        cut = records.records(spark, path, separator, line_end).where("not entete")
+        place = F.struct(F.col("fichier"), F.col("bloc"), F.col("rang"))
+        parsed = F.from_csv("enregistrement", F.lit(", ".join(f"{name} string" for name in [*raw, "rest"])), options)
+        rows = cut.select(parsed.alias("v"), F.col("fichier").alias(file), place.alias("_place")).select("v.*", file, "_place")
+    if len(headed) == 1:
+        own = [F.col(column) for column in raw]
+    else:
+        places = local_table(
+            spark, [{"tete": head, "valeur": [found.index(name) + 1 for name in names]} for head, found in headed], "tete string, valeur array<int>"
+        )
+        table = crossed.join(F.broadcast(places), "tete").select(F.col("fichier").alias("cle"), "valeur", F.col("lignes").alias("occurrences"))
+        measured = table.agg(F.count(F.lit(1)), F.sum("occurrences"), F.sum(F.octet_length("cle") + 4 * len(names))).head()
+        rows = attach(rows, F.col(file), table, size=measured[0], total=measured[1], width=measured[2], out="_ordre")
+        own = [F.element_at(F.array(*raw), F.element_at("_ordre", i + 1)) for i in range(len(names))]
+    places = [F.col("_place").alias(position)] if with_position else []
+    out = rows.select(*[_missing(cell).alias(name) for cell, name in zip(own, names)], *places, F.col("rest").alias(overflow))
+    return out, [*names, position] if with_position else names, overflow
+
+
+def _headers(
+    spark: SparkSession, path: str, heads: DataFrame, separator: str, line_end: str
+) -> tuple[list[tuple[str, list[str]]], DataFrame]:
+    """The different headers, that of the first file first, with their column names; and the table (fichier, tete, lignes) of all files.
+
+    The driver gets one row for each different header, not for each file.
+    """
+    if not heads.where(records.left_open(F.col("tete"), separator)).isEmpty():  # a header with a line end inside
+        whole = records.records(spark, path, separator, line_end).where("entete").select("fichier", F.col("enregistrement").alias("tete"))
+        heads = written(whole.join(heads.drop("tete"), "fichier"), "tetes")
+    different = heads.groupBy("tete").agg(F.min("fichier").alias("fichier")).collect()
+    headed = []
+    for row in sorted(different, key=lambda row: row["fichier"]):
+        found = repair_header(next(csv.reader(io.StringIO(row["tete"], newline=""), delimiter=separator), []))
+        if headed and sorted(found) != sorted(headed[0][1]):
+            raise Refused(f"Les fichiers n'ont pas les mêmes colonnes : {sorted(set(found) ^ set(headed[0][1]))}.")
+        headed.append((row["tete"], found))
+    if not headed:
+        raise Refused("Aucun octet à lire : la table est vide.")
+    return headed, heads
 
 
 def free(wanted: str, names: Sequence[str]) -> str:
@@ -163,39 +200,36 @@ def _position() -> Column:
     )
 
 
-def _needs_whole_files(spark: SparkSession, path: str, files: DataFrame) -> bool:
-    """Whether a record may span lines, in which case a file cannot be split between tasks.
-
-    Files no larger than one split are read whole anyway.  Otherwise one pass over the lines
-    settles it: if every line has an even number of quotes, no quoted cell crosses a line end.
-    """
-    split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    if files.agg(F.max("length")).head()[0] <= split:
-        return True
-    line = F.col("value")
-    quotes = F.char_length(line) - F.char_length(F.replace(line, F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def size_in_bytes(setting: str) -> int:
     """A size setting such as ``134217728b`` or ``128MB`` in bytes."""
     number, unit = re.fullmatch(r"([0-9]+)([a-z]*)", setting.strip().lower()).groups()
     return int(number) * 1024 ** "bkmgtp".index(unit[:1] or "b")
 
 
+def _sample(spark: SparkSession, files: DataFrame) -> str:
+    """The first characters of the first file that has any."""
+    first = files.where("length > 0").agg(F.min("path")).head()[0]
+    lines = spark.read.option("lineSep", "\n").text(first).select(F.substring("value", 1, fixed.SEPARATOR_SAMPLE)).head(256)
+    return "\n".join(line[0] for line in lines)[: fixed.SEPARATOR_SAMPLE]
+
+
+def separator_of(sample: str) -> str:
+    """Separator among ``, ; TAB |``: the one that cuts the lines of a sample most evenly, quoted cells apart."""
+    lines = [line for line in re.sub('"[^"]*"', "", sample).splitlines() if line.strip()]
+    if len(sample) >= fixed.SEPARATOR_SAMPLE and len(lines) > 1:
+        lines.pop()  # it may be cut
+    best, chosen = (0.0, 0), fixed.DEFAULT_SEPARATOR
+    for separator in fixed.SEPARATORS:
+        counts = [line.count(separator) for line in lines]
+        usual = max(set(counts), key=lambda n: (counts.count(n), n), default=0)
+        if usual and (counts.count(usual) / len(lines), usual) > best:
+            best, chosen = (counts.count(usual) / len(lines), usual), separator
+    return chosen
+
+
 def detect_separator(spark: SparkSession, file: str) -> str:
-    """Separator of a file among ``, ; TAB |``, judged on its first 8,192 characters."""
-    lines = spark.read.text(file).select(F.substring("value", 1, fixed.SEPARATOR_SAMPLE)).head(256)
-    sample = "\n".join(line[0] for line in lines)[: fixed.SEPARATOR_SAMPLE]
-    try:
-        return csv.Sniffer().sniff(sample, delimiters=fixed.SEPARATORS).delimiter
-    except csv.Error:
-        return fixed.DEFAULT_SEPARATOR
-
-
-def _first_record(spark: SparkSession, file: str, separator: str, multiline: bool) -> Sequence[str | None]:
-    record = _reader(spark, separator, multiline).option("header", False).csv(file).head()
-    return list(record) if record else []
+    """Separator of a file, judged on its first 8,192 characters."""
+    return separator_of(_sample(spark, list_files(spark, file)))
 
 
 def repair_header(cells: Sequence[str | None]) -> list[str]:
