@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from tamis.functions import fixed
 from tamis.operators import privacy
 from tamis.operators.profile import measure, profile_from
 from tamis.session import written
-from tamis.sources import loader, registry, sinks
+from tamis.sources import files, loader, registry, sinks
+from tamis.sources.vault import Vault
 
 
 @dataclass(frozen=True)
@@ -29,8 +31,12 @@ class Store:
     def mappings(self) -> str:
         return f"{self.folder}/jetons"
 
-    def masked(self, file_id: str, version: int, kind: str) -> str:
-        return f"{self.folder}/masques/{file_id}-v{version}.{kind}"
+    def masked(self, file_id: str, version: int, lot: str, kind: str) -> str:
+        return f"{self.folder}/masques/{file_id}-v{version}-{lot}.{kind}"
+
+    def tokens(self, spark: SparkSession) -> DataFrame:
+        """The tokens of all masked datasets (file_id, column_name, original_hash, token)."""
+        return registry.mappings(spark, self.registry, self.mappings)
 
 
 def examine(df: DataFrame, order_by: str | None = None) -> tuple[dict, list[privacy.Detection]]:
@@ -61,10 +67,14 @@ def register(
     spark: SparkSession, store: Store, workspace: str, path: str, *,
     max_bytes: int | None = None, max_rows: int | None = None,
 ) -> dict:
-    """Validate, load, profile, scan and register one dataset; returns its registry row."""
+    """Validate, load, profile, scan and register one dataset; returns its registry row.
+
+    A dataset that is registered already stays as it is.
+    """
     row = prepared(spark, workspace, path, max_bytes=max_bytes, max_rows=max_rows)
-    registry.append(spark, store.registry, [row])
-    return row
+    if registry.commit(spark, store.registry, row):
+        return row
+    return registry.find(registry.versions(spark, store.registry, row["id"]), row["id"])
 
 
 def prepared(
@@ -83,42 +93,49 @@ def prepared(
 
 def pseudonymise(
     spark: SparkSession, store: Store, file_id: str, *, key: str | None = None, kind: str = "parquet",
-    vault: DataFrame | None = None,
+    vault: DataFrame | Vault | None = None,
 ) -> dict:
     """Mask a registered dataset into a new table; returns the new registry row and a summary.
 
-    ``kind`` is the format of the new table, ``parquet`` or ``csv``.  With a ``vault`` (type_pii, empreinte,
-    rang, jeton; it may be empty) values keep the tokens they have there, and the extended vault is
-    written to the store's folder ``coffre``.
+    ``kind`` is the format of the new table, ``parquet`` or ``csv``.  With a ``Vault`` values keep the tokens they have there,
+    and it is extended, whoever else extends it meanwhile.  A vault may also be a table (type_pii, empreinte,
+    rang, jeton; it may be empty) of one writer; the extended one is written to the store's folder ``coffre``.
 
-    Data and tokens are written to new places first and the registry row last, so an
-    interruption leaves the dataset as it was.  The original is never overwritten while read.
+    Data and tokens are written to new places first and committed last, so an interruption leaves the dataset as it was,
+    and of two that mask it at a time one is refused.  The original is never overwritten while read.
     """
-    row = registry.find(registry.read(spark, store.registry), file_id)
+    row = registry.find(registry.versions(spark, store.registry, file_id), file_id)
     registry.check_maskable(row)
     table = loader.load(spark, row["path"], with_position=True)
     position = table.columns[-1]
     found = privacy.detections(privacy.detect(table, exclude=(position,)))
+    version, lot = row["version"] + 1, f"l-{uuid.uuid4().hex}"
     if vault is None:
         masked, mapping = privacy.pseudonymise(table, found, order_by=position, key=key)
-    else:  # tokens shared with the files masked before; the longer vault is written to a place of its own
+    elif isinstance(vault, Vault):
+        kinds = {one.colonne: one.type_pii for one in found}
+        mapping = written(vault.extend(table, kinds, order_by=position, key=key), "jetons")
+        masked = privacy.mask(table, mapping, found, key=key)
+    else:  # the longer vault is written to a place of its own
         kinds = {one.colonne: one.type_pii for one in found}
         extended = written(privacy.extend_vault(vault, table, kinds, order_by=position, key=key), "coffre")
         mapping = written(privacy.vault_mapping(extended, table, kinds, key=key), "jetons")
         masked = privacy.mask(table, mapping, found, key=key)
-        sinks.write_table(extended, f"{store.folder}/coffre/{file_id}-v{row['version'] + 1}.parquet")
+        sinks.write_table(extended, f"{store.folder}/coffre/{file_id}-v{version}.parquet")
 
-    version = row["version"] + 1
-    path = store.masked(file_id, version, kind)
+    path = store.masked(file_id, version, lot, kind)
     sinks.write_table(masked.drop(position), path)
-    registry.append_mapping(mapping, file_id, store.mappings)
+    tokens = registry.write_mapping(mapping, file_id, store.mappings, lot)
     again = loader.load(spark, path, with_position=True)
     profiled, _ = examine(again, order_by=again.columns[-1])
     new = registry.entry(
         workspace=row["workspace_id"], path=path, size=row["size_bytes"], profile=profiled["profile"],
         score=profiled["score"], status=fixed.PII_MASKED, version=version, file_id=file_id, name=row["name"],
     )
-    registry.append(spark, store.registry, [new])
+    if not registry.commit(spark, store.registry, new, lot):
+        for mine in (path, tokens):
+            files.remove(spark, mine)
+        raise loader.Refused("Un autre masquage de ce fichier a été enregistré entre-temps.")
     summary = privacy.masking_summary(mapping).collect()  # one row per masked column
     audited = privacy.leak_audit(again.drop(again.columns[-1]), mapping, key=key).head()
     return {

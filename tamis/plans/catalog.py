@@ -794,7 +794,7 @@ def stored_tokens(spark, folder):
     row = intake.register(spark, store, "w1", path)
     result = intake.pseudonymise(spark, store, row["id"])
     now = registry.current(registry.read(spark, store.registry)).select("id", "pii_status", "version")
-    kept = spark.read.parquet(store.mappings).groupBy("file_id", "column_name").agg(F.count_distinct("original_hash").alias("jetons"))
+    kept = store.tokens(spark).groupBy("file_id", "column_name").agg(F.count_distinct("original_hash").alias("jetons"))
     return kept.join(now, F.col("file_id") == F.col("id")).select(
         "pii_status", "version", F.lit(result["fuites"]).cast("int").alias("fuites"), "column_name", "jetons")
 

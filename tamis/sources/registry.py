@@ -1,15 +1,22 @@
-"""Registry of profiled datasets: appended rows, one per version, in a Parquet table."""
+"""Registry of profiled datasets: a folder with a small file for each version of each dataset, made by one writer only.
+
+A version is committed by making its file, which fails if there is one. Whatever else belongs to a version (masked table, tokens)
+is written before, to places of its own that only the committed file names: what an interrupted or beaten writer leaves is never read.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamis.functions import fixed
 from tamis.operators.local import local_table
+from tamis.sources import files
 from tamis.sources.loader import Refused
 
 REGISTRY_SCHEMA = (
@@ -45,18 +52,38 @@ def entry(
     }
 
 
-def append(spark: SparkSession, registry: str, rows: list[dict]) -> None:
-    local_table(spark, rows, REGISTRY_SCHEMA).coalesce(1).write.mode("append").parquet(registry)
+def commit(spark: SparkSession, registry: str, row: dict, lot: str | None = None) -> bool:
+    """Commit a version of a dataset with its tokens ``lot``; false, and nothing done, if this version was committed before."""
+    told = {**row, "created_at": row["created_at"].astimezone(timezone.utc).isoformat(), "lot": lot}
+    return files.create_new(spark, _entry_path(registry, row["id"], row["version"]), json.dumps(told, ensure_ascii=False))
 
 
-def read(spark: SparkSession, registry: str) -> DataFrame:
-    """Every version of every dataset; empty when nothing was registered yet."""
+def is_registered(spark: SparkSession, registry: str, file_id: str) -> bool:
+    return files.exists(spark, _entry_path(registry, file_id, 1))
+
+
+def _entry_path(registry: str, file_id: str, version: int) -> str:
+    return f"{registry}/{file_id}-v{version}.json"
+
+
+def _entries(spark: SparkSession, registry: str, names: str = "*.json") -> DataFrame:
+    schema = REGISTRY_SCHEMA.replace("created_at timestamp", "created_at string") + ", lot string"
     try:
-        return spark.read.schema(REGISTRY_SCHEMA).parquet(registry)
-    except Exception as error:  # the table does not exist before the first registration
-        if "PATH_NOT_FOUND" not in str(error):
+        return spark.read.schema(schema).json(f"{registry}/{names}").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    except AnalysisException as error:  # no such file before the first registration
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return local_table(spark, [], REGISTRY_SCHEMA)
+        return local_table(spark, [], REGISTRY_SCHEMA + ", lot string")
+
+
+def read(spark: SparkSession, registry: str) -> DataFrame:
+    """Every version of every dataset; empty when nothing was registered yet."""
+    return _entries(spark, registry).drop("lot")
+
+
+def versions(spark: SparkSession, registry: str, file_id: str) -> DataFrame:
+    """Every version of one dataset; no other dataset's files are read."""
+    return _entries(spark, registry, f"{file_id}-v*.json").drop("lot")
 
 
 def current(rows: DataFrame) -> DataFrame:
@@ -98,9 +125,23 @@ def check_maskable(row: dict) -> None:
         )
 
 
-def append_mapping(mapping: DataFrame, file_id: str, path: str) -> None:
-    """Store the tokens of a dataset: one row per distinct masked value, never the value."""
+def write_mapping(mapping: DataFrame, file_id: str, folder: str, lot: str) -> str:
+    """Write the tokens of a dataset, one row per distinct masked value, never the value; they count once ``lot`` is committed."""
+    path = f"{folder}/lot={lot}"
     mapping.select(
         F.lit(file_id).alias("file_id"), F.col("colonne").alias("column_name"),
         F.col("empreinte").alias("original_hash"), F.col("jeton").alias("token"),
-    ).write.mode("append").parquet(path)
+    ).write.parquet(path)
+    return path
+
+
+def mappings(spark: SparkSession, registry: str, folder: str) -> DataFrame:
+    """The tokens of all committed versions (file_id, column_name, original_hash, token)."""
+    committed = _entries(spark, registry).where(F.col("lot").isNotNull()).select("lot")
+    try:
+        kept = spark.read.schema(MAPPING_SCHEMA + ", lot string").parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return local_table(spark, [], MAPPING_SCHEMA)
+    return kept.join(committed, "lot", "left_semi").drop("lot")  # the lots of other folders are not opened
