@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.functions import fixed
-from tamis.operators import privacy
+from tamis.operators import privacy, state
 from tamis.operators.profile import measure, profile_from
 from tamis.session import written
 from tamis.sources import files, loader, registry, sinks
@@ -45,7 +45,10 @@ def examine(df: DataFrame, order_by: str | None = None) -> tuple[dict, list[priv
     The profile is stored for good, so it shows no value of a column that is detected as personal.
     """
     hidden = () if order_by is None or not order_by.startswith("_") else (order_by,)
-    measures = measure(df, order_by=None if order_by is None else [order_by], exclude=hidden)
+    return _told(measure(df, order_by=None if order_by is None else [order_by], exclude=hidden))
+
+
+def _told(measures: DataFrame) -> tuple[dict, list[privacy.Detection]]:
     profiled = profile_from(measures).select(
         F.to_json(F.struct("*")).alias("profile"), "score_qualite"
     ).head()
@@ -144,3 +147,58 @@ def pseudonymise(
         "valeurs_masquees": sum(line["valeurs_masquees"] for line in summary),
         "fuites": audited["fuites"],
     }
+
+
+def refresh(spark: SparkSession, store: Store, file_id: str) -> dict:
+    """Profile a registered dataset anew after files were added to it; returns the new registry row.
+
+    The state of the profile is kept with each refresh, in the store's folder ``etats``, and the next one reads the files that came
+    since and adds them. Everything is read again if there is no state yet, if a file was changed or taken away, or if the new
+    files turn a column of numbers into one of text or the reverse. ``fichiers_lus`` tells how many files were read.
+    """
+    row = registry.find(registry.versions(spark, store.registry, file_id), file_id)
+    path, kept = row["path"], registry.state_of(spark, store.registry, file_id)
+    now = written(loader.list_files(spark, path).where("length > 0"), "fichiers")
+    before = f"{store.folder}/etats/{kept}" if kept else None
+    grown = _grown(spark, path, before, now) if before else None
+    if grown is None:
+        table, told = loader.load_with_verdicts(spark, path)
+        whole, read = state.of(table, table.columns[-1]), now.count()
+    else:
+        whole, told, read = grown
+    lot = f"e-{uuid.uuid4().hex}"
+    after = f"{store.folder}/etats/{lot}"
+    whole.write(after)
+    now.write.parquet(f"{after}/fichiers")
+    if not files.create_new(spark, f"{after}/verdicts.json", json.dumps(told, ensure_ascii=False)):
+        raise FileExistsError(after)
+    columns = spark.createDataFrame([], told["schema"])
+    measures = state.measures(state.read(spark, after, columns), lambda: loader.load(spark, path))
+    profiled, found = _told(measures)
+    new = registry.entry(
+        workspace=row["workspace_id"], path=path, size=now.agg(F.sum("length")).head()[0], profile=profiled["profile"], score=profiled["score"],
+        status=row["pii_status"] if row["pii_status"] == fixed.PII_MASKED else fixed.PII_FOUND if found else fixed.PII_NONE,
+        version=row["version"] + 1, file_id=file_id, name=row["name"],
+    )
+    if not registry.commit(spark, store.registry, new, etat=lot):
+        files.remove(spark, after)
+        raise loader.Refused("Une autre version de ce fichier a été enregistrée entre-temps.")
+    return {**new, "fichiers_lus": read}
+
+
+def _grown(spark: SparkSession, path: str, before: str, now: DataFrame) -> tuple[state.State, dict, int] | None:
+    """The kept state with the files that came since, the verdicts on its columns, and how many files came; none if it cannot be grown."""
+    old = spark.read.parquet(f"{before}/fichiers")
+    if not old.join(now, old.columns, "left_anti").isEmpty():
+        return None
+    fresh = [line["path"] for line in now.join(old, old.columns, "left_anti").select("path").collect()]  # one path for each new file
+    told = json.loads("".join(line[0] for line in spark.read.text(f"{before}/verdicts.json").collect()))
+    columns = spark.createDataFrame([], told["schema"])
+    kept = state.read(spark, before, columns)
+    if not fresh:
+        return kept, told, 0
+    added = loader.load_more(spark, path, fresh, told)
+    if added is None:
+        return None
+    table, told = added
+    return kept.merged(state.of(table, table.columns[-1])), told, len(fresh)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamis.functions import fixed, text
@@ -81,26 +81,46 @@ def _measured(
     if "duplicates" in wanted:
         branches.append(lambda: duplicate_rows(table, exclude).withColumn("c", F.lit(_TABLE_ROW)).collect())
 
+    return gathered(df.sparkSession, refs, branches)
+
+
+def gathered(spark: SparkSession, refs: Sequence[ColumnRef], branches: Sequence[Callable[[], list[Row]]]) -> DataFrame:
+    """The measures that some branches bring, run as concurrent jobs: one row per column, one for the table."""
     found = {ref.index: {"c": ref.index, "nom": ref.name, "famille": ref.family} for ref in refs}
     with ThreadPoolExecutor(CONCURRENT_JOBS) as pool:
         for rows in pool.map(lambda branch: branch(), branches):
             for row in rows:
                 found.setdefault(row["c"], {"c": row["c"]}).update(row.asDict(recursive=True))
-    return local_table(df.sparkSession, found.values(), ", ".join(_FIELDS))
+    return local_table(spark, found.values(), ", ".join(_FIELDS))
 
 
 def _value_branch(df: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[str]) -> list[Row]:
     """Measures read off the value-frequency table of one family of columns."""
+    recounted = lambda refs: frequency.count_values(df, refs)
+    return value_measures(counted(df, group), group, wanted, recounted, lambda: df)
+
+
+def counted(df: DataFrame, group: Sequence[ColumnRef]) -> DataFrame:
+    """The value-frequency table of one family of columns."""
+    return frequency.count_texts(df, group) if group[0].family == TEXT else frequency.count_values(df, group)
+
+
+def value_measures(
+    values: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[str],
+    recounted: Callable[[Sequence[ColumnRef]], DataFrame], whole_table: Callable[[], DataFrame],
+) -> list[Row]:
+    """Measures read off a value-frequency table.
+
+    ``recounted`` gives the values of some columns anew, ``whole_table`` the table, which only ties of long texts need.
+    """
     family = group[0].family
     if family == TEXT:
-        values = frequency.count_texts(df, group)
         parts = [frequency.missing_counts(values), frequency.text_measures(values)]
         printed = values.select(
             "c", "v", "n", F.coalesce(F.col("long")["start"], F.col("v")).alias("rang"),
             F.coalesce(F.col("long")["shown"], F.col("v")).alias("montre"), F.col("long").isNotNull().alias("longue"),
         )
     else:
-        values = frequency.count_values(df, group)
         whole, binary = _whole(family), _binary(family)
         measured = values.groupBy("c").agg(
             F.sum(F.greatest(-F.col("n"), F.lit(0).cast("long"))).alias("manquantes"),
@@ -117,26 +137,26 @@ def _value_branch(df: DataFrame, group: Sequence[ColumnRef], wanted: Sequence[st
         if family == INTEGER:
             printed = printed.join(F.broadcast(listed), "c", "left_semi")
         elif family in NUMERIC:
-            counted = _merged(measured)
-            return counted + _listed_values(df, group, counted, wanted)
+            told = _merged(measured)
+            return told + _listed_values(recounted, group, told, wanted)
     if "top_values" in wanted and family != NESTED:
         parts.append(_top_texts(printed) if family == TEXT else _top_values(printed))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return _settled(df, group, _merged(rows)) if family == TEXT else _merged(rows)
+    return _settled(whole_table, group, _merged(rows)) if family == TEXT else _merged(rows)
 
 
 def _listed_values(
-    df: DataFrame, group: Sequence[ColumnRef], counted: Sequence[Row], wanted: Sequence[str]
+    recounted: Callable[[Sequence[ColumnRef]], DataFrame], group: Sequence[ColumnRef], told: Sequence[Row], wanted: Sequence[str]
 ) -> list[Row]:
     """Frequent values of real and decimal columns, which only the rare whole-valued ones show."""
     shown = {
-        row["c"] for row in counted
+        row["c"] for row in told
         if row.asDict().get("entiers") and row["renseignees"]
         and (row["binaire"] or row["distinctes"] / row["renseignees"] >= fixed.NUMERIC_IDENTIFIER_RATIO)
     } if "top_values" in wanted else set()
     if not shown:
         return []
-    values = frequency.count_values(df, [ref for ref in group if ref.index in shown])
+    values = recounted([ref for ref in group if ref.index in shown])
     return _top_values(values.withColumn("v", F.col("v").cast("string")).withColumn("rang", F.col("v"))).collect()
 
 
@@ -156,7 +176,11 @@ def _binary(family: str) -> Column:
 def _numeric_branch(df: DataFrame, numeric: Sequence[ColumnRef], wanted: Sequence[str]) -> list[Row]:
     """Moments, quartiles and outliers: three passes over the numeric columns, no value shuffled."""
     numbers = melt(df, numeric, lambda ref: ref.number)
-    measured = _numeric_measures(numbers).collect()
+    return number_measures(numbers, _numeric_measures(numbers).collect(), wanted)
+
+
+def number_measures(numbers: DataFrame, measured: list[Row], wanted: Sequence[str]) -> list[Row]:
+    """The measured moments with quartiles and outliers, from rows (c, v double) or (c, v double, n)."""
     quartiles = quantiles.quartiles(numbers, measured)
     rows = [Row(**{k: v for k, v in row.asDict().items() if k != "cuts"}) for row in measured]
     rows += quartiles
@@ -230,10 +254,10 @@ def _top_texts(counted: DataFrame) -> DataFrame:
     return told.groupBy("c").agg(listed.alias("premieres"))
 
 
-def _settled(df: DataFrame, group: Sequence[ColumnRef], rows: list[Row]) -> list[Row]:
+def _settled(whole_table: Callable[[], DataFrame], group: Sequence[ColumnRef], rows: list[Row]) -> list[Row]:
     """The rows with ``modalites`` for ``premieres``, ties of long texts settled by the whole texts."""
     keys = {(row["c"], e["n"], e["debut"]) for row in rows for e in row.asDict().get("premieres") or () if e["debut"] is not None}
-    settled = _tied_texts(df, group, keys) if keys else {}
+    settled = _tied_texts(whole_table(), group, keys) if keys else {}
     out = []
     for row in rows:
         fields = row.asDict()

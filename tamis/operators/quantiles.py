@@ -37,6 +37,11 @@ SLICES = 4096
 OUTSIDE = -1
 
 
+def rows_of(numbers: DataFrame) -> Column:
+    """Number of rows: rows (c, v), or rows (c, v, n) that each stand for n."""
+    return F.sum("n") if "n" in numbers.columns else F.count(F.lit(1))
+
+
 def bracket() -> Column:
     """Sketch aggregate over the values ``v``."""
     return F.expr(f"kll_sketch_agg_double(v, {SKETCH_SIZE})")
@@ -73,7 +78,7 @@ def quartiles(numbers: DataFrame, sketched: Iterable[Row], small: int = SMALL_CO
 
 
 def exact_quartiles(numbers: DataFrame, sketched: Iterable[Row], small: int = SMALL_COLUMN) -> DataFrame:
-    """Rows (c, q25, q50, q75), linearly interpolated, from rows (c, v double).
+    """Rows (c, q25, q50, q75), linearly interpolated, from rows (c, v double) or (c, v double, n).
 
     ``sketched`` holds one row per column of the table: (c, renseignees, cuts).
     """
@@ -84,7 +89,7 @@ def exact_quartiles(numbers: DataFrame, sketched: Iterable[Row], small: int = SM
     if few or not many:
         parts.append(
             numbers.where(F.col("c").isin(*few) & F.col("v").isNotNull()).groupBy("c")
-            .agg(F.percentile("v", list(PROBABILITIES)).alias("q"))
+            .agg(F.percentile("v", list(PROBABILITIES), *[F.col("n")] * ("n" in numbers.columns)).alias("q"))
             .select("c", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(NAMES)])
         )
     if many:
@@ -97,12 +102,12 @@ def _narrowed(numbers: DataFrame, sketched: Iterable[Row]) -> DataFrame:
     zone, held = _placement()
     v = F.col("v")
     located = numbers.where(v.isNotNull()).join(columns.select("c", *BOUNDS), "c")
-    zoned = located.select("c", zone.alias("zone"), held.alias("slice"), "v")
+    zoned = located.select("c", zone.alias("zone"), held.alias("slice"), "v", *["n"] * ("n" in numbers.columns))
     # A cut changes the zone, so a zone lies wholly inside or wholly outside the brackets.
     merged = zoned.groupBy(
         "c", "zone", F.coalesce("slice", F.lit(OUTSIDE).cast("long")).alias("slice"),
         F.when(F.col("slice").isNotNull(), v).alias("v"),
-    ).agg(F.count(F.lit(1)).alias("size"))
+    ).agg(rows_of(zoned).alias("size"))
 
     sizes = merged.groupBy("c", "zone", "slice").agg(F.sum("size").alias("size"))
     slices = _holding(sizes, columns, ["c"], ["zone", "slice"], F.lit(0)).select(
@@ -195,7 +200,8 @@ def outlier_counts(numbers: DataFrame, found: Iterable[Row]) -> DataFrame:
     """Rows (c, extremes): number of values strictly beyond the fences, from rows (c, v double)."""
     rows = [{"c": c, "low": low, "high": high} for c, low, high in fences(found)]
     limits = local_table(numbers.sparkSession, rows, "c int, low double, high double")
+    weight = F.col("n") if "n" in numbers.columns else F.lit(1)
     beyond = (F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))
     return (  # the fences are one row per column of the table
-        numbers.join(F.broadcast(limits), "c").groupBy("c").agg(F.count_if(beyond).alias("extremes"))
+        numbers.join(F.broadcast(limits), "c").groupBy("c").agg(F.sum(F.when(beyond, weight).otherwise(0)).cast("long").alias("extremes"))
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,45 @@ def load(
     return table
 
 
+def load_with_verdicts(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """A table with its position as last column, and what ``load_more`` needs: schema, separator and the verdicts on text columns."""
+    if extension_of(path) == ".parquet":
+        table = spark.read.parquet(path)
+        return table.withColumn(free(POSITION, table.columns), _position()), {"schema": _ddl(table), "separator": None, "verdicts": {}}
+    files = list_files(spark, path)
+    separator = separator_of(_sample(spark, files))
+    rows, names, overflow = _scan(spark, path, files, separator, with_position=True)
+    found = verdicts(rows, names[-1:], overflow)
+    table = promoted(rows.select(*[quoted(name) for name in names]), kinds_of(found))
+    told = {name: asdict(verdict) for name, verdict in found.items()}
+    return table, {"schema": _ddl(table.drop(names[-1])), "separator": separator, "verdicts": told}
+
+
+def load_more(spark: SparkSession, path: str, fresh: list[str], told: dict) -> tuple[DataFrame, dict] | None:
+    """Files added to a table that was loaded before, with its columns and types; none if they change a type."""
+    if extension_of(path) == ".parquet":
+        table = spark.read.parquet(*fresh)
+        if _ddl(table) != told["schema"]:
+            return None
+        return table.withColumn(free(POSITION, table.columns), _position()), told
+    files = spark.read.format("binaryFile").load(fresh).select("path", "length", "modificationTime")
+    rows, names, overflow = _scan(spark, fresh, files, told["separator"], with_position=True)
+    wanted = [field.name for field in T.StructType.fromDDL(told["schema"]).fields]
+    if sorted(names[:-1]) != sorted(wanted):
+        raise Refused(f"Les fichiers n'ont pas les mêmes colonnes : {sorted(set(names[:-1]) ^ set(wanted))}.")
+    before = {name: Verdict(**fields) for name, fields in told["verdicts"].items()}
+    found = verdicts(rows, names[-1:], overflow)
+    both = {name: before.get(name, Verdict()).combined(found.get(name, Verdict())) for name in before | found}
+    if kinds_of(both) != kinds_of(before):
+        return None
+    table = promoted(rows.select(*[quoted(name) for name in [*wanted, names[-1]]]), kinds_of(both))
+    return table, {**told, "verdicts": {name: asdict(verdict) for name, verdict in both.items()}}
+
+
+def _ddl(table: DataFrame) -> str:
+    return ", ".join(f"`{field.name.replace('`', '``')}` {field.dataType.simpleString()}" for field in table.schema.fields)
+
+
 def extension_of(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     extension = "." + name.rsplit(".", 1)[1] if "." in name else ""
@@ -69,10 +109,9 @@ def extension_of(path: str) -> str:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, length) of the files under a path; their content is not read."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    )
+    """Rows (path, length, modificationTime) of the files under a path; their content is not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return listed.select("path", "length", "modificationTime")
 
 
 def check_size(files: DataFrame, max_bytes: int | None = None) -> None:
@@ -106,7 +145,7 @@ def read_text(
 
 
 def _scan(
-    spark: SparkSession, path: str, files: DataFrame, separator: str | None = None, with_position: bool = False
+    spark: SparkSession, path: str | list[str], files: DataFrame, separator: str | None = None, with_position: bool = False
 ) -> tuple[DataFrame, list[str], str]:
     """The cells as text with one column more, for what a record holds beyond the header; the names; that column's name.
 
@@ -149,7 +188,7 @@ def _scan(
 
 
 def _headers(
-    spark: SparkSession, path: str, heads: DataFrame, separator: str, line_end: str
+    spark: SparkSession, path: str | list[str], heads: DataFrame, separator: str, line_end: str
 ) -> tuple[list[tuple[str, list[str]]], DataFrame]:
     """The different headers, that of the first file first, with their column names; and the table (fichier, tete, lignes) of all files.
 
@@ -258,8 +297,31 @@ def _missing(cell: Column) -> Column:
 # --- Promotion ----------------------------------------------------------------------------
 
 
-def promotions(df: DataFrame, keep: Sequence[str] = (), overflow: str | None = None) -> dict[str, str]:
-    """Columns of text that are numbers without exception, and the type each becomes.
+@dataclass(frozen=True)
+class Verdict:
+    """What the values of a text column allow; the verdict on several parts of a column is that on each, combined."""
+
+    numerique: bool = True
+    entier: bool = True
+    signifiant: bool = False
+    chiffres: int = 0
+
+    def combined(self, other: Verdict) -> Verdict:
+        return Verdict(
+            self.numerique and other.numerique, self.entier and other.entier, self.signifiant or other.signifiant,
+            max(self.chiffres, other.chiffres),
+        )
+
+    @property
+    def kind(self) -> str | None:
+        """The type that changes no value, none if only text does."""
+        if not self.numerique or self.signifiant or self.chiffres > fixed.MAX_INTEGER_DIGITS:
+            return None
+        return "bigint" if self.entier else "double"
+
+
+def verdicts(df: DataFrame, keep: Sequence[str] = (), overflow: str | None = None) -> dict[str, Verdict]:
+    """The verdict on each column of text that has a value.
 
     One pass over the rows, one row of verdicts per column.
     """
@@ -268,7 +330,7 @@ def promotions(df: DataFrame, keep: Sequence[str] = (), overflow: str | None = N
         return {}
     v = F.col("s")
     whole = v.rlike(fixed.INTEGER_LITERAL)
-    verdicts = (
+    found = (
         melt(df, refs).where(F.col("v").isNotNull()).select("c", text.strip(F.col("v")).alias("s"))
         .groupBy("c").agg(
             F.bool_and(whole | v.rlike(fixed.DECIMAL_LITERAL)).alias("numerique"),
@@ -278,19 +340,27 @@ def promotions(df: DataFrame, keep: Sequence[str] = (), overflow: str | None = N
         ).collect()
     )
     names = {ref.index: ref.name for ref in refs}
-    if any(names[row["c"]] == overflow for row in verdicts):
+    if any(names[row["c"]] == overflow for row in found):
         raise _unreadable()  # a record longer than the header: the same pass sees it
-    return {
-        names[row["c"]]: "bigint" if row["entier"] else "double"
-        for row in verdicts
-        if row["numerique"] and not row["signifiant"] and (row["chiffres"] or 0) <= fixed.MAX_INTEGER_DIGITS
-    }
+    return {names[row["c"]]: Verdict(row["numerique"], row["entier"], row["signifiant"], row["chiffres"] or 0) for row in found}
+
+
+def promotions(df: DataFrame, keep: Sequence[str] = (), overflow: str | None = None) -> dict[str, str]:
+    """Columns of text that are numbers without exception, and the type each becomes."""
+    return kinds_of(verdicts(df, keep, overflow))
+
+
+def kinds_of(found: Mapping[str, Verdict]) -> dict[str, str]:
+    return {name: verdict.kind for name, verdict in found.items() if verdict.kind}
 
 
 def promote(df: DataFrame, keep: Sequence[str] = (), overflow: str | None = None) -> DataFrame:
     """The table with its lossless numeric columns as numbers; a decimal comma becomes a dot."""
-    kinds = promotions(df, keep, overflow)
+    return promoted(df, promotions(df, keep, overflow))
+
 
+def promoted(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """The table with the columns that ``kinds`` names as numbers."""
     def cell(name: str) -> Column:
         if name not in kinds:
             return quoted(name)

@@ -17,7 +17,7 @@ from tamis.session import written
 START, QUOTED, CLOSING, PLAIN = range(4)
 
 
-def lines_of(spark: SparkSession, path: str, line_end: str = "\n") -> DataFrame:
+def lines_of(spark: SparkSession, path: str | list[str], line_end: str = "\n") -> DataFrame:
     """Rows (fichier, bloc, rang, ligne): rang orders the lines of a block."""
     return spark.read.option("lineSep", line_end).text(path).select(
         F.col("_metadata.file_path").alias("fichier"), F.col("_metadata.file_block_start").alias("bloc"),
@@ -25,7 +25,7 @@ def lines_of(spark: SparkSession, path: str, line_end: str = "\n") -> DataFrame:
     )
 
 
-def heads(spark: SparkSession, path: str, separator: str, line_end: str = "\n") -> DataFrame:
+def heads(spark: SparkSession, path: str | list[str], separator: str, line_end: str = "\n") -> DataFrame:
     """Rows (fichier, tete, lignes, ouvert): of each file the first line that is not blank, the number of lines, and whether some line
     ends inside quotes. One pass over all files; a file without such a line gives no row.
     """
@@ -122,7 +122,7 @@ def blocks_of(lines: DataFrame, separator: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, path: str, separator: str, line_end: str = "\n") -> DataFrame:
+def records(spark: SparkSession, path: str | list[str], separator: str, line_end: str = "\n") -> DataFrame:
     """Rows (fichier, bloc, rang, entete, enregistrement): the records of all files as one text each, blank ones left out; entete marks
     the first of a file.
 

@@ -23,6 +23,7 @@ REGISTRY_SCHEMA = (
     "id string, workspace_id string, name string, format string, size_bytes bigint, path string, "
     "profile string, quality_score double, pii_status string, version int, created_at timestamp"
 )
+_BESIDE = ", lot string, etat string"
 MAPPING_SCHEMA = "file_id string, column_name string, original_hash string, token string"
 
 
@@ -52,9 +53,12 @@ def entry(
     }
 
 
-def commit(spark: SparkSession, registry: str, row: dict, lot: str | None = None) -> bool:
-    """Commit a version of a dataset with its tokens ``lot``; false, and nothing done, if this version was committed before."""
-    told = {**row, "created_at": row["created_at"].astimezone(timezone.utc).isoformat(), "lot": lot}
+def commit(spark: SparkSession, registry: str, row: dict, lot: str | None = None, etat: str | None = None) -> bool:
+    """Commit a version of a dataset with its tokens ``lot`` and the state ``etat`` of its profile.
+
+    False, and nothing done, if this version was committed before.
+    """
+    told = {**row, "created_at": row["created_at"].astimezone(timezone.utc).isoformat(), "lot": lot, "etat": etat}
     return files.create_new(spark, _entry_path(registry, row["id"], row["version"]), json.dumps(told, ensure_ascii=False))
 
 
@@ -67,23 +71,28 @@ def _entry_path(registry: str, file_id: str, version: int) -> str:
 
 
 def _entries(spark: SparkSession, registry: str, names: str = "*.json") -> DataFrame:
-    schema = REGISTRY_SCHEMA.replace("created_at timestamp", "created_at string") + ", lot string"
+    schema = REGISTRY_SCHEMA.replace("created_at timestamp", "created_at string") + _BESIDE
     try:
         return spark.read.schema(schema).json(f"{registry}/{names}").withColumn("created_at", F.col("created_at").cast("timestamp"))
     except AnalysisException as error:  # no such file before the first registration
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return local_table(spark, [], REGISTRY_SCHEMA + ", lot string")
+        return local_table(spark, [], REGISTRY_SCHEMA + _BESIDE)
 
 
 def read(spark: SparkSession, registry: str) -> DataFrame:
     """Every version of every dataset; empty when nothing was registered yet."""
-    return _entries(spark, registry).drop("lot")
+    return _entries(spark, registry).drop("lot", "etat")
 
 
 def versions(spark: SparkSession, registry: str, file_id: str) -> DataFrame:
     """Every version of one dataset; no other dataset's files are read."""
-    return _entries(spark, registry, f"{file_id}-v*.json").drop("lot")
+    return _entries(spark, registry, f"{file_id}-v*.json").drop("lot", "etat")
+
+
+def state_of(spark: SparkSession, registry: str, file_id: str) -> str | None:
+    """The state of the profile that was committed with the latest version of a dataset."""
+    return find(_entries(spark, registry, f"{file_id}-v*.json"), file_id)["etat"]
 
 
 def current(rows: DataFrame) -> DataFrame:
