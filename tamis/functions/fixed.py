@@ -53,6 +53,10 @@ SEPARATORS = ",;\t|"
 DEFAULT_SEPARATOR = ","
 SEPARATOR_SAMPLE = 8192
 
+# What separates words, and the marks at a word's edges that are not part of it.
+WORD_BREAKS = r"[\s,;:()\[\]\"<>]+"
+WORD_EDGES = r"[.!?…'’]+(?=[\s,;:()\[\]\"<>]|$)|(?<![^\s,;:()\[\]\"<>])['‘¿¡]+"
+
 # Kinds of personal data.
 EMAIL = "adresse e-mail"
 PHONE = "téléphone"

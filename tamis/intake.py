@@ -35,7 +35,7 @@ class Store:
         return f"{self.folder}/masques/{file_id}-v{version}-{lot}.{kind}"
 
     def tokens(self, spark: SparkSession) -> DataFrame:
-        """The tokens of all masked datasets (file_id, column_name, original_hash, token)."""
+        """The tokens of all masked datasets (file_id, column_name, original_hash, token, n_words, words_hash)."""
         return registry.mappings(spark, self.registry, self.mappings)
 
 
@@ -149,6 +149,15 @@ def pseudonymise(
     }
 
 
+def audit(spark: SparkSession, store: Store, file_id: str, table: DataFrame, *, key: str | None = None) -> DataFrame:
+    """One row (valeurs_verifiees, fuites): originals of a masked dataset, by its stored tokens, that a table still holds."""
+    kept = store.tokens(spark).where(F.col("file_id") == file_id).select(
+        F.col("column_name").alias("colonne"), F.col("original_hash").alias("empreinte"), F.col("token").alias("jeton"),
+        F.col("n_words").alias("mots"), F.col("words_hash").alias("empreinte_mots"),
+    )
+    return privacy.leak_audit(table, kept, key=key)
+
+
 def refresh(spark: SparkSession, store: Store, file_id: str) -> dict:
     """Profile a registered dataset anew after files were added to it; returns the new registry row.
 

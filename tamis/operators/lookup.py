@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ def attach(
     width: int | None = None,
     out: str = "_valeur",
     broadcast_rows: int = BROADCAST_ROWS,
+    scatter: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Add column ``out``: the ``valeur`` that ``table`` (cle, valeur, occurrences) gives the key.
 
@@ -32,7 +35,7 @@ def attach(
     of rows of ``df`` it stands for, and ``width`` the bytes of its keys and values (measured here if
     not given).  A small table is broadcast.  With a large one, the hot keys
     (at most 1 / HOT_SHARE of them) are broadcast, and their rows and the rows without a key are
-    spread over the partitions instead of meeting in one.
+    spread over the partitions, by a hash of the columns ``scatter`` (default: the whole row), instead of meeting in one.
     """
     columns = [quoted(name) for name in df.columns]
     keyed = df.withColumn("_cle", key)
@@ -50,7 +53,7 @@ def attach(
     marked = keyed.join(F.broadcast(hot), "_cle", "left")
     left_to_find = F.when(F.col("_vu").isNull(), F.col("_cle"))
     # A hash of the row, not a random number: a task that is run again sends rows to the same place.
-    scattered = F.pmod(F.xxhash64(*[column.cast("string") for column in columns]), F.lit(SPREAD))
+    scattered = F.pmod(F.xxhash64(*(scatter or [column.cast("string") for column in columns])), F.lit(SPREAD))
     left = marked.withColumn("_froid", left_to_find).withColumn(
         "_part", F.when(F.col("_froid").isNull(), scattered).otherwise(F.lit(0).cast("long"))
     )

@@ -13,7 +13,7 @@ from tamis.functions import fixed, text
 from tamis.operators import frequency
 from tamis.operators.columns import EXACT, INTEGER, TEXT, ColumnRef, columns_of, melt, quoted
 from tamis.operators.local import local_table
-from tamis.operators.lookup import BROADCAST_ROWS, attach
+from tamis.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, attach
 from tamis.operators.ranks import number_in_order
 from tamis.operators.spread import spread
 from tamis.session import written
@@ -124,7 +124,8 @@ def tokens(
 ) -> DataFrame:
     """One row per distinct value of each detected column, numbered by first appearance.
 
-    Rows (colonne, type_pii, empreinte, rang, jeton, occurrences).  ``order_by`` names the column
+    Rows (colonne, type_pii, empreinte, rang, jeton, occurrences, mots, empreinte_mots): the last two are the number of words of
+    the value and the fingerprint of its words alone, by which an audit finds it inside a text.  ``order_by`` names the column
     that orders the rows (default: the order in which files are read); ``key`` makes
     fingerprints secret; ``normalise`` gives values that differ by outer blanks one token.
     """
@@ -135,7 +136,7 @@ def tokens(
     firsts = (
         rows.where(F.col("v").isNotNull()).groupBy("c", "v")
         .agg(F.min("position").alias("premiere"), F.count(F.lit(1)).alias("occurrences"))
-        .select("c", text.fingerprint(F.col("v"), key).alias("empreinte"), "premiere", "occurrences")
+        .select("c", text.fingerprint(F.col("v"), key).alias("empreinte"), "premiere", "occurrences", *_by_words(F.col("v"), key))
     )  # from here on fingerprints stand for values: nothing written holds one
     kinds = {one.colonne: one.type_pii for one in found}
     labels = local_table(
@@ -146,10 +147,21 @@ def tokens(
     numbered = number_in_order(firsts, ["c"], "premiere", "rang", tie=["empreinte"])
     return numbered.join(F.broadcast(labels), "c").select(
         "colonne", "type_pii", "empreinte", "rang",
-        text.token(F.col("type_pii"), F.col("rang")).alias("jeton"), "occurrences",
+        text.token(F.col("type_pii"), F.col("rang")).alias("jeton"), "occurrences", "mots", "empreinte_mots",
     )
 
 
+def _words(value: Column) -> Column:
+    """The words of a text, without marks between or around them."""
+    parts = F.split(F.regexp_replace(value, fixed.WORD_EDGES, " "), fixed.WORD_BREAKS)
+    return F.filter(parts, lambda word: word != "")
+
+
+def _by_words(value: Column, key: str | None) -> list[Column]:
+    words = _words(value)
+    return [F.size(words).alias("mots"), text.fingerprint(F.array_join(words, " "), key).alias("empreinte_mots")]
+
+
 def _refs(df: DataFrame, found: Iterable[Detection]) -> list[ColumnRef]:
     names = {one.colonne for one in found}
     return [ref for ref in columns_of(df) if ref.name in names]
@@ -167,11 +179,14 @@ def mask(
     key: str | None = None,
     normalise: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
+    together: bool | None = None,
 ) -> DataFrame:
     """The table with the detected columns replaced by their tokens; missing stays missing.
 
     ``mapping`` holds (colonne, empreinte, jeton, occurrences); give it as a written table, it is
-    counted first, and each column is joined by broadcast or by a skew-proof shuffle accordingly.
+    counted first.  Columns with few tokens are joined by broadcast.  Of the others, a single one is joined by a skew-proof shuffle of
+    the table; several are joined ``together`` (or one after the other, if that is false), so that the table moves a fixed number of
+    times however many they are.
     """
     sizes = {
         row["colonne"]: row.asDict()
@@ -181,18 +196,56 @@ def mask(
         ).collect()
     }
     form = _masked_form(normalise)
-    out = df
+    out, large = df, []
     for ref in _refs(df, list(found)):
         own = mapping.where(F.col("colonne") == ref.name).select(
             F.col("empreinte").alias("cle"), F.col("jeton").alias("valeur"), "occurrences"
         )
         measured = sizes.get(ref.name, {"size": 0, "total": 0, "width": 0})
-        found_tokens = attach(
-            out, text.fingerprint(form(ref), key), own,
-            size=measured["size"], total=measured["total"], width=measured["width"], out="_jeton", broadcast_rows=broadcast_rows,
-        )
-        out = found_tokens.withColumn(ref.name, F.col("_jeton")).drop("_jeton")
-    return out
+        if together is not False and (measured["size"] > broadcast_rows or (measured["width"] or 0) > BROADCAST_BYTES):
+            large.append((ref, own, measured))
+            continue
+        out = _masked_alone(out, ref, own, measured, form, key, broadcast_rows)
+    if len(large) == 1 and not together:
+        return _masked_alone(out, *large[0], form, key, broadcast_rows)
+    return _masked_together(out, large, form, key) if large else out
+
+
+def _masked_alone(
+    df: DataFrame, ref: ColumnRef, own: DataFrame, measured: Mapping, form, key: str | None, broadcast_rows: int
+) -> DataFrame:
+    """One column replaced by its tokens."""
+    found_tokens = attach(
+        df, text.fingerprint(form(ref), key), own,
+        size=measured["size"], total=measured["total"], width=measured["width"], out="_jeton", broadcast_rows=broadcast_rows,
+    )
+    return found_tokens.withColumn(ref.name, F.col("_jeton")).drop("_jeton")
+
+
+def _masked_together(df: DataFrame, large: Sequence[tuple[ColumnRef, DataFrame, Mapping]], form, key: str | None) -> DataFrame:
+    """Several columns replaced by their tokens: cells apart from rows, one join with all tokens, and rows and tokens put together.
+
+    A row becomes a row without the columns and, for each of them that is filled, a cell of fingerprint only. Both take part
+    in one join and one grouping by row, so the table moves twice.
+    """
+    named = lambda i, empreinte: F.concat(F.lit(f"{i}:"), empreinte)
+    cells = [F.when(form(ref).isNotNull(), F.struct(F.lit(i).alias("i"), named(i, text.fingerprint(form(ref), key)).alias("cle"), F.lit(None).alias("reste"))) for i, (ref, _, _) in enumerate(large)]
+    masked = {ref.name for ref, _, _ in large}
+    rest = [quoted(name).alias(f"r{at}") for at, name in enumerate(df.columns) if name not in masked]
+    whole = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("cle"), F.struct(*rest, F.lit(True).alias("la")).alias("reste"))
+    numbered = df.withColumn("_ligne", F.monotonically_increasing_id())
+    parts = numbered.select("_ligne", F.explode(F.array_compact(F.array(whole, *cells))).alias("_part")).select("_ligne", "_part.*")
+    tokens_of = reduce(DataFrame.unionByName, [own.withColumn("cle", named(i, F.col("cle"))) for i, (_, own, _) in enumerate(large)])
+    joined = attach(
+        parts, F.col("cle"), tokens_of, size=sum(m["size"] for _, _, m in large), total=sum(m["total"] for _, _, m in large),
+        out="_jeton", broadcast_rows=-1, scatter=[F.col("_ligne"), F.col("i")],
+    )
+    back = joined.groupBy("_ligne").agg(
+        F.first("reste", ignorenulls=True).alias("_reste"),
+        *[F.max(F.when(F.col("i") == i, F.col("_jeton"))).alias(f"_j{i}") for i in range(len(large))],
+    )
+    at = {ref.name: F.col(f"_j{i}") for i, (ref, _, _) in enumerate(large)}
+    return back.select(*[at.get(name, F.col(f"_reste.r{k}")).alias(name) for k, name in enumerate(df.columns)])
 
 
 def pseudonymise(
@@ -203,6 +256,7 @@ def pseudonymise(
     key: str | None = None,
     normalise: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
+    together: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The masked table, and its tokens (colonne, empreinte, jeton).
 
@@ -211,7 +265,7 @@ def pseudonymise(
     """
     found = list(found)
     table = written(tokens(df, found, order_by=order_by, key=key, normalise=normalise), "jetons")
-    masked = mask(df, table, found, key=key, normalise=normalise, broadcast_rows=broadcast_rows)
+    masked = mask(df, table, found, key=key, normalise=normalise, broadcast_rows=broadcast_rows, together=together)
     return masked, table
 
 
@@ -277,10 +331,11 @@ def vault_mapping(
     present = (
         melt(df, wanted, lambda ref: ref.printed).where(F.col("v").isNotNull())
         .groupBy("c", text.fingerprint(F.col("v"), key).alias("empreinte"))
-        .agg(F.count(F.lit(1)).alias("occurrences")).join(F.broadcast(labels), "c")
+        .agg(F.count(F.lit(1)).alias("occurrences"), *[F.first(column).alias(name) for column, name in zip(_by_words(F.col("v"), key), ("mots", "empreinte_mots"))])
+        .join(F.broadcast(labels), "c")
     )
     return present.join(vault, ["type_pii", "empreinte"]).select(
-        "colonne", "type_pii", "empreinte", "rang", "jeton", "occurrences"
+        "colonne", "type_pii", "empreinte", "rang", "jeton", "occurrences", "mots", "empreinte_mots"
     )
 
 
@@ -291,8 +346,8 @@ def leaks(masked: DataFrame, mapping: DataFrame, *, key: str | None = None, excl
     """Rows (colonne, empreinte) of cells of the masked table that still hold an original value.
 
     Empty when nothing leaked.  Cells are reduced to fingerprints before anything is moved: of the
-    whole cell, and of everything inside a text that has the shape of personal data or is a word
-    or a pair of words, as a name is.
+    whole cell, of everything inside a text that has the shape of personal data, and of every run of words as long as an
+    original is (``mots`` of the mapping; without it, of one or two words).
     """
     texts = [ref for ref in columns_of(masked, exclude) if ref.family in (TEXT, INTEGER, EXACT)]
     names = local_table(
@@ -300,20 +355,41 @@ def leaks(masked: DataFrame, mapping: DataFrame, *, key: str | None = None, excl
     )
     shown = (
         melt(masked, texts, lambda ref: ref.printed).where(F.col("v").isNotNull())
-        .select("c", F.explode(F.array_distinct(_inside(F.col("v")))).alias("v"))
-        .select("c", text.fingerprint(F.col("v"), key).alias("empreinte")).distinct()
+        .select("c", F.explode(_inside(F.col("v"), _lengths(mapping), key)).alias("vu")).distinct()
     )
-    originals = mapping.select("empreinte").distinct()
-    return shown.join(originals, "empreinte", "left_semi").join(F.broadcast(names), "c").select("colonne", "empreinte")
+    return shown.join(_originals(mapping), "vu").join(F.broadcast(names), "c").select("colonne", "empreinte").distinct()
+
+
+def _lengths(mapping: DataFrame) -> list[int]:
+    """How many words originals have: the different numbers, in order."""
+    if "mots" not in mapping.columns:
+        return [1, 2]
+    return sorted(row[0] for row in mapping.select("mots").distinct().collect() if row[0])
 
 
-def _inside(cell: Column) -> Column:
-    """The cell, and the parts of it that could be a personal value of their own."""
+def _originals(mapping: DataFrame) -> DataFrame:
+    """Rows (vu, empreinte): fingerprints under which an original may be seen, and its own."""
+    own = mapping.select(F.col("empreinte").alias("vu"), "empreinte")
+    if "empreinte_mots" in mapping.columns:
+        own = own.unionByName(mapping.where("mots > 0").select(F.col("empreinte_mots").alias("vu"), "empreinte"))
+    return own.distinct()
+
+
+def _inside(cell: Column, lengths: Sequence[int], key: str | None) -> Column:
+    """Fingerprints of the cell and of the parts of it that could be a personal value of their own."""
     shaped = [F.regexp_extract_all(cell, F.lit(shape), F.lit(0)) for shape in fixed.INSIDE_SHAPES]
-    words = F.filter(F.split(cell, r"[\s,;:()\[\]\"<>]+"), lambda w: w != "")
-    # Bound to a variable: inside the lambda the split would be done anew for each word.
-    named = F.transform(F.array(words), lambda ws: F.concat(ws, F.transform(ws, lambda w, i: F.concat_ws(" ", F.slice(ws, i + 1, 2)))))[0]
-    return F.concat(F.array(cell), *shaped, named)
+
+    def of_length(words: Column, length: int) -> Column:
+        starts = F.slice(words, 1, F.greatest(F.size(words) - (length - 1), F.lit(0)))
+        return F.transform(starts, lambda word, at: F.array_join(F.slice(words, at + 1, length), " "))
+
+    def windows(words: Column) -> Column:
+        return F.concat(F.array().cast("array<string>"), *[of_length(words, length) for length in lengths])
+
+    # Bound to a variable: inside the lambdas the split would be done anew for each word.
+    named = F.transform(F.array(_words(cell)), windows)[0]
+    whole = F.array_distinct(F.concat(F.array(cell), *shaped, named))
+    return F.transform(whole, lambda part: text.fingerprint(part, key))
 
 
 def context_leaks(context: DataFrame, mapping: DataFrame, *, key: str | None = None) -> DataFrame:
@@ -321,10 +397,8 @@ def context_leaks(context: DataFrame, mapping: DataFrame, *, key: str | None = N
     entry = context.select(F.explode("colonnes").alias("e"))
     frequent = F.coalesce(F.transform(F.col("e.statistiques.modalites_frequentes"), lambda m: m["valeur"]), F.array().cast("array<string>"))
     shown = entry.select(F.col("e.nom").alias("nom"), F.explode(F.concat(F.col("e.exemples"), frequent)).alias("v"))
-    inside = shown.where(F.col("v").isNotNull()).select("nom", F.explode(F.array_distinct(_inside(F.col("v")))).alias("v"))
-    return inside.select("nom", text.fingerprint(F.col("v"), key).alias("empreinte")).distinct().join(
-        mapping.select("empreinte").distinct(), "empreinte", "left_semi"
-    ).select("nom", "empreinte")
+    inside = shown.where(F.col("v").isNotNull()).select("nom", F.explode(_inside(F.col("v"), _lengths(mapping), key)).alias("vu"))
+    return inside.distinct().join(_originals(mapping), "vu").select("nom", "empreinte").distinct()
 
 
 def leak_audit(masked: DataFrame, mapping: DataFrame, *, key: str | None = None) -> DataFrame:

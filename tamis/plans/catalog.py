@@ -324,6 +324,32 @@ def profile_full(spark, folder):
         *_FLAT, "nb_lignes", "nb_doublons", "score_qualite")
 
 
+_GROWN = [name for name in _FLAT if name != "exemples"]  # which come first depends on the names of files
+_STORED = """nb_lignes bigint, doublons struct<nombre:bigint>, score_qualite double, colonnes array<struct<nom:string, type:string,
+    valeurs_manquantes:bigint, part_manquantes:double, cardinalite:bigint, exemples:array<string>,
+    statistiques:struct<minimum:double, maximum:double, moyenne:double, mediane:double, ecart_type:double,
+    modalites_frequentes:array<struct<valeur:string, occurrences:bigint>>>, anomalies:array<struct<type:string, detail:string>>>>"""
+
+
+@query("profile_refresh", sql.profile_statement(
+    f"SELECT {', '.join(_GROWN)}, nb AS nb_lignes, nb - di AS nb_doublons, score AS score_qualite, 1 AS fichiers_lus FROM prof, note, dup",
+    "sales", *sql.SALES_SPEC, score=True))
+def profile_refresh(spark, folder):
+    """A table profiled, grown by a file, and profiled again from its kept state and that file."""
+    path, store = f"{_new_folder(spark, 'ventes')}/ventes.parquet", intake.Store(_new_folder(spark, "registre"))
+    sales = views.sales(spark, folder)
+    sales.where("ordre % 3 > 0").write.parquet(path)
+    row = intake.register(spark, store, "w1", path)
+    intake.refresh(spark, store, row["id"])
+    sales.where("ordre % 3 = 0").coalesce(1).write.mode("append").parquet(path)
+    grown = intake.refresh(spark, store, row["id"])
+    last = registry.read(spark, store.registry).where(F.col("version") == grown["version"])
+    stored = last.select(F.from_json("profile", _STORED).alias("p")).select(
+        "p.nb_lignes", F.col("p.doublons.nombre").alias("nb_doublons"), "p.score_qualite", F.lit(grown["fichiers_lus"]).alias("fichiers_lus"), F.inline("p.colonnes"))
+    beside = ("nb_lignes", "nb_doublons", "score_qualite", "fichiers_lus")
+    return flat(stored, *beside).select(*_GROWN, *beside)
+
+
 @query("compact_context", sql.profile_statement(
     """SELECT (SELECT count(*) FROM staff) AS nb_lignes, nom, type, cardinalite, part_manquantes, exemples,
          minimum, maximum, moyenne, mediane, ecart_type, modalites FROM prof""", "staff", *sql.STAFF_SPEC))
@@ -462,9 +488,31 @@ def pii_masked_table(spark, folder):
 
 @query("pii_masked_by_shuffle", sql.over([sql.staff_sql(), sql.token_ctes()], f"SELECT {_MASKED} FROM staff"))
 def pii_masked_by_shuffle(spark, folder):
-    """The way of large token tables: joined by shuffle, hot keys apart."""
+    """The way of large token tables: joined by shuffle, hot keys apart, one column after the other."""
+    staff, found = _staff_and_detections(spark, folder)
+    return privacy.pseudonymise(staff, found, order_by="cle", broadcast_rows=0, together=False)[0]
+
+
+@query("pii_masked_together", sql.over([sql.staff_sql(), sql.token_ctes()], f"SELECT {_MASKED} FROM staff"))
+def pii_masked_together(spark, folder):
+    """The way of several large token tables: all columns by one join and one grouping."""
     staff, found = _staff_and_detections(spark, folder)
-    return privacy.pseudonymise(staff, found, order_by="cle", broadcast_rows=0)[0]
+    return privacy.pseudonymise(staff, found, order_by="cle", broadcast_rows=0, together=True)[0]
+
+
+@query("pii_leaks_in_prose", sql.over([sql.staff_sql()], """
+    SELECT 'lettre' AS colonne, 2 * count(DISTINCT cle % 300) AS fuites FROM staff WHERE cle % 10 = 0"""))
+def pii_leaks_in_prose(spark, folder):
+    """Names of four and five words that stand inside letters of a masked table."""
+    number = (F.col("cle") % 300).cast("string")
+    said = F.concat(F.lit("Bonjour, je connais Élodie de La Tour"), number, F.lit(". Et Anne,  Marie de Saint-Cyr n"), number, F.lit(" aussi !"))
+    letters = views.staff(spark, folder).withColumns({
+        "nom": F.concat(F.lit("Élodie de La Tour"), number), "autre": F.concat(F.lit("Anne Marie de Saint-Cyr n"), number),
+        "lettre": F.when(F.col("cle") % 10 == 0, said).otherwise("rien à dire"),
+    })
+    found = [privacy.Detection(name, fixed.PERSON_NAME, 1.0, "") for name in ("nom", "autre")]
+    masked, mapping = privacy.pseudonymise(letters, found, order_by="cle")
+    return privacy.leaks(masked, mapping).groupBy("colonne").agg(F.count(F.lit(1)).alias("fuites"))
 
 
 @query("pii_masking_summary", sql.over([sql.staff_sql(), sql.token_ctes()],

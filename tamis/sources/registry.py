@@ -24,7 +24,7 @@ REGISTRY_SCHEMA = (
     "profile string, quality_score double, pii_status string, version int, created_at timestamp"
 )
 _BESIDE = ", lot string, etat string"
-MAPPING_SCHEMA = "file_id string, column_name string, original_hash string, token string"
+MAPPING_SCHEMA = "file_id string, column_name string, original_hash string, token string, n_words int, words_hash string"
 
 
 def dataset_id(workspace: str, path: str) -> str:
@@ -140,12 +140,13 @@ def write_mapping(mapping: DataFrame, file_id: str, folder: str, lot: str) -> st
     mapping.select(
         F.lit(file_id).alias("file_id"), F.col("colonne").alias("column_name"),
         F.col("empreinte").alias("original_hash"), F.col("jeton").alias("token"),
+        F.col("mots").alias("n_words"), F.col("empreinte_mots").alias("words_hash"),
     ).write.parquet(path)
     return path
 
 
 def mappings(spark: SparkSession, registry: str, folder: str) -> DataFrame:
-    """The tokens of all committed versions (file_id, column_name, original_hash, token)."""
+    """The tokens of all committed versions (file_id, column_name, original_hash, token, n_words, words_hash)."""
     committed = _entries(spark, registry).where(F.col("lot").isNotNull()).select("lot")
     try:
         kept = spark.read.schema(MAPPING_SCHEMA + ", lot string").parquet(folder)
