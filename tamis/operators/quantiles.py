@@ -6,8 +6,9 @@
    values stop here: ``percentile`` is safe once the number of values is known to be small);
 2. one pass counts exactly the rows below, between and above the brackets, and keeps the values
    only inside them (about a hundredth of a large table), cut into equal-width slices;
-3. the slices that hold a wanted rank are found from exact totals, and only their values are
-   ordered, one task per slice.
+3. the slices that hold a wanted rank are found from exact totals; while one of them holds too many
+   values for a task, it is sliced again;
+4. only the values of these slices are ordered, one task per slice.
 
 Ranks are located by exact counts, so the sketch decides the amount of work, not the result.  If
 it ever misses a rank, the column is done again with its extremes as the bracket.
@@ -34,6 +35,8 @@ MARGIN = 0.003
 # A column with no more values than this may be ordered in one task.
 SMALL_COLUMN = 200_000
 SLICES = 4096
+# No slice with more values is ordered; it is sliced again.
+SLICE_VALUES = 1_000_000
 OUTSIDE = -1
 
 
@@ -98,27 +101,73 @@ def exact_quartiles(numbers: DataFrame, sketched: Iterable[Row], small: int = SM
 
 
 def _narrowed(numbers: DataFrame, sketched: Iterable[Row]) -> DataFrame:
-    columns = _local_columns(numbers, sketched)
+    """The quartiles of large columns, from the values of the slices that hold a wanted rank."""
+    merged, columns, chosen = small_slices(numbers, list(sketched))
+    slices = local_table(
+        numbers.sparkSession, [{"c": row["c"], "zone": row["zone"], "slice": row["slice"], "base": row["before"]} for row in chosen],
+        "c int, zone int, slice bigint, base bigint",
+    )  # at most six rows per column
+    values = _holding(
+        merged.join(F.broadcast(slices), ["c", "zone", "slice"]),
+        columns, ["c", "zone", "slice"], ["v"], F.col("base"),
+    )
+    found = values.groupBy("c").agg(*_ends()).select("c", *_interpolated()).collect()  # a row per column
+    merged.unpersist()
+    return local_table(numbers.sparkSession, [row.asDict() for row in found], "c int, " + ", ".join(f"{name} double" for name in NAMES))
+
+
+def small_slices(numbers: DataFrame, sketched: list[Row]) -> tuple[DataFrame, DataFrame, list[Row]]:
+    """The counted values inside the brackets, the columns, and the slices that hold a wanted rank: none with over SLICE_VALUES values.
+
+    Slices are of equal width. Where values crowd in one of them, as in the tail of a skewed column, its extremes become the
+    bracket, and the column is sliced again: each time 4096 times finer at least, so a few rounds do for any doubles.
+    """
+    while True:
+        columns = _local_columns(numbers, sketched)
+        merged = _sliced(numbers, columns).persist()
+        sizes = merged.groupBy("c", "zone", "slice").agg(
+            F.sum("size").alias("size"), F.count(F.lit(1)).alias("values"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
+        chosen = _holding(sizes, columns, ["c"], ["zone", "slice"], F.lit(0)).collect()  # at most six rows per column
+        finer = {}
+        for row in sketched:
+            held = [one for one in chosen if one["c"] == row["c"]]
+            if any(one["values"] > SLICE_VALUES for one in held):
+                cuts = _tighter(row, held)
+                if cuts != list(row["cuts"]):
+                    finer[row["c"]] = Row(**{**row.asDict(), "cuts": cuts})
+        if not finer:
+            return merged, columns, chosen
+        merged.unpersist()
+        sketched = [finer.get(row["c"], row) for row in sketched]
+
+
+def _tighter(row: Row, held: list[Row]) -> list[float]:
+    """The brackets of a column, narrowed to the slices that hold the ranks of each quartile."""
+    cuts = list(map(float, row["cuts"]))
+    for i, p in enumerate(PROBABILITIES):
+        place = (row["renseignees"] - 1) * p
+        own = [
+            one for rank in (math.floor(place), math.ceil(place)) for one in held
+            if one["before"] <= rank < one["before"] + one["size"] and one["slice"] != OUTSIDE
+        ]
+        if own:
+            cuts[2 * i : 2 * i + 2] = [min(one["low"] for one in own), max(one["high"] for one in own)]
+    return cuts
+
+
+def _sliced(numbers: DataFrame, columns: DataFrame) -> DataFrame:
+    """Rows (c, zone, slice, v, size): the values inside the brackets, and the number of rows outside."""
     zone, held = _placement()
     v = F.col("v")
     located = numbers.where(v.isNotNull()).join(columns.select("c", *BOUNDS), "c")
     zoned = located.select("c", zone.alias("zone"), held.alias("slice"), "v", *["n"] * ("n" in numbers.columns))
     # A cut changes the zone, so a zone lies wholly inside or wholly outside the brackets.
-    merged = zoned.groupBy(
+    return zoned.groupBy(
         "c", "zone", F.coalesce("slice", F.lit(OUTSIDE).cast("long")).alias("slice"),
         F.when(F.col("slice").isNotNull(), v).alias("v"),
     ).agg(rows_of(zoned).alias("size"))
 
-    sizes = merged.groupBy("c", "zone", "slice").agg(F.sum("size").alias("size"))
-    slices = _holding(sizes, columns, ["c"], ["zone", "slice"], F.lit(0)).select(
-        "c", "zone", "slice", F.col("before").alias("base")
-    )  # at most six rows per column
-    values = _holding(
-        merged.join(F.broadcast(slices), ["c", "zone", "slice"]),
-        columns, ["c", "zone", "slice"], ["v"], F.col("base"),
-    )
-    return values.groupBy("c").agg(*_ends()).select("c", *_interpolated())
-
 
 def _local_columns(numbers: DataFrame, sketched: Iterable[Row]) -> DataFrame:
     rows = []

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tamis.operators import quantiles
 from tamis.operators.ranks import number_in_order
@@ -69,3 +70,22 @@ def test_numbering_by_a_composite_order(spark):
     df = spark.createDataFrame(rows, "g int, p struct<f:string,i:int>").repartition(4)
     got = {(row.g, row.p.f, row.p.i): row.r for row in number_in_order(df, ["g"], "p", "r").collect()}
     assert got == {(0, "a", 9): 1, (0, "b", 1): 2, (0, "b", 2): 3, (1, "c", 5): 1, (1, "z", 0): 2}
+
+
+def test_crowded_slices_are_sliced_again(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SLICE_VALUES", 40)
+    # Nearly all values lie close together, and every bracket reaches far into a tail.
+    tail = F.when(F.col("id") % 50 == 0, F.col("id") * 1e12).otherwise(1 + F.col("id") / 1e9)
+    huge = F.when(F.col("id") % 3 == 0, -1e308).when(F.col("id") % 3 == 1, 1e308).otherwise(F.col("id") / 1e12)
+    df = spark.range(20_000).select(tail.alias("a"), huge.alias("b"), (F.col("id") % 4).cast("double").alias("d"))
+    numbers = df.unpivot([], ["a", "b", "d"], "c", "v").withColumn("c", F.ascii("c") - F.ascii(F.lit("a")))
+    wide = [
+        row for row in numbers.groupBy("c").agg(F.count("v").alias("renseignees"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .select("c", "renseignees", F.array("low", "high", "low", "high", "low", "high").alias("cuts")).collect()
+    ]
+    merged, _, chosen = quantiles.small_slices(numbers, wide)
+    assert max(row["values"] for row in chosen) <= 40
+    merged.unpersist()
+    found = {row["c"]: [row[n] for n in quantiles.NAMES] for row in quantiles.exact_quartiles(numbers, wide, small=10).collect()}
+    for c, name in ((0, "a"), (1, "b"), (3, "d")):
+        assert found[c] == df.agg(F.percentile(name, [0.25, 0.5, 0.75])).head()[0]
