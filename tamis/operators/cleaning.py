@@ -8,7 +8,7 @@ from has changed.  A plan is a fold of DataFrame transformations: one lazy Spark
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -104,7 +104,7 @@ def _kept(df: DataFrame, table: DataFrame, label: str) -> dict:
 def replay(df: DataFrame, actions: Iterable[CleaningAction]) -> DataFrame:
     """The current state: the original table with the enabled actions applied in order."""
     state = df
-    for action in _enabled(actions):
+    for action in enabled(actions):
         state = _apply(state, action)
     return state
 
@@ -115,23 +115,26 @@ def rows_affected(df: DataFrame, actions: Iterable[CleaningAction]) -> list[tupl
     The counts are observed while the whole plan runs once.
     """
     watched, state = [], df
-    for action in _enabled(actions):
-        if action.action_type == DEDUPE:
-            before, after = Observation(), Observation()
-            state = state.observe(before, F.count(F.lit(1)).alias("n")).dropDuplicates()
-            state = state.observe(after, F.count(F.lit(1)).alias("n"))
-            watched.append((action.order_index, before, after))
-        else:
-            touched = Observation()
-            marked = _marked(state, action).observe(touched, F.count_if("_touchee").alias("n"))
-            state = _changed(state.columns, marked, action)
-            watched.append((action.order_index, touched, None))
+    for action in enabled(actions):
+        state, watching = observed(state, action)
+        watched.append((action.order_index, watching))
     if watched:
         state.write.format("noop").mode("overwrite").save()
-    return [(at, one.get["n"] - (other.get["n"] if other else 0)) for at, one, other in watched]
+    return [(at, watching()) for at, watching in watched]
 
 
-def _enabled(actions: Iterable[CleaningAction]) -> list[CleaningAction]:
+def observed(df: DataFrame, action: CleaningAction) -> tuple[DataFrame, Callable[[], int]]:
+    """The table after an action, and what tells, once it has been computed, how many rows the action affected."""
+    if action.action_type == DEDUPE:
+        before, after = Observation(), Observation()
+        state = df.observe(before, F.count(F.lit(1)).alias("n")).dropDuplicates().observe(after, F.count(F.lit(1)).alias("n"))
+        return state, lambda: before.get["n"] - after.get["n"]
+    touched = Observation()
+    marked = _marked(df, action).observe(touched, F.count_if("_touchee").alias("n"))
+    return _changed(df.columns, marked, action), lambda: touched.get["n"]
+
+
+def enabled(actions: Iterable[CleaningAction]) -> list[CleaningAction]:
     return sorted((one for one in actions if one.enabled), key=lambda one: one.order_index)
 
 

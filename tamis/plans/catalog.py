@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamis import intake
 from tamis.functions import fixed, text
-from tamis.operators import cleaning, crosscheck, metering, privacy, quantiles, quality
+from tamis.operators import cleaning, crosscheck, metering, privacy, quantiles, quality, replay
 from tamis.operators.columns import columns_of, melt
 from tamis.operators.duplicates import duplicate_rows
 from tamis.operators.local import local_table
@@ -715,6 +715,28 @@ def clean_replay_stored_counts(spark, folder):
     return spark.read.parquet(path).select("order_index", "action_type", "rows_affected")
 
 
+_KEPT_COUNTS = f"""n AS (SELECT 0 AS order_index, (SELECT count(*) FROM sales WHERE {_PARSED} <> date_vente) AS rows_affected
+    UNION ALL SELECT 1, (SELECT count(*) FROM sales) - (SELECT count(*) FROM d)
+    UNION ALL SELECT 2, (SELECT count(*) FROM d WHERE montant < 0)
+    UNION ALL SELECT 3, (SELECT count(*) FROM d WHERE cle NOT IN (SELECT cle FROM staff)))"""
+
+
+@query("clean_replay_kept", sql.over([*_SALES_REPLAYED, _KEPT_COUNTS], """
+    SELECT 1 AS passage, 0 AS reprises, order_index, rows_affected, (SELECT count(*) FROM d) AS nb_lignes FROM n
+    UNION ALL SELECT 2, 2, order_index, rows_affected, (SELECT count(*) FROM d) FROM n WHERE order_index <> 2
+    UNION ALL SELECT 3, 4, order_index, rows_affected, (SELECT count(*) FROM d) FROM n"""))
+def clean_replay_kept(spark, folder):
+    """A plan replayed, replayed with its third action switched off, and with it on again: what was kept is not run again."""
+    sales, actions = _sales_plan(spark, folder)
+    place, frames = _new_folder(spark, "etats"), []
+    for passage, on in ((1, True), (2, False), (3, True)):
+        state, counts, kept = replay.replay(sales, cleaning.toggled(actions, 2, on), folder=place, version="ventes-1")
+        rows = [{"passage": passage, "reprises": kept, "order_index": at, "rows_affected": n} for at, n in counts]
+        told = local_table(spark, rows, "passage int, reprises int, order_index int, rows_affected bigint")
+        frames.append(told.withColumn("nb_lignes", F.lit(state.count())))
+    return _stack(frames)
+
+
 @query("clean_replay_counts", sql.over(_REPLAYED, """
     SELECT 0 AS order_index, 'handle_outliers' AS action_type, (SELECT count(*) FROM staff) - (SELECT count(*) FROM e0) AS rows_affected
     UNION ALL SELECT 1, 'impute_mean', (SELECT count(*) FROM e0 WHERE salaire IS NULL)
