@@ -43,7 +43,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.without_repeats(read(spark, folder, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("has_repeats"),
+        F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("removed"),
+    )
 
 
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

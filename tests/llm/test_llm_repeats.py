@@ -79,3 +79,23 @@ def test_sampling_depends_on_the_window_alone():
 
 def test_empty_table(docs):
     assert repeats.without_repeats(docs([])).count() == 0
+
+
+def test_recall_of_planted_passages_splits_at_the_length(spark, docs):
+    """Passages of over 50 words in two or more documents: those of 400 bytes and more go whole, shorter ones stay, whatever their words."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvé") for _ in range(rng.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(rng.randint(51, 90))) for _ in range(60)]
+    rows = []
+    for k in range(240):
+        before, after = (" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(2))
+        planted = passages[k % 60] if k < 180 else " ".join(word() for _ in range(120))  # the last ones hold nothing planted
+        rows.append((k, f"{before}\n{planted}\n{after}"))
+    found = {r.doc_id: r for r in repeats.without_repeats(docs(rows)).collect()}
+    long = {p for p in passages if len(p.encode()) >= repeats.LENGTH}
+    assert 10 < len(long) < 50
+    for k, text in rows:
+        passage = passages[k % 60] if k < 180 else None
+        kept = bytes(found[k]["kept"]).decode()
+        assert (found[k]["n_removed"] > 0) == (passage in long)
+        assert passage is None or (passage in kept) == (passage not in long)
