@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.common import Hashed, beside, bounded_batches, in_groups, mixed, runs
+from tamis.operators.ranks import number_in_order
 from tamis.session import written
 
 #: Characters of an n-gram, and bits of one: five of twelve fit in a long.
@@ -24,8 +25,8 @@ BROADCAST_GRAMS = 8_000_000
 #: How far from the median a band reaches, in standard deviations of a good document of the same length, and the least such
 #: deviation (of log perplexity per character).
 SPREAD, FLOOR = 3.5, 0.006
-#: Where a language has fewer good labelled documents, its band comes from all documents.
-ENOUGH = 30
+#: A language's band leans on its good labelled documents by their number n as n / (n + LEAN), and on all documents for the rest.
+LEAN = 30
 SYMBOLS = "#*$%&|<>"
 FEWEST_WORDS = 50
 
@@ -276,31 +277,38 @@ def bands(scores: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(band_lang, middle, scale) of log perplexity per character, for each language.
 
     The middle is the median, and the scale the median absolute deviation (as a standard deviation) of the distance from it
-    times the root of a document's words: a mean over more words strays less. Both come from documents labelled good, or from
-    all that pass the base rules where good ones are few. Statistics are approximate percentiles, one row per language.
+    times the root of a document's words: a mean over more words strays less. Both are taken over documents labelled good and
+    over all that pass the base rules; the band lies between the two, the nearer to the good ones the more there are. Medians are
+    exact, so a band does not depend on how the documents are partitioned.
     """
-    usable = scores.where(~F.col("base_failed") & F.col("perplexity").isNotNull())
+    key = F.when(F.col("lang").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("lang")))
+    usable = scores.where(~F.col("base_failed") & F.col("perplexity").isNotNull()).select(key.alias("key"), "doc_id", "perplexity", "n_words")
+    named = F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)).alias("band_lang")
     everything = _middle(usable)
     if labels is None:
-        return everything.drop("n")
+        return everything.select(named, "middle", "scale")
     named_good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    good = _middle(usable.join(named_good, F.col("doc_id") == F.col("good_id"), "left_semi")).where(F.col("n") >= ENOUGH).select(
-        F.col("band_lang").alias("good_lang"), F.col("middle").alias("good_middle"), F.col("scale").alias("good_scale")
-    )
-    return everything.join(good, F.col("band_lang").eqNullSafe(F.col("good_lang")), "left").select(
-        "band_lang", F.coalesce("good_middle", "middle").alias("middle"), F.coalesce("good_scale", "scale").alias("scale")
-    )
+    good = _middle(usable.join(named_good, F.col("doc_id") == F.col("good_id"), "left_semi")).toDF("key", "good_middle", "good_scale", "good")
+    lean = F.coalesce(F.col("good") / (F.col("good") + LEAN), F.lit(0.0))
+    between = lambda name: ((1 - lean) * F.col(name) + lean * F.coalesce(f"good_{name}", name)).alias(name)
+    return everything.join(good, "key", "left").select(named, between("middle"), between("scale"))
 
 
 def _middle(scores: DataFrame) -> DataFrame:
-    centre = scores.groupBy("lang").agg(F.percentile_approx("perplexity", 0.5, 10000).alias("middle"), F.count("*").alias("n")).select(
-        F.col("lang").alias("band_lang"), "middle", "n"
-    )
-    centre = beside(centre, "centres")
-    off = F.abs(F.col("perplexity") - F.col("middle")) * F.sqrt("n_words")
-    return scores.join(centre, F.col("lang").eqNullSafe(F.col("band_lang"))).groupBy("band_lang").agg(
-        F.first("middle").alias("middle"), (1.4826 * F.percentile_approx(off, 0.5, 10000)).alias("scale"), F.first("n").alias("n"),
-    )
+    """(key, middle, scale, n) of each language."""
+    centre = beside(_medians(scores, F.col("perplexity")), "centres")
+    off = F.abs(F.col("perplexity") - F.col("median")) * F.sqrt("n_words")
+    scale = _medians(scores.join(centre, "key"), off).select("key", (1.4826 * F.col("median")).alias("scale"))
+    return centre.join(scale, "key").select("key", F.col("median").alias("middle"), "scale", "n")
+
+
+def _medians(scores: DataFrame, value: Column) -> DataFrame:
+    """(key, median, n) of each language: the values numbered in order, block by block, and the one or two in the middle."""
+    values = scores.select("key", value.alias("v"))
+    sizes = beside(values.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    placed = number_in_order(values, ["key"], "v", "place").join(sizes, "key")
+    middle = F.col("place").between(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    return placed.where(middle).groupBy("key").agg(F.avg("v").alias("median"), F.max("n").alias("n"))
 
 
 def judge(

@@ -35,21 +35,21 @@ HEX_LONG = re.compile(r"[0-9a-f]{24}")
 #: An unbroken string of the characters of keys.
 UNBROKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LENGTH)
 
+#: Digests with their name before them, in hexadecimal or base64 of the digest's length (fixed values).
+_NAMED = r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=](?:%s)" % "|".join((
+    *("[0-9a-f]{%d}" % size for size in (32, 40, 56, 64, 96, 128)), *("[0-9A-F]{%d}" % size for size in (32, 40, 56, 64, 96, 128)),
+    *("[A-Za-z0-9+/]{%d}%s" % size for size in ((22, "=="), (27, "="), (38, "=="), (43, "="), (64, ""), (86, "=="))),
+))
 #: Digests and identifiers that are not secrets, by shape (fixed values).
 KNOWN = (
     re.compile(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"),
     re.compile(r"[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=][A-Za-z0-9+/=]+"),
+    re.compile(_NAMED),
     re.compile(r"[0-9_+/=-]+"),
 )
 #: Digests (hexadecimal, or named and in base64) and identifiers as parts of a longer match; windows do not reach into them.
-KNOWN_PARTS = re.compile(r"(?<![A-Za-z0-9])(?:%s)(?![A-Za-z0-9])" % "|".join((
-    *(known.pattern for known in KNOWN[:3]),
-    r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=](?:%s)" % "|".join(
-        "[A-Za-z0-9+/]{%d}%s" % size for size in ((22, "=="), (27, "="), (38, "=="), (43, "="), (64, ""), (86, "=="))
-    ),
-)))
+KNOWN_PARTS = re.compile(r"(?<![A-Za-z0-9])(?:%s)(?![A-Za-z0-9])" % "|".join((*(known.pattern for known in KNOWN[:3]), _NAMED)))
 PART = re.compile(r"[A-Za-z0-9]+")
 
 

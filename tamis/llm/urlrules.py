@@ -20,6 +20,9 @@ from tamis.session import written
 LISTED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Least share of labelled URLs that hold a rule's tokens and the label, and least share of the URLs with the tokens that do.
 SUPPORT, CONFIDENCE = 0.002, 0.6
+#: Least number of bad URLs behind a rule, whatever the share, and standard errors by which its confidence must exceed the share of bad
+#: URLs among all labelled ones (lower end of Wilson's interval).
+LEAST, ERRORS = 10, 2.0
 #: Labelled URLs that rules are mined from: those with the smallest hash of their row, about so many.
 LABELLED = 2_000_000
 BAD = "label:bad"
@@ -63,11 +66,15 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     ))
 
 
-def mine(urls: DataFrame, bad: Column, *, support: float = SUPPORT, confidence: float = CONFIDENCE, limit: int = LABELLED) -> DataFrame:
+def mine(
+    urls: DataFrame, bad: Column, *, support: float = SUPPORT, confidence: float = CONFIDENCE, limit: int = LABELLED,
+    least: int = 1, errors: float | None = None,
+) -> DataFrame:
     """Rules from labelled urls (column ``url``): rule_id, tokens, key (the rarest token), support, confidence.
 
     FP-growth runs over about ``limit`` labelled URLs at most; a rule whose tokens include those of another rule with as much
-    confidence is pruned. The number of rules is bounded by the support, not by the URLs.
+    confidence is pruned. The number of rules is bounded by the support, not by the URLs. A rule rests on ``least`` bad URLs at least;
+    with ``errors``, so many standard errors below its confidence must still lie above the share of bad URLs among all.
 
     Tokens found with the label less often than the support are dropped before, which loses no rule. Of tokens that the same
     URLs hold, one is mined: a rule with two of them would be pruned, and a rule with one of them holds for each.
@@ -77,7 +84,10 @@ def mine(urls: DataFrame, bad: Column, *, support: float = SUPPORT, confidence:
     baskets = written(labelled.select(
         F.monotonically_increasing_id().alias("row"), "bad", tokens(host, path, F.col("url")).alias("items")
     ), "baskets")
-    least = math.ceil(support * baskets.count())
+    total, all_bad = baskets.agg(F.count("*"), F.count_if("bad")).head()
+    least = max(math.ceil(support * total), least, 1)
+    if least > total:
+        return _no_rules(urls.sparkSession)
     held = baskets.select("row", "bad", F.explode("items").alias("token"))
     # Two hashes of the set of rows that hold a token: tokens of one set are mined as one.
     counts = held.groupBy("token").agg(
@@ -91,10 +101,10 @@ def mine(urls: DataFrame, bad: Column, *, support: float = SUPPORT, confidence:
     mined = written(baskets.select("row", "bad").join(named, "row", "left").select(F.concat(
         F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
     ).alias("items")), "mined-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(mined)
+    model = FPGrowth(itemsCol="items", minSupport=least / total * (1 - 1e-9), minConfidence=confidence).fit(mined)
     found = written(
         model.associationRules.where(F.element_at("consequent", 1) == BAD)
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules",
+        .where(_telling(total, all_bad, errors)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules",
     )
     # A rule is pruned by a rule on fewer of its tokens: its subsets, each looked up by value, not pairs of rules.
     singles = found.select(F.col("tokens").alias("part"), F.col("confidence").alias("part_confidence"))
@@ -116,6 +126,15 @@ def mine(urls: DataFrame, bad: Column, *, support: float = SUPPORT, confidence:
     return written(rules.select(F.concat_ws(" ", "tokens").alias("rule_id"), "tokens", "key", "support", "confidence"), "kept-rules")
 
 
+def _telling(total: int, all_bad: int, errors: float | None) -> Column:
+    """Whether a rule's confidence exceeds the share of bad URLs by more than chance gives it."""
+    if errors is None:
+        return F.lit(True)
+    share, count, square = F.col("confidence"), F.col("support") * total / F.col("confidence"), errors * errors
+    spread = errors * F.sqrt(share * (1 - share) / count + square / (4 * count * count))
+    return (share + square / (2 * count) - spread) / (1 + square / count) > all_bad / total
+
+
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, mined_rule, confidence): the strongest mined rule for each distinct url that fits one.
 
@@ -134,6 +153,7 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def judge(
     pages: DataFrame, labels: DataFrame | None = None, *, rules=LISTED, support: float = SUPPORT, confidence: float = CONFIDENCE,
+    least: int = LEAST, errors: float | None = ERRORS,
 ) -> DataFrame:
     """The verdict on every page: page_id, url, host, path, rule, verdict, mined_rule, confidence.
 
@@ -155,7 +175,7 @@ def judge(
             labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")), "page_id"
         ).where("url is not null and bad is not null")
         if labelled.limit(1).count():
-            mined = mine(labelled, F.col("bad"), support=support, confidence=confidence)
+            mined = mine(labelled, F.col("bad"), support=support, confidence=confidence, least=least, errors=errors)
     # Each distinct url that no listed rule decides is matched once.
     fits = matched(judged.where("rule is null and url is not null").select("url").distinct(), mined)
     return judged.join(fits.select(F.col("url").alias("fit_url"), "mined_rule", "confidence"), F.col("url") == F.col("fit_url"), "left").select(

@@ -126,6 +126,29 @@ def test_bands_read_all_good_labels(spark):
     assert perplexity.bands(scores, many).collect() == perplexity.bands(scores, own).collect()
 
 
+def test_bands_are_exact_and_lean_on_good_documents_by_their_number(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [None, "en", "=", ""][i % 4], False, int(rng.integers(50, 900)), float(rng.normal(2, 1))) for i in range(21_001)]
+    scores = spark.createDataFrame(rows, "doc_id long, lang string, base_failed boolean, n_words int, perplexity double")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(0, 4000, 4), *range(1, 80, 4), 1, 1]], "doc_id long, quality int")
+    told = [{r["band_lang"]: (r["middle"], r["scale"]) for r in perplexity.bands(scores.repartition(n), labels).collect()} for n in (2, 9)]
+
+    def middle(part):
+        centre = np.median([p for *_, p in part])
+        return np.array([centre, 1.4826 * np.median([abs(p - centre) * w**0.5 for *_, w, p in part])])
+
+    good = {row[0] for row in labels.collect()}
+    assert told[0] == told[1] and len(told[0]) == 4
+    for lang, band in told[0].items():
+        part = [r for r in rows if r[1] == lang]
+        chosen = [r for r in part if r[0] in good]
+        lean = len(chosen) / (len(chosen) + perplexity.LEAN)
+        expected = (1 - lean) * middle(part) + (lean * middle(chosen) if chosen else 0)
+        assert np.allclose(band, expected, rtol=1e-12), lang
+
+
 def test_empty_table(docs):
     assert perplexity.judge(docs([])).count() == 0
     assert [r["kept"] for r in perplexity.judge(docs([(1, None)])).collect()] == [False]

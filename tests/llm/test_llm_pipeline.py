@@ -1,6 +1,7 @@
 """Each stage of the pipeline against plain Python, on a small table."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,26 @@ def test_stages_keep_columns_and_equal_brute_force(spark, docs, folder):
     mixed = STAGES["source_mix"](spark, table, folder)
     assert mixed.columns[: len(table.columns)] == table.columns
     assert mixed.where(F.col(mixed.columns[-1]) <= 0).count() == 0
+    # A document that the budget cuts has its first words only, and as many as it counts for.
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    for r in mixed.collect():
+        assert len(words(r["text"])) == r[mixed.columns[-1]] and any((t or "").startswith(r["text"]) for _, t, *_ in rows)
+
+
+def test_the_cut_keeps_white_space_and_counts_match_the_targets(spark, docs, folder):
+    from tamis.llm import mixing
+
+    table = docs([(i, f" a{i}\t\tb c\n\nd  " * (1 + i % 3), "en", ("s", "t", None)[i % 3], -1) for i in range(40)])
+    mixed = dict(corpus_pipeline.STAGES)["source_mix"](spark, table, folder).collect()
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    targets = {r["source"]: int(r["target"]) for r in mixing.mix(table).select("source", "target").distinct().collect()}
+    for source, target in targets.items():
+        assert sum(r["words_taken"] for r in mixed if r["source"] == source) == target
+    cut = [r for r in mixed if r["text"] != texts[r["doc_id"]]]
+    assert 1 <= len(cut) <= 3
+    for r in cut:
+        assert texts[r["doc_id"]].startswith(r["text"]) and len(r["text"].split()) == r["words_taken"] and r["n_chars"] == len(r["text"])
+    assert all(r["n_chars"] == -1 for r in mixed if r not in cut)
 
 
 def test_empty_tables(spark, docs, folder):

@@ -119,3 +119,12 @@ def test_redaction_takes_every_secret_character(docs, spark):
     assert out == {1: "a [secret]' and [secret], é.", 2: "clean", 3: None, None: ""}
     assert secrets.redact(clean).columns == clean.columns
     assert secrets.find(docs([])).count() == 0
+
+
+def test_a_digest_name_frees_strings_of_its_length_only():
+    key = "sQ7xV2mZp9LtB4wKdR8yHcN3kd83hd"
+    found = lambda t: [t[a:b] for a, b, k in secrets.spans_of(t) if k == "random"]
+    for name in ("md5_", "sha1-", "sha256-", "sha512_"):
+        assert found(f"see {name}{key} there") == [name + key]
+    digests = ("md5-0123456789abcdef0123456789ABCDEF".lower(), "sha256-" + "Ab3/" * 10 + "xY9=", "sha384-" + "Ab3+" * 16, "sha1_" + "0123456789" * 4)
+    assert [found(f"see {digest} there") for digest in digests] == [[]] * 4

@@ -101,3 +101,15 @@ def test_a_sample_is_bounded_and_fixed(spark):
     some = sampled(df, 1000, "id")
     assert 800 < some.count() < 1200 and some.exceptAll(sampled(df.repartition(5), 1000, "id")).count() == 0
     assert sampled(df, 10_000, "id").count() == 10_000
+
+
+def test_no_rule_rests_on_a_few_urls_or_on_chance(spark):
+    rows = [(i, f"http://h{i}.test/a/{'odd' if i < 3 else 'some' if i < 60 else 'bad' if i < 90 else 'x'}") for i in range(600)]
+    bad = lambda i: i < 3 or 60 <= i < 90 or i % 2 == 0  # noqa: E731  half of all are bad, so half of "some" say nothing
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not bad(i)), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    found = {r["page_id"]: r["mined_rule"] for r in urlrules.judge(table, labels, confidence=0.5).collect()}
+    assert {i for i, rule in found.items() if rule} == set(range(60, 90)) and set(found.values()) == {None, "path:bad"}
+    loose = {r["mined_rule"] for r in urlrules.judge(table, labels, confidence=0.5, least=1, errors=None).collect()}
+    assert loose - {None} == {"path:odd", "path:bad", "word:test"}
+    assert urlrules.mine(table.limit(5), F.lit(True), least=10).count() == 0
