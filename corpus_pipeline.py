@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import mixing, perplexity, secrets, simhash, tiling
-from tamis.llm.common import free_name, read
+from tamis.llm.common import SPACE, WORD, free_name, read
 from tamis.session import written
 
 
@@ -72,9 +72,16 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.array_repeat(F.col("size"), F.col("rounds").cast("int")),
         F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")),
     )
-    added, taken_words = free_name(docs, "epoch"), free_name(docs, "words_taken")
-    counted = taken.select(F.col("doc_id").alias(number), F.posexplode(times).alias(added, taken_words))
-    return rows.join(counted, number).select(*docs.columns, added, taken_words)
+    added, taken_words, cut = free_name(docs, "epoch"), free_name(docs, "words_taken"), free_name(docs, "cut")
+    counted = taken.select(F.col("doc_id").alias(number), "size", F.posexplode(times).alias(added, taken_words)).withColumn(
+        cut, F.col(taken_words) < F.col("size")
+    ).drop("size")
+    # Each word with the white space before it.
+    words = F.regexp_extract_all("text", F.lit(f"(?:{SPACE})?{WORD}"), F.lit(0))
+    first_words = F.array_join(F.slice(words, 1, F.col(taken_words).cast("int")), "")
+    return rows.join(counted, number).withColumn("text", F.when(F.col(cut), first_words).otherwise(F.col("text"))).withColumn(
+        "n_chars", F.when(F.col(cut), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    ).select(*docs.columns, added, taken_words)
 
 
 STAGES = [
