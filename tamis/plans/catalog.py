@@ -105,20 +105,20 @@ def profile_counts(spark, folder):
 _STATISTICS = ("minimum", "maximum", "moyenne", "mediane", "ecart_type")
 
 
-@query("profile_numeric_stats", """
-    WITH m AS (SELECT 'l_quantity' AS nom, l_quantity AS d FROM lineitem UNION ALL
-      SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL
-      SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'o_totalprice', o_totalprice FROM orders)
+_NUMBERS = [("lineitem", name) for name, kind in sql.LINEITEM.items() if kind == sql.NUMBER] + [("orders", name) for name in sql.ORDERS_NUMBERS]
+
+
+@query("profile_numeric_stats", f"""
+    WITH m AS ({" UNION ALL ".join(f"SELECT '{name}' AS nom, CAST({name} AS DOUBLE) AS d FROM {table}" for table, name in _NUMBERS)})
     SELECT nom, round(min(d), 2) AS minimum, round(max(d), 2) AS maximum, round(avg(d), 2) AS moyenne,
       round(quantile_cont(d, 0.5), 2) AS mediane, round(stddev_pop(d), 2) AS ecart_type FROM m GROUP BY nom""")
 def profile_numeric_stats(spark, folder):
-    lines = views.read(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount")
-    orders = views.read(spark, folder, "orders").select("o_totalprice")
+    """All numbers of two whole tables."""
     return _stack([
-        measure(df, wanted=("statistics",)).where("c >= 0").select(
+        measure(views.read(spark, folder, table), wanted=("statistics",)).where("c >= 0 and minimum is not null").select(
             "nom", *[F.round(source, 2).alias(name) for name, source in
                      zip(_STATISTICS, ("minimum", "maximum", "moyenne", "q50", "ecart_type"))])
-        for df in (lines, orders)
+        for table in ("lineitem", "orders")
     ])
 
 
@@ -432,21 +432,21 @@ def csv_headers(spark, folder):
     v AS (SELECT email AS x, min(CASE WHEN cle % 3 = 0 THEN 0 ELSE 1 END) AS lot,
         min(CASE WHEN cle % 3 = 0 THEN cle END) AS p0, min(cle) AS p1 FROM staff GROUP BY email),
     r AS (SELECT x, row_number() OVER (ORDER BY lot, CASE WHEN lot = 0 THEN p0 ELSE p1 END) AS rang FROM v)
-    """], """SELECT cle, printf('email_%03d@masked.local', rang) AS email, service FROM staff LEFT JOIN r ON email = x"""))
+    """], """SELECT staff.* REPLACE (printf('email_%03d@masked.local', rang) AS email) FROM staff LEFT JOIN r ON email = x"""))
 def pii_vault_masked_table(spark, folder):
     """Two halves masked one after the other with one vault; the row order is text."""
-    staff = views.staff(spark, folder).select("cle", "email", "service", F.lpad(F.col("cle").cast("string"), 12, "0").alias("ordre"))
+    staff = views.staff(spark, folder).withColumn("ordre", F.lpad(F.col("cle").cast("string"), 12, "0"))
     kinds, vault, parts = {"email": fixed.EMAIL}, None, []
     for half in (staff.where(F.col("cle") % 3 == 0), staff.where(F.col("cle") % 3 != 0)):
         vault = written(privacy.extend_vault(vault, half, kinds, order_by="ordre"), "coffre")
         mapping = written(privacy.vault_mapping(vault, half, kinds), "jetons")
         parts.append(privacy.mask(half, mapping, [privacy.Detection("email", fixed.EMAIL, 1.0, "")]))
-    return _stack(parts).select("cle", "email", "service")
+    return _stack(parts).drop("ordre")
 
 
 _DETECTED = {
     "staff": sql.STAFF_SPEC, "sales": sql.SALES_SPEC, "events": sql.EVENTS_SPEC,
-    "documents": ([], "documents", {"text": sql.TEXT, "lang": sql.TEXT, "source": sql.TEXT}, "doc_id"),
+    "documents": ([], "documents", {"doc_id": sql.NUMBER, "text": sql.TEXT, "lang": sql.TEXT, "source": sql.TEXT, "n_chars": sql.NUMBER}, "doc_id"),
 }
 
 
@@ -458,7 +458,7 @@ _DETECTED = {
 def pii_detect(spark, folder):
     tables = {
         **_both(spark, folder), "events": views.read(spark, folder, "events"),
-        "documents": views.read(spark, folder, "documents").select("text", "lang", "source"),
+        "documents": views.read(spark, folder, "documents"),
     }
     return _stack([privacy.detect(df).select(F.lit(name).alias("jeu"), "*") for name, df in tables.items()])
 
@@ -596,11 +596,11 @@ def mean_by_class(spark, folder):
 
 
 @query("clean_impute", sql.over([sql.staff_sql()], """
-    SELECT cle, round(coalesce(salaire, (SELECT avg(salaire) FROM staff)), 2) AS salaire FROM staff"""))
+    SELECT * REPLACE (round(coalesce(salaire, (SELECT avg(salaire) FROM staff)), 2) AS salaire) FROM staff"""))
 def clean_impute(spark, folder):
-    staff = views.staff(spark, folder).select("cle", "salaire")
+    staff = views.staff(spark, folder)
     cleaned = cleaning.replay(staff, [cleaning.impute_mean(staff, "salaire")])
-    return cleaned.select("cle", F.round("salaire", 2).alias("salaire"))
+    return cleaned.withColumn("salaire", F.round("salaire", 2))
 
 
 @query("clean_dedupe", sql.over([sql.sales_sql()], "SELECT DISTINCT * FROM sales"))
@@ -612,9 +612,9 @@ _PARSED = """coalesce(strftime(try_strptime(date_vente, '%Y-%m-%d'), '%Y-%m-%d')
   strftime(try_strptime(date_vente, '%d/%m/%Y'), '%Y-%m-%d'), strftime(try_strptime(date_vente, '%d-%m-%Y'), '%Y-%m-%d'))"""
 
 
-@query("clean_dates", sql.over([sql.sales_sql()], f"SELECT ordre, {_PARSED} AS date_vente FROM sales"))
+@query("clean_dates", sql.over([sql.sales_sql()], f"SELECT * REPLACE ({_PARSED} AS date_vente) FROM sales"))
 def clean_dates(spark, folder):
-    sales = views.sales(spark, folder).select("ordre", "date_vente")
+    sales = views.sales(spark, folder)
     return cleaning.replay(sales, [cleaning.CleaningAction(0, cleaning.DATES, "date_vente")])
 
 
@@ -623,9 +623,9 @@ _KEPT_SPELLING = """c AS (SELECT service AS s, lower(trim(service)) AS f, count(
 
 
 @query("clean_modalities", sql.over([sql.staff_sql(), _KEPT_SPELLING], """
-    SELECT cle, gardee AS service FROM staff JOIN k ON lower(trim(service)) = f"""))
+    SELECT staff.* REPLACE (gardee AS service) FROM staff JOIN k ON lower(trim(service)) = f"""))
 def clean_modalities(spark, folder):
-    staff = views.staff(spark, folder).select("cle", "service")
+    staff = views.staff(spark, folder)
     return cleaning.replay(staff, [cleaning.regroup_spellings(staff, "service")])
 
 
@@ -633,17 +633,17 @@ _FENCES = """q AS (SELECT quantile_cont(salaire, 0.25) AS a, quantile_cont(salai
 
 
 @query("clean_outliers", sql.over([sql.staff_sql(), _FENCES], """
-    SELECT cle, salaire, coalesce(salaire < a - 1.5 * (b - a) OR salaire > b + 1.5 * (b - a), false) AS salaire_extreme
+    SELECT staff.*, coalesce(salaire < a - 1.5 * (b - a) OR salaire > b + 1.5 * (b - a), false) AS salaire_extreme
     FROM staff, q"""))
 def clean_outliers(spark, folder):
-    staff = views.staff(spark, folder).select("cle", "salaire")
+    staff = views.staff(spark, folder)
     return cleaning.replay(staff, [cleaning.handle_outliers(staff, "salaire")])
 
 
 @query("clean_flags", sql.over([sql.sales_sql(), sql.staff_sql()], """
-    SELECT ordre, cle, montant, montant < 0 AS montant_negatif, cle NOT IN (SELECT cle FROM staff) AS cle_orphelin FROM sales"""))
+    SELECT *, montant < 0 AS montant_negatif, cle NOT IN (SELECT cle FROM staff) AS cle_orphelin FROM sales"""))
 def clean_flags(spark, folder):
-    sales = views.sales(spark, folder).select("ordre", "cle", "montant")
+    sales = views.sales(spark, folder)
     return cleaning.replay(sales, [
         cleaning.CleaningAction(0, cleaning.NEGATIVES, "montant"),
         cleaning.flag_orphans(sales, "cle", views.staff(spark, folder), "cle", order_index=1),
@@ -651,7 +651,7 @@ def clean_flags(spark, folder):
 
 
 def _replayed_plan(spark: SparkSession, folder: str):
-    staff = views.staff(spark, folder).select("cle", "service", "salaire")
+    staff = views.staff(spark, folder)
     actions = [
         cleaning.regroup_spellings(staff, "service", order_index=2),
         cleaning.handle_outliers(staff, "salaire", order_index=0, drop=True),
@@ -664,17 +664,17 @@ def _replayed_plan(spark: SparkSession, folder: str):
 
 _REPLAYED = [
     sql.staff_sql(), _FENCES, _KEPT_SPELLING,
-    """e0 AS (SELECT cle, service, salaire FROM staff, q
+    """e0 AS (SELECT staff.* FROM staff, q
       WHERE NOT coalesce(salaire < a - 1.5 * (b - a) OR salaire > b + 1.5 * (b - a), false))""",
-    "e1 AS (SELECT cle, service, coalesce(salaire, (SELECT avg(salaire) FROM staff)) AS salaire FROM e0)",
-    "e2 AS (SELECT cle, gardee AS service, salaire FROM e1 JOIN k ON lower(trim(service)) = f)",
+    "e1 AS (SELECT * REPLACE (coalesce(salaire, (SELECT avg(salaire) FROM staff)) AS salaire) FROM e0)",
+    "e2 AS (SELECT e1.* REPLACE (gardee AS service) FROM e1 JOIN k ON lower(trim(service)) = f)",
 ]
 
 
-@query("clean_replay", sql.over(_REPLAYED, "SELECT DISTINCT cle, service, round(salaire, 2) AS salaire FROM e2"))
+@query("clean_replay", sql.over(_REPLAYED, "SELECT DISTINCT * REPLACE (round(salaire, 2) AS salaire) FROM e2"))
 def clean_replay(spark, folder):
     staff, actions = _replayed_plan(spark, folder)
-    return cleaning.replay(staff, actions).select("cle", "service", F.round("salaire", 2).alias("salaire"))
+    return cleaning.replay(staff, actions).withColumn("salaire", F.round("salaire", 2))
 
 
 def _sales_plan(spark: SparkSession, folder: str):
