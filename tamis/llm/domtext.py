@@ -24,7 +24,7 @@ TRAINING_PAGES = 2000
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript head title iframe object svg math canvas audio video select datalist".split())
+HIDDEN = frozenset("script style template noscript head title iframe canvas audio video select datalist".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table "
@@ -84,6 +84,7 @@ class _Tree(HTMLParser):
         self.pieces: list[tuple[int, str]] = []
         self.hidden = 0
         self.links = 0
+        self.tags: Counter[str] = Counter()  # of open elements
 
     def _start(self, tag: str, attributes) -> None:
         words, whole = [], set()
@@ -93,21 +94,27 @@ class _Tree(HTMLParser):
                 words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
         self.nodes.append(Node(tag, self.open[-1], tuple(words), frozenset(whole)))
         if tag in CONTENT_TAGS and not whole & FURNITURE:
-            for at in self.open:
+            for at in reversed(self.open):
+                if self.nodes[at].frames:  # and so all above
+                    break
                 self.nodes[at].frames = True
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
+            self.tags[tag] += 1
             self.hidden += tag in HIDDEN
             self.links += tag == "a"
 
     def _close_to(self, depth: int) -> None:
         for at in self.open[depth:]:
             tag = self.nodes[at].tag
+            self.tags[tag] -= 1
             self.hidden -= tag in HIDDEN
             self.links -= tag == "a"
         del self.open[depth:]
 
     def _nearest(self, tags: set[str], limits: set[str]) -> int | None:
+        if not any(self.tags[tag] for tag in tags):
+            return None
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.nodes[self.open[depth]].tag
             if tag in tags:
@@ -135,10 +142,11 @@ class _Tree(HTMLParser):
         self.handle_starttag(tag, attributes)  # HTML ignores the slash
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[depth]].tag == tag:
-                self._close_to(depth)
-                break
+        if self.tags[tag]:
+            depth = len(self.open) - 1
+            while self.nodes[self.open[depth]].tag != tag:
+                depth -= 1
+            self._close_to(depth)
         if tag in BLOCKS:
             self._border()
 
@@ -151,11 +159,9 @@ class _Tree(HTMLParser):
             return
         self.pieces.append((self.open[-1], data))
         length = len(data.strip())
-        if length:
-            for at in self.open:
-                self.nodes[at].text += length
-                if self.links:
-                    self.nodes[at].linked += length
+        if length:  # summed upwards when all is read
+            self.nodes[self.open[-1]].text += length
+            self.nodes[self.open[-1]].linked += length if self.links else 0
 
 
 def _says(node: Node) -> str:
@@ -171,6 +177,9 @@ def parsed(html: str | None) -> _Tree:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    for node in reversed(tree.nodes[1:]):  # children stand after their parents
+        tree.nodes[node.parent].text += node.text
+        tree.nodes[node.parent].linked += node.linked
     for node in tree.nodes:
         share = node.linked / node.text if node.text else 0.0
         node.within = tree.nodes[node.parent].within if node.parent >= 0 else ""

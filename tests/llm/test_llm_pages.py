@@ -102,3 +102,29 @@ def test_directories_of_any_package():
             assert method == 0 and data[start : start + length] == b"%d" % k
     with pytest.raises(ValueError):
         archives.members(lambda o, n: b"x" * n, 100)
+
+
+def test_deep_pages_are_read_in_linear_time():
+    import time
+
+    model = domtext.model_from({}, {})
+    for piece in ("<b>x ", "<b><p>x ", "<i>x</u> ", "<article>x ", "<li>x ", "<span>x</div><li> "):
+        spent = []
+        for n in (4_000, 32_000):
+            started = time.perf_counter()
+            text = domtext.main_text("<article>" + piece * n, model)
+            spent.append(time.perf_counter() - started)
+            assert text.split() == ["x"] * n
+        assert spent[1] < 30 * spent[0] + 0.5, (piece, spent)  # the square would be 64 times
+
+
+def test_text_of_formulas_drawings_and_objects_is_kept():
+    model = domtext.model_from({}, {})
+    html = "<article><p>Let <math>x=2</math> hold, see <svg><text>figure</text></svg> or <object>its text</object>.</p><script>no</script></article>"
+    assert domtext.main_text(html, model) == "Let x=2 hold, see figure or its text."
+
+
+def test_lengths_are_summed_over_all_that_an_element_holds():
+    tree = domtext.parsed("<div>abc<p>de <a>fgh<b>i</b></a></p></div><p>jk</p>")
+    told = {node.tag: (node.text, node.linked) for node in tree.nodes[:-1]}
+    assert told == {"#page": (11, 4), "div": (9, 4), "p": (6, 4), "a": (4, 4), "b": (1, 1)} and tree.nodes[-1].text == 2
