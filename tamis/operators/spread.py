@@ -25,8 +25,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small file is a single split, so a single task would do all the work.
     """
-    if not is_small(df):
-        return df
+    return _dealt(df) if is_small(df) else df
+
+
+def _dealt(df: DataFrame) -> DataFrame:
     # In turn, so that equal rows do not meet; Spark orders rows first, so a task run again deals them alike.
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
@@ -37,7 +39,7 @@ def held(df: DataFrame) -> Iterator[DataFrame]:
     if not is_small(df):
         yield df
         return
-    cached = spread(df).persist()
+    cached = _dealt(df).persist()
     cached.count()  # filled once, before concurrent passes ask for it
     try:
         yield cached
