@@ -164,6 +164,7 @@ def refresh(spark: SparkSession, store: Store, file_id: str) -> dict:
     The state of the profile is kept with each refresh, in the store's folder ``etats``, and the next one reads the files that came
     since and adds them. Everything is read again if there is no state yet, if a file was changed or taken away, or if the new
     files turn a column of numbers into one of text or the reverse. ``fichiers_lus`` tells how many files were read.
+    The state holds values of the table, as the table itself does: keep the store where the table may be kept.
     """
     row = registry.find(registry.versions(spark, store.registry, file_id), file_id)
     path, kept = row["path"], registry.state_of(spark, store.registry, file_id)
