@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 #: Hexadecimal digits of the key that name a key range: 16 ** 3 ranges of each source, so one holds 1 / 4096 of its rows.
 RANGE_DIGITS = 3
+#: Equal rows that one row is written out to in one go.
+AT_ONCE = 1 << 14
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -84,20 +86,37 @@ def mix(
         .withColumnRenamed("source", "of").join(targets(by_source, weights, epochs), F.col("of").eqNullSafe(F.col("source")))
         .select("of", F.col("range").alias("of_range"), "offset", "source_size", "target")
     )
-    # A range is at most 1 / 4096 of a source: no window is hot, however large a source is.
+    # Equal rows are interchangeable, so they are placed as one row with their number: a range holds at most 1 / 4096 of the keys
+    # of a source, and rows that share a key (no id, or the same one) are no more than their ids and sizes.
+    alike = sized.groupBy("source", "range", "key", "doc_id", "size").agg(F.count("*").alias("rows"))
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size")
-    placed = sized.withColumn("inside", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    words = F.col("size") * F.col("rows")
+    placed = alike.withColumn("inside", F.sum(words).over(within.rowsBetween(Window.unboundedPreceding, 0)) - words)
     start = F.col("offset") + F.col("inside")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target")).cast("long")).otherwise(F.lit(0).cast("long"))
     rounds = F.when(F.col("source_size") > 0, F.expr("whole div source_size")).otherwise(F.lit(0).cast("long"))
     rest = F.col("whole") - F.col("rounds") * F.col("source_size")
-    return (
+    cut = written(
         placed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range")))
         .withColumn("whole", whole).withColumn("rounds", rounds)
-        .withColumn("rest", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - start)))
+        .select("doc_id", "size", "source", "source_size", "target", "rows", "rounds", (rest - start).alias("left")), "mix-cut",
+    )
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("left") - F.col("at") * F.col("size")))
+    return (
+        _row_by_row(cut).withColumn("part", part)
         .select(
             "doc_id", "size", "source", "source_size", "target",
-            (F.col("rounds") * F.col("size") + F.col("rest")).alias("taken"),
-            "rounds", F.col("rest").alias("part"),
+            (F.col("rounds") * F.col("size") + F.col("part")).alias("taken"),
+            "rounds", "part",
         )
     )
+
+
+def _row_by_row(cut: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """Every one of ``rows`` equal rows again, numbered by ``at`` from 0; more than ``at_once`` are dealt out to the tasks first."""
+    few = cut.where(F.col("rows") <= at_once).withColumn("first", F.lit(0).cast("long"))
+    many = cut.where(F.col("rows") > at_once).withColumn(
+        "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(at_once).cast("long")))
+    ).repartition("doc_id", "size", "first")
+    last = F.least(F.col("rows"), F.col("first") + at_once) - 1
+    return few.unionByName(many).withColumn("at", F.explode(F.sequence(F.col("first"), last)))

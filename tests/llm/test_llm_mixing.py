@@ -62,3 +62,26 @@ def test_taken_words_are_the_whole_part_of_the_target(docs):
 def test_empty_table(docs):
     assert mixing.mix(docs([])).count() == 0
     assert [r["taken"] for r in mixing.mix(docs([(1, None, None, None)])).collect()] == [0]
+
+
+def test_rows_that_share_an_id_are_placed_as_one(docs, monkeypatch):
+    rng = random.Random(2)
+    rows = [(None if k % 3 else k // 30, " ".join("w" for _ in range(rng.choice([0, 1, 1, 7]))), None, rng.choice("ab")) for k in range(2_000)]
+    rows += [(None, "lone word", None, None)] * 40
+    got = mixing.mix(docs(rows))
+    assert got.count() == len(rows)
+    # Which of equal rows is cut is open, so the rows of a key are compared by what they give together and each at most.
+    def together(result):
+        out = {}
+        for i, n, size, target, taken in result:
+            out.setdefault((str(i), n, size, target), []).append(taken)
+        return {k: sorted(v) for k, v in out.items()}
+
+    assert together(result(got)) == together(brute(rows))
+    assert all(r["taken"] <= 3 * r["size"] for r in got.collect())
+
+
+def test_many_equal_rows_are_dealt_out(spark):
+    cut = spark.createDataFrame([(1, 3, 10), (None, 2, 1), (2, 5, 4), (3, 1, 9)], "doc_id long, size long, rows long")
+    got = [(r["doc_id"], r["at"]) for r in mixing._row_by_row(cut, at_once=4).collect()]
+    assert sorted(got, key=str) == sorted([(i, at) for i, _, n in [(1, 3, 10), (None, 2, 1), (2, 5, 4), (3, 1, 9)] for at in range(n)], key=str)
