@@ -1,8 +1,9 @@
 """Main text of web pages by a graphical model on the DOM tree.
 
-Every block is content or not. A node's features (tag, class words, share of link text, length) give it a potential, every
-parent-child edge another, and sum-product message passing, up from the leaves and down from the root, gives each node's
-exact marginal. Both potentials are counts from pages whose markup says which part is the article.
+Every block is content or not. A node's features (tag, classes and their words, classes of the element around it, share of
+link text, sentences, siblings of its kind) give it a potential, every parent-child edge another, and sum-product message
+passing, up from the leaves and down from the root, gives each node's exact marginal. Both potentials are learnt from pages
+whose tags alone say which part is the article; words that name page furniture are prior odds, to which what is learnt adds.
 """
 
 from __future__ import annotations
@@ -50,13 +51,22 @@ FURNITURE = frozenset(
 CONTENT = frozenset("article content entry main post story".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form button input textarea label dialog menu fieldset legend".split())
 CONTENT_TAGS = frozenset("article main".split())
-#: Weight of a word's prior, in nodes.
-PRIOR = 20.0
-#: Most that one feature says, as a log ratio: telling words and tags, other class words, anything else. Pages in training
-#: may lack whole kinds of furniture; without these bounds a tag seen in articles only would outweigh a telling word.
-TELLING, WORDS, PLAIN = 7.0, 3.0, 1.5
-#: Bounds of the probability that a child's label differs from its parent's, where the parent is furniture or content.
-CHANGE = ((0.001, 0.005), (0.02, 0.1))
+#: Furniture words that also name content when they are part of a longer class name ("contact-lens", "story-share-wrap"): such
+#: a name tells only of an element without a sentence, or with links for a quarter of its text.
+AMBIGUOUS = frozenset("contact form reader search share skip social tracking".split())
+#: Prior log odds of telling tags and words, of what stands inside furniture (more than the looks of all its paragraphs can
+#: say: comments are prose), of ambiguous words, and of a few other features.
+TELLING, INSIDE, HINT = 7.0, 12.0, 1.5
+PLAIN_PRIORS = {"tag:p": 0.5, "links:0": 0.25, "links:3": -1.0, "prose:more": 1.0, "prose:one": 0.5}
+#: Smoothing of learnt odds: of features that name a place in a template, as a share of the training pages (a place occurs
+#: about once a page); of those that every page has, as a share of the training nodes.
+PLACE, COMMON = 0.02, 0.15
+#: Nodes in which a feature must be seen to be believed half.
+BELIEF = 20.0
+#: Prior counts of edges: child furniture or content, under furniture and under content.
+EDGES = ((1000.0, 3.0), (20.0, 400.0))
+#: The end of a sentence.
+STOP = re.compile(r"[.!?\u3002\uFF01\uFF1F](?=\s|$)")
 #: Tags that frame a page and say nothing about their text.
 FRAME = frozenset(("#page", "html", "body"))
 
@@ -65,15 +75,22 @@ FRAME = frozenset(("#page", "html", "body"))
 class Node:
     tag: str
     parent: int
-    words: tuple[str, ...] = ()
+    words: frozenset[str] = frozenset()
     whole: frozenset[str] = frozenset()
+    telling: bool = False
     frames: bool = False
+    own: int = 0
+    stops: int = 0
+    sentences: int = 0
     text: int = 0
     linked: int = 0
     within: str = ""
     features: list[str] = field(default_factory=list)
 
 
+_WORDS, _HUMP = re.compile("[a-z]+"), re.compile("([a-z])([A-Z])")
+
+
 class _Tree(HTMLParser):
     """Nodes in document order, and the pieces of text between block borders with the node that each belongs to."""
 
@@ -87,12 +104,16 @@ class _Tree(HTMLParser):
         self.tags: Counter[str] = Counter()  # of open elements
 
     def _start(self, tag: str, attributes) -> None:
-        words, whole = [], set()
+        words, whole, telling = set(), set(), False
         for name, value in attributes:
             if value and name in ("class", "id", "role"):
-                whole |= set(value.lower().split())
-                words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        self.nodes.append(Node(tag, self.open[-1], tuple(words), frozenset(whole)))
+                for one in value.split():
+                    parts = set(_WORDS.findall(_HUMP.sub(r"\1 \2", one).lower()))
+                    words |= parts
+                    whole.add(one.lower())
+                    found = parts & FURNITURE
+                    telling = telling or bool(found) and (bool(found - AMBIGUOUS) or found == parts)
+        self.nodes.append(Node(tag, self.open[-1], frozenset(words), frozenset(whole), telling))
         if tag in CONTENT_TAGS and not whole & FURNITURE:
             for at in reversed(self.open):
                 if self.nodes[at].frames:  # and so all above
@@ -160,59 +181,116 @@ class _Tree(HTMLParser):
         self.pieces.append((self.open[-1], data))
         length = len(data.strip())
         if length:  # summed upwards when all is read
-            self.nodes[self.open[-1]].text += length
-            self.nodes[self.open[-1]].linked += length if self.links else 0
+            node = self.nodes[self.open[-1]]
+            node.text += length
+            node.linked += length if self.links else 0
+            node.own += length
+            node.stops += len(STOP.findall(data))
 
 
 def _says(node: Node) -> str:
     """What a node's own tag and words tell: furniture, content or nothing. What frames an article is not furniture."""
     if node.tag in CONTENT_TAGS:
         return "furniture" if node.whole & FURNITURE else "content"
-    if node.tag in FURNITURE_TAGS or FURNITURE & set(node.words):
+    if node.tag in FURNITURE_TAGS or node.telling:
         return "" if node.frames else "furniture"
-    return "content" if CONTENT & set(node.words) else ""
+    return "content" if CONTENT & node.words and not AMBIGUOUS & node.words else ""
+
+
+def _prose(node: Node) -> list[str]:
+    """What a node's own text looks like, by its sentences and length."""
+    return [f"prose:{('line' if node.own > 24 else 'short', 'one', 'more')[min(2, node.stops)]}"] if node.own else []
 
 
 def parsed(html: str | None) -> _Tree:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    for node in reversed(tree.nodes[1:]):  # children stand after their parents
-        tree.nodes[node.parent].text += node.text
-        tree.nodes[node.parent].linked += node.linked
-    for node in tree.nodes:
+    nodes = tree.nodes
+    for node in reversed(nodes[1:]):  # children stand after their parents
+        nodes[node.parent].text += node.text
+        nodes[node.parent].linked += node.linked
+        node.sentences += node.stops
+        nodes[node.parent].sentences += node.sentences
+    kin = Counter((node.parent, node.tag) for node in nodes)
+    around: list[frozenset[str]] = []
+    for at, node in enumerate(nodes):
         share = node.linked / node.text if node.text else 0.0
-        node.within = tree.nodes[node.parent].within if node.parent >= 0 else ""
-        if node.tag not in FRAME:
-            node.within = _says(node) or node.within
-        node.features = [] if node.tag in FRAME else [
-            f"tag:{node.tag}", f"links:{min(3, int(share * 4))}",
-            *(f"word:{word}" for word in set(node.words)), *([f"within:{node.within}"] if node.within else []),
+        if AMBIGUOUS & node.words and not CONTENT_TAGS & {node.tag}:
+            node.telling = node.telling or not node.sentences or share >= 0.25
+        node.within = nodes[node.parent].within if at else ""
+        around.append(nodes[node.parent].whole or around[node.parent] if at else frozenset())
+        if node.tag in FRAME:
+            node.features = _prose(node)
+            continue
+        node.within = _says(node) or node.within
+        node.features = [f"tag:{node.tag}", f"links:{min(3, int(share * 4))}", f"kin:{node.tag}:{min(3, kin[node.parent, node.tag].bit_length())}"]
+        node.features += _prose(node)
+        # A word of the lexicon says what it says at full weight where it is telling; beside a content word an ambiguous one says nothing.
+        mixed = CONTENT & node.words and AMBIGUOUS & node.words and not node.telling
+        node.features += [
+            f"hint:{word}" if word in AMBIGUOUS and not node.telling else f"word:{word}"
+            for word in node.words if not (mixed and (word in CONTENT or word in AMBIGUOUS))
         ]
+        node.features += [f"class:{one}" for one in node.whole] + [f"under:{one}" for one in around[at]]
+        if node.within:
+            node.features.append(f"within:{node.within}")
     return tree
 
 
-def marked_content(tree: _Tree) -> list[int] | None:
-    """The labels that markup gives: inside article or main, and not inside furniture there; None without such markup."""
-    labels, any_content = [], False
-    for node in tree.nodes:
-        above = labels[node.parent] if node.parent >= 0 else 0
-        says = _says(node) if node.tag not in FRAME else ""
-        if node.tag in CONTENT_TAGS and says == "content":
+def marked_content(tree: _Tree) -> list[int | None] | None:
+    """The labels that tags give: content inside article or main and outside furniture tags there; None without such tags.
+
+    Tags do not say what elements with a telling class inside an article are: they have no label.
+    """
+    labels: list[int | None] = []
+    any_content = False
+    for at, node in enumerate(tree.nodes):
+        label = labels[node.parent] if at else 0
+        if node.tag in CONTENT_TAGS and not node.telling:
             label, any_content = 1, True
-        else:
-            label = 0 if says == "furniture" else above
+        elif node.tag in FURNITURE_TAGS and not node.frames:
+            label = 0
+        elif label == 1 and node.telling and not node.frames:
+            label = None
         labels.append(label)
     return labels if any_content else None
 
 
+def counted(trees) -> Counter:
+    """Counts (name, label) over labelled nodes: of features, of nodes (``nodes``), of pages (``pages``, 1), of edges (``edge:`` and the parent's label)."""
+    counts: Counter = Counter()
+    for tree in trees:
+        labels = marked_content(tree)
+        if labels is None:
+            continue
+        counts["pages", 1] += 1
+        for node, label in zip(tree.nodes, labels):
+            if label is None or node.tag in FRAME or node.frames:
+                continue
+            counts["nodes", label] += 1
+            for feature in node.features:
+                if not feature.startswith("within:"):  # the lexicon's own word
+                    counts[feature, label] += 1
+            above = tree.nodes[node.parent]
+            if labels[node.parent] is not None and above.tag not in FRAME and not above.frames:
+                counts[f"edge:{labels[node.parent]}", label] += 1
+    return counts
+
+
+_NEUTRAL = ((0.0, 0.0), (0.0, 0.0))
+
+
 @dataclass
 class Model:
-    """Log potentials: of features by label, of a child's label by its parent's."""
+    """Log potentials: of features by label, of a child's label by its parent's; what frames a page says nothing of its children."""
 
     features: dict[str, tuple[float, float]]
     edges: tuple[tuple[float, float], tuple[float, float]]
 
+    def edge(self, parent: Node) -> tuple[tuple[float, float], tuple[float, float]]:
+        return _NEUTRAL if parent.tag in FRAME else self.edges
+
     def potential(self, node: Node) -> tuple[float, float]:
         no = yes = 0.0
         for feature in node.features:
@@ -222,37 +300,35 @@ class Model:
         return no, yes
 
 
-def model_from(counts: dict[tuple[str, int], float], edges: dict[tuple[int, int], float]) -> Model:
-    """Potentials from counts of (feature, label) and (parent's label, child's label), with the lexicon as prior counts."""
-    counts = Counter(counts)
-    for word in FURNITURE:
-        counts[f"word:{word}", 0] += PRIOR
-    for word in CONTENT:
-        counts[f"word:{word}", 1] += PRIOR
-    for tag in FURNITURE_TAGS:
-        counts[f"tag:{tag}", 0] += PRIOR
-    for tag in CONTENT_TAGS:
-        counts[f"tag:{tag}", 1] += PRIOR
-    counts["within:furniture", 0] += PRIOR
-    counts["within:content", 1] += PRIOR
-    for feature, label, weight in (("links:0", 1, 1.0), ("links:3", 0, 2.0), ("tag:p", 1, 2.0)):
-        counts[feature, label] += weight
-    totals = [sum(v for (_, label), v in counts.items() if label == k) + 1.0 for k in (0, 1)]
-    features = {}
+def _priors() -> dict[str, float]:
+    """Prior log odds of content."""
+    return {
+        **{f"word:{word}": -TELLING for word in FURNITURE}, **{f"word:{word}": TELLING for word in CONTENT},
+        **{f"tag:{tag}": -TELLING for tag in FURNITURE_TAGS}, **{f"tag:{tag}": TELLING for tag in CONTENT_TAGS},
+        **{f"hint:{word}": -HINT for word in AMBIGUOUS}, "within:furniture": -INSIDE, "within:content": TELLING, **PLAIN_PRIORS,
+    }
+
+
+def model_from(counts: dict[tuple[str, int], float]) -> Model:
+    """Potentials from counts as ``counted`` gives them: learnt log odds, by how often a feature was seen, added to the prior's."""
+    total = [counts.get(("nodes", label), 0.0) for label in (0, 1)]
+    odds = _priors()
     for name in {name for name, _ in counts}:
-        ratio = math.log((counts[name, 1] + 0.1) / totals[1]) - math.log((counts[name, 0] + 0.1) / totals[0])
-        kind, _, value = name.partition(":")
-        telling = kind == "within" or value in (FURNITURE if kind == "word" else FURNITURE_TAGS | CONTENT_TAGS)
-        most = TELLING if telling else WORDS if kind == "word" else PLAIN
-        ratio = max(-most, min(most, ratio))
-        features[name] = (-ratio / 2, ratio / 2)
+        kind = name.partition(":")[0]
+        if kind in ("pages", "nodes", "edge"):
+            continue
+        seen = [counts.get((name, label), 0.0) for label in (0, 1)]
+        place = kind in ("word", "hint", "class", "under")
+        rate = []
+        for n, nodes in zip(seen, total):
+            more = 0.5 + (PLACE * counts.get(("pages", 1), 0.0) if place else COMMON * nodes)
+            rate.append((n + more) / (nodes + 2 * more))
+        odds[name] = odds.get(name, 0.0) + math.log(rate[1] / rate[0]) * sum(seen) / (sum(seen) + BELIEF)
     table = []
     for above in (0, 1):
-        row = [edges.get((above, below), 0) + (5.0 if above == below else 0.5) for below in (0, 1)]
-        low, high = CHANGE[above]
-        change = max(low, min(high, row[1 - above] / sum(row)))
-        table.append(tuple(math.log(change if below != above else 1 - change) for below in (0, 1)))
-    return Model(features, tuple(table))
+        row = [counts.get((f"edge:{above}", below), 0.0) + EDGES[above][below] for below in (0, 1)]
+        table.append(tuple(math.log(n / sum(row)) for n in row))
+    return Model({name: (-w / 2, w / 2) for name, w in odds.items()}, tuple(table))
 
 
 def marginals(tree: _Tree, model: Model) -> list[float]:
@@ -265,9 +341,9 @@ def marginals(tree: _Tree, model: Model) -> list[float]:
         top = a if a > b else b
         return top + math.log(math.exp(a - top) + math.exp(b - top))
 
-    edge = model.edges
     for at in range(len(nodes) - 1, 0, -1):
         no, yes = up[at]
+        edge = model.edge(nodes[nodes[at].parent])
         sent = plus(edge[0][0] + no, edge[0][1] + yes), plus(edge[1][0] + no, edge[1][1] + yes)
         message[at] = sent
         above = up[nodes[at].parent]
@@ -278,7 +354,7 @@ def marginals(tree: _Tree, model: Model) -> list[float]:
     out = [0.0] * len(nodes)
     for at, node in enumerate(nodes):
         if at:
-            above, sent = belief[node.parent], message[at]
+            above, sent, edge = belief[node.parent], message[at], model.edge(nodes[node.parent])
             no, yes = above[0] - sent[0], above[1] - sent[1]  # the parent without what this node told it
             down = plus(edge[0][0] + no, edge[1][0] + yes), plus(edge[0][1] + no, edge[1][1] + yes)
             belief[at] = up[at][0] + down[0], up[at][1] + down[1]
@@ -305,26 +381,14 @@ def train(pages: DataFrame, html_column: str = "html", id_column: str = "page_id
 
     def run(batches):
         for batch in batches:
-            counts: Counter = Counter()
-            for html in batch.column("html").to_pylist():
-                tree = parsed(html)
-                labels = marked_content(tree)
-                if labels is None:
-                    continue
-                for node, label in zip(tree.nodes, labels):
-                    for feature in node.features:
-                        counts[feature, label] += 1
-                    if node.parent >= 0:
-                        counts[f"edge:{labels[node.parent]}", label] += 1
+            counts = counted(map(parsed, batch.column("html").to_pylist()))
             yield pa.RecordBatch.from_pylist(
                 [{"feature": f, "label": k, "n": n} for (f, k), n in counts.items()],
                 pa.schema({"feature": pa.string(), "label": pa.int32(), "n": pa.int64()}),
             )
 
     rows = sample.select("html").mapInArrow(run, "feature string, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
-    counts = {(r["feature"], r["label"]): float(r["n"]) for r in rows if not r["feature"].startswith("edge:")}
-    edges = {(int(r["feature"][5:]), r["label"]): float(r["n"]) for r in rows if r["feature"].startswith("edge:")}
-    return model_from(counts, edges)
+    return model_from({(r["feature"], r["label"]): float(r["n"]) for r in rows})
 
 
 def extract(pages: DataFrame, model: Model | None = None, limit: int = TRAINING_PAGES) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import html as entities
 import io
+import random
 import re
 import zipfile
 
@@ -22,17 +23,59 @@ def test_main_text_equals_the_article_of_every_page(spark):
     assert got == {k: article(v) for k, v in pages.items()}
 
 
+@pytest.fixture(scope="module")
+def learnt(spark):
+    return domtext.train(read(spark, SF, "pages"))
+
+
 @pytest.mark.parametrize("page, text", [
     ("<body><header>Site</header><main><h1>T</h1><p>a <b>b</b>c &amp; d<div class='ad'>buy</div><p>e<br>f<form>x</form>"
      "<section id=comments><p>great</p><p>post</p><p>really</p></section></main><aside>s</aside><footer>f</footer>", "T a bc & d e f"),
     ("<div class='page with-header'><article class='post has-comments'><p>Good text</p><div class=related><p>a<p>b<p>c</div></article>"
      "<div id=comments><article class=comment><p>c1</p></article></div></div>", "Good text"),
     ("<script>var t='<p>no</p>';</script><style>p{}</style><article><p>y&eacute;s</p><!-- no --><p>  more\n text ", "yés more text"),
+    ("<article><p>One two. Three four.</p><p class='contact-lens'>Five six. Seven eight.</p></article>", "One two. Three four. Five six. Seven eight."),
+    ("<body><div class='story-share-wrap'><p>One two. Three four.</p></div></body>", "One two. Three four."),
+    ("<article><p>Good text.</p></article><div id='comments'>" + "<p>They say this. And that too.</p>" * 40 + "</div>", "Good text."),
+    ("<article><p>Good text.</p><div class='share-buttons'><a href=x>one</a> <a href=y>two</a></div></article>", "Good text."),
     ("<nav><p>menu</p></nav>", ""), ("", ""), (None, ""), ("<article></article>", ""), ("<article>x<<y & z</article", None),
 ])
-def test_main_text_of_odd_pages(page, text):
-    got = domtext.main_text(page, domtext.model_from({}, {}))
-    assert text is None or got == text
+def test_main_text_of_odd_pages(learnt, page, text):
+    for model in (domtext.model_from({}), learnt):
+        assert text is None or domtext.main_text(page, model) == text
+
+
+def templated(rng, tag):
+    """A page of a site whose classes are codes, with its main text; ``tag`` is the element that holds it."""
+    words = "time year way day thing world school group country problem hand part place week company point night".split()
+
+    def prose(n):
+        return " ".join(" ".join(rng.choice(words) for _ in range(rng.randint(6, 16))).capitalize() + "." for _ in range(n))
+
+    title, body = prose(1), [prose(rng.randint(2, 5)) for _ in range(rng.randint(2, 6))]
+    menu = " ".join(f"<a href='/{k}'>{rng.choice(words)}</a>" for k in range(6))
+    return (
+        f"<body><div class='z2'>{menu}</div><div class='z3'><p>{prose(1)}</p></div>"
+        f"<{tag} class='z4'><h1>{title}</h1>" + "".join(f"<p class='z1'>{p}</p>" for p in body) + f"</{tag}>"
+        f"<div class='z7'><p>{prose(3)}</p><p>{prose(3)}</p></div>" + f"<div class='z5'><div class='z6'><p>{prose(1)}</p></div></div></body>"
+    ), " ".join([title, *body])
+
+
+def test_training_finds_the_text_where_neither_tags_nor_words_tell(spark):
+    """Fitted on pages with an article tag, held out on pages without one: what is learnt decides, not the lexicon."""
+    rng = random.Random(5)
+    pages = [(k, "u", templated(rng, "article")[0]) for k in range(300)]
+    model = domtext.train(table(spark, pages))
+    held = [templated(rng, "div") for _ in range(100)]
+    assert sum(domtext.main_text(page, model) == text for page, text in held) >= 95
+    assert sum(domtext.main_text(page, domtext.model_from({})) == text for page, text in held) == 0
+
+
+def test_labels_of_pages_come_from_tags_alone():
+    tree = domtext.parsed("<div class=post><p>a</p></div><article><p>b</p><div class=ad>c</div><p class='sidebar-x'>d</p><footer>e</footer></article>")
+    labels = {(node.tag, *node.whole): label for node, label in zip(tree.nodes, domtext.marked_content(tree))}
+    assert labels["div", "post"] == 0 and labels["article",] == 1 and labels["footer",] == 0
+    assert labels["div", "ad"] is None and labels["p", "sidebar-x"] is None  # not told by a tag, so not learnt from
 
 
 def test_marginals_equal_enumeration():
@@ -40,12 +83,14 @@ def test_marginals_equal_enumeration():
     import math
 
     tree = domtext.parsed("<article><p>abc</p><div class=ad><a href=x>d</a></div></article>")
-    model = domtext.model_from({("tag:p", 1): 5, ("tag:a", 0): 3}, {(1, 1): 9, (0, 0): 4, (1, 0): 1})
+    model = domtext.model_from({
+        ("tag:p", 1): 5, ("tag:a", 0): 3, ("nodes", 0): 10, ("nodes", 1): 10, ("edge:1", 1): 9, ("edge:0", 0): 4, ("edge:1", 0): 1,
+    })
     weights = [0.0] * len(tree.nodes)
     total = 0.0
     for labels in itertools.product((0, 1), repeat=len(tree.nodes)):
         score = sum(model.potential(n)[k] for n, k in zip(tree.nodes, labels))
-        score += sum(model.edges[labels[n.parent]][k] for n, k in zip(tree.nodes, labels) if n.parent >= 0)
+        score += sum(model.edge(tree.nodes[n.parent])[labels[n.parent]][k] for n, k in zip(tree.nodes, labels) if n.parent >= 0)
         total += math.exp(score)
         for at, k in enumerate(labels):
             weights[at] += k * math.exp(score)
@@ -107,7 +152,7 @@ def test_directories_of_any_package():
 def test_deep_pages_are_read_in_linear_time():
     import time
 
-    model = domtext.model_from({}, {})
+    model = domtext.model_from({})
     for piece in ("<b>x ", "<b><p>x ", "<i>x</u> ", "<article>x ", "<li>x ", "<span>x</div><li> "):
         spent = []
         for n in (4_000, 32_000):
@@ -119,7 +164,7 @@ def test_deep_pages_are_read_in_linear_time():
 
 
 def test_text_of_formulas_drawings_and_objects_is_kept():
-    model = domtext.model_from({}, {})
+    model = domtext.model_from({})
     html = "<article><p>Let <math>x=2</math> hold, see <svg><text>figure</text></svg> or <object>its text</object>.</p><script>no</script></article>"
     assert domtext.main_text(html, model) == "Let x=2 hold, see figure or its text."
 
