@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 from tamis.llm.centroids import CLUSTERS, DIMENSIONS, ROUNDS, SCALE, SEED
-from tamis.llm.licenses import TEMPLATES
+from tamis.llm.licenses import MARKS, TEMPLATES
 
 _LITERALS = ", ".join(f"({at}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for at, (name, text) in enumerate(TEMPLATES))
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x20\x09-\x0D]+')"
+
+
+def _words(text: str) -> str:
+    """Words without punctuation at their edges."""
+    marks = MARKS.replace("'", "''")
+    bare = f"trim({_ASCII_LOWER.format(text)}, '{marks}' || chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    between = r"[!-/:-@\[-`{-~]*[\x20\x09-\x0D][\x09-\x0D\x20-/:-@\[-`{-~]*"
+    return f"CASE WHEN {bare} = '' THEN [] ELSE regexp_split_to_array({bare}, '{between}') END"
+
 
 LICENSES = rf"""
 WITH templates(template, license, body) AS (VALUES {_LITERALS}),
-t_words AS (SELECT template, license, {_WORDS.format("body")} AS w FROM templates),
+t_words AS (SELECT template, license, {_words("body")} AS w FROM templates),
 t_shingles AS (
   SELECT DISTINCT template, license, array_to_string(w[i:i + 4], ' ') AS s
   FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM t_words)
 ),
 t_sizes AS (SELECT template, count(*) AS n FROM t_shingles GROUP BY 1),
-d_words AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+d_words AS (SELECT doc_id, row_number() OVER () AS r, {_words("coalesce(text, '')")} AS w FROM documents),
 d_shingles AS (
   SELECT r, i - 1 AS place, array_to_string(w[i:i + 4], ' ') AS s
   FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d_words WHERE len(w) >= 5)

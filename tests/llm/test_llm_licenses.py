@@ -1,4 +1,5 @@
 import random
+import string
 
 import pytest
 
@@ -9,7 +10,7 @@ def shingles(text):
     text = "".join(c.lower() if c.isascii() else c for c in text or "")
     for c in "\t\n\x0b\f\r":
         text = text.replace(c, " ")
-    words = [w for w in text.split(" ") if w]
+    words = [w for w in (w.strip(string.punctuation) for w in text.split(" ")) if w]
     return [" ".join(words[k : k + 5]) for k in range(len(words) - 4)]
 
 
@@ -47,8 +48,18 @@ def test_notices_inside_sentences_and_further_licenses(docs):
         "Licensed under the Apache License, Version 2.0 and others": "Apache-2.0", "Licensed under the Apache License, Version 2.0, as is": "Apache-2.0",
         "Licensed under CC BY-NC 4.0, by us": "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0 by us": "CC-BY-NC-4.0",
         lesser.format("Lesser"): "LGPL", lesser.format("Affero"): "AGPL-3.0", lesser.replace("{} ", ""): "",
+        lesser.format("Lesser") + " version 3 of the License": "LGPL", lesser.format("Affero") + " version 3 of the License": "AGPL-3.0",
+        lesser.replace("{} ", "") + " version 2 of the License": "GPL-2.0", lesser.replace("{} ", "") + " version 3 of the License": "GPL-3.0",
         "This is free and unencumbered software released into the public domain. Anyone is free": "Unlicense",
     }
+    rows |= {f"Released under the MIT License{mark}": "MIT" for mark in (";", ")", ":", "!!", " -- see above", '"')}
+    rows |= {
+        "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in\n"
+        " * compliance with the License.\n */": "Apache-2.0",
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as\n"
+        "# published by the Free Software Foundation, either version 3 of\n# the License, or (at your option) any later version.": "GPL-3.0",
+        "." * 300_000 + " (Licensed under CC BY-NC 4.0) " + "!? " * 100_000: "CC-BY-NC-4.0", " ... !? ": "",
+    }
     rows |= {f"so {text} and more": name for name, text in licenses.TEMPLATES if name in ("ISC", "EPL-2.0", "Zlib")}
     got = {r["doc_id"]: list(r["licenses"]) for r in licenses.scan(docs(list(enumerate(rows)))).collect()}
     assert got == {at: [name] if name else [] for at, name in enumerate(rows.values())}
