@@ -797,6 +797,14 @@ def csv_ragged(spark, folder):
 _READ_TEXT = "CASE WHEN text NOT IN (" + sql.quoted_list(fixed.MISSING_TOKENS) + ") THEN text END AS text"
 
 
+# Splits of these files: so many, none smaller and none larger than this. Every split sends its tasks' results to the driver.
+_SPLITS, _LEAST_SPLIT, _MOST_SPLIT = 64, 64 * 1024, 32 * 1024**2
+
+
+def _split_bytes(total: int, usual: int) -> int:
+    return min(usual, _MOST_SPLIT, max(_LEAST_SPLIT, total // _SPLITS))
+
+
 @query("csv_quoted_split", f"SELECT doc_id, {_READ_TEXT}, lang, source, n_chars FROM documents")
 def csv_quoted_split(spark, folder):
     """Texts with quotes and line ends, in files of many splits: read in as many tasks as there are splits."""
@@ -804,7 +812,8 @@ def csv_quoted_split(spark, folder):
     path = sinks.write_table(documents.coalesce(2), f"{_new_folder(spark, 'cites')}/table.csv")
     setting = "spark.sql.files.maxPartitionBytes"
     usual = spark.conf.get(setting)
-    spark.conf.set(setting, str(64 * 1024))
+    total = loader.list_files(spark, path).agg(F.sum("length")).head()[0] or 0
+    spark.conf.set(setting, str(_split_bytes(total, loader.size_in_bytes(usual))))
     try:
         return written(loader.load(spark, path), "lus")
     finally:

@@ -7,6 +7,7 @@ import random
 import pytest
 
 import tamis
+from tamis.plans import catalog
 from tamis.sources import loader, records
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
@@ -111,3 +112,15 @@ def test_lines_that_end_in_a_carriage_return_alone(spark, tmp_path):
 ])
 def test_the_separator_cuts_most_evenly(sample, separator):
     assert loader.separator_of(sample) == separator
+
+
+def test_splits_of_quoted_texts_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    text = "repeat('a \"b\"\n', 200) AS text"
+    documents = spark.range(6000).selectExpr("id AS doc_id", text, "'fr' AS lang", "'s' AS source", "1200L AS n_chars")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")  # some 10 MB as text, 150 splits of 64 KB
+    seen, usual = [], spark.conf.get(SPLIT)
+    monkeypatch.setattr(catalog.loader, "load", lambda spark, path: seen.append(spark.read.text(path).rdd.getNumPartitions()) or spark.range(1))
+    catalog.csv_quoted_split(spark, str(tmp_path))
+    assert 10 < seen[0] <= 70 and spark.conf.get(SPLIT) == usual
+    assert [catalog._split_bytes(total, 128 * 1024**2) for total in (10**6, 6 * 10**9)] == [64 * 1024, 32 * 1024**2]
+    assert catalog._split_bytes(6 * 10**9, 16 * 1024**2) == 16 * 1024**2
