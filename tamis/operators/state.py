@@ -19,6 +19,8 @@ from tamis.operators.columns import NESTED, NUMERIC, ColumnRef, columns_of, fami
 from tamis.operators.duplicates import row_digest
 
 _ROWS, _SKETCHES, _EXAMPLES = "lignes", "croquis", "exemples"
+# Examples are looked for in runs of 2^10 rows of a split.
+RUN_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -53,20 +55,42 @@ def read(spark: SparkSession, folder: str, like: DataFrame, exclude: Sequence[st
 
 
 def of(df: DataFrame, place: str, exclude: Sequence[str] = ()) -> State:
-    """The state of a table; the struct column ``place`` tells where a row stands, and is not part of the table."""
+    """The state of a table; the struct column ``place`` tells where a row stands (its last field counts rows), and is not part of the table."""
     refs = columns_of(df, [place, *exclude])
     usable = [ref for ref in refs if ref.family != NESTED]
     numeric = [ref for ref in refs if ref.family in NUMERIC]
-    first = F.row_number().over(Window.partitionBy("c").orderBy("place"))
-    shown = melt(df, usable, lambda ref: text.shown(ref.printed), keep=[(quoted(place), "place")]).where("v is not null")
     tables = {
         _ROWS: df.groupBy(row_digest(refs).alias("ligne")).agg(F.count(F.lit(1)).alias("n")),
-        _EXAMPLES: shown.withColumn("rang", first).where(F.col("rang") <= fixed.EXAMPLE_COUNT).select("c", "place", "v"),
+        _EXAMPLES: _first_shown(df, usable, place),
         _SKETCHES: _sketched(melt(df, numeric, lambda ref: ref.number)) if numeric else df.sparkSession.createDataFrame([], "c int, croquis binary"),
     }
     return State(refs, tables | {_name(group): profile.counted(df, group) for group in families(refs)})
 
 
+def _first_shown(df: DataFrame, refs: Sequence[ColumnRef], place: str) -> DataFrame:
+    """Rows (c, place, v): the first values of each column, as displayed.
+
+    A rank over all cells would have every task sort the cells of its split. So the runs of rows that hold a value are counted
+    first; the first runs of a column, as many as it shows values, hold all of these, and only their cells are ranked.
+    """
+    *outer, last = df.schema[place].dataType.names
+    run = F.struct(*[quoted(place)[name].alias(name) for name in outer], F.shiftright(quoted(place)[last], RUN_BITS).alias(last))
+    filled = (
+        melt(df, refs, lambda ref: ref.printed.isNotNull(), keep=[(run, "passage")]).where("v")
+        .groupBy("c", "passage").agg(F.count(F.lit(1)).alias("n"))
+    )
+    runs = _ranked(filled, "passage").select("c", "passage")
+    cells = melt(df, refs, lambda ref: text.shown(ref.printed), keep=[(quoted(place), "place"), (run, "passage")])
+    held = cells.where("v is not null").join(F.broadcast(runs), ["c", "passage"], "left_semi")  # at most three runs a column
+    return _ranked(held, "place").select("c", "place", "v")
+
+
+def _ranked(rows: DataFrame, order: str) -> DataFrame:
+    """The first rows of each column, as many as it shows values."""
+    first = F.row_number().over(Window.partitionBy("c").orderBy(order))
+    return rows.withColumn("rang", first).where(F.col("rang") <= fixed.EXAMPLE_COUNT).drop("rang")
+
+
 def _sketched(numbers: DataFrame) -> DataFrame:
     return numbers.where("v is not null").groupBy("c").agg(quantiles.bracket().alias("croquis"))
 
@@ -76,8 +100,7 @@ def _merged(name: str, rows: DataFrame) -> DataFrame:
     if name == _SKETCHES:
         return rows.groupBy("c").agg(F.kll_merge_agg_double("croquis", quantiles.SKETCH_SIZE).alias("croquis"))
     if name == _EXAMPLES:
-        first = F.row_number().over(Window.partitionBy("c").orderBy("place"))
-        return rows.withColumn("rang", first).where(F.col("rang") <= fixed.EXAMPLE_COUNT).drop("rang")
+        return _ranked(rows, "place")
     return rows.groupBy(*[column for column in rows.columns if column != "n"]).agg(F.sum("n").alias("n"))
 
 

@@ -118,3 +118,17 @@ def test_of_two_refreshes_one_is_refused(spark, tmp_path, store, monkeypatch):
     with pytest.raises(tamis.Refused, match="entre-temps"):
         intake.refresh(spark, store, row["id"])
     assert registry.find(registry.read(spark, store.registry), row["id"])["version"] == 2
+
+
+def test_examples_are_ranked_among_few_cells(spark):
+    # Values at the start, across runs of rows and only at the end; two splits, of which the second comes first in order.
+    place = "named_struct('fichier', IF(id < 5000, 'b', 'a'), 'bloc', 0L, 'rang', id) AS p"
+    df = spark.range(0, 10000, 1, 2).selectExpr("IF(id % 3 = 0, NULL, id) AS x", "IF(id IN (4999, 6023, 6024, 9999), concat(' t ', id), NULL) AS y", "CAST(NULL AS STRING) AS z", place)
+    found = state.of(df, "p").tables["exemples"]
+    rows = sorted((row["c"], (row["place"]["fichier"], row["place"]["rang"]), row["v"]) for row in found.collect())
+    assert rows == [
+        (0, ("a", 5000), "5000"), (0, ("a", 5002), "5002"), (0, ("a", 5003), "5003"),
+        (1, ("a", 6023), "t 6023"), (1, ("a", 6024), "t 6024"), (1, ("a", 9999), "t 9999"),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan  # what is sorted was picked before
