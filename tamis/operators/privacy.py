@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions import fixed, text
@@ -20,6 +20,8 @@ from tamis.session import written
 
 TOKEN_SCHEMA = "colonne string, empreinte string, jeton string"
 VAULT_SCHEMA = "type_pii string, empreinte string, rang bigint, jeton string"
+# The type of a place in files, and the bits that are left for places of one split.
+PLACE, PLACE_BITS = "struct<fichier:string,bloc:bigint,rang:bigint>", 40
 
 
 @dataclass(frozen=True)
@@ -131,8 +133,8 @@ def tokens(
     """
     found = list(found)
     refs = _refs(df, found)
-    position = F.monotonically_increasing_id() if order_by is None else quoted(order_by)
-    rows = melt(df, refs, _masked_form(normalise), keep=[(position, "position")])
+    table, position = _by_number(df, refs, order_by)
+    rows = melt(table, refs, _masked_form(normalise), keep=[(position, "position")])
     firsts = (
         rows.where(F.col("v").isNotNull()).groupBy("c", "v")
         .agg(F.min("position").alias("premiere"), F.count(F.lit(1)).alias("occurrences"))
@@ -151,6 +153,40 @@ def tokens(
     )
 
 
+def _by_number(df: DataFrame, refs: Sequence[ColumnRef], order_by: str | None) -> tuple[DataFrame, Column]:
+    """The columns, a small table spread over the cores, and what orders the rows: a number, if it was a place in files.
+
+    Numbers are aggregated by hash, while the least of structs would have every task sort the cells of its split. A place is the number of
+    its split, in order, and the steps since the first place of it. If splits are too many for a broadcast, or a place too far, structs stay.
+    """
+    names = dict.fromkeys(ref.name for ref in refs)
+    if order_by is None or df.schema[order_by].dataType.simpleString() != PLACE:
+        position = F.monotonically_increasing_id() if order_by is None else quoted(order_by)
+        kept = _free("_place", names)
+        return spread(df.select(*map(quoted, names), position.alias(kept))), F.col(kept)
+    place = quoted(order_by)
+    table = spread(df.select(*map(quoted, names), *[place] * (order_by not in names)))
+    own = F.struct(place["fichier"].alias("fichier"), place["bloc"].alias("bloc"))
+    rang = place["rang"]
+    splits = written(df.groupBy(own.alias("split")).agg(
+        F.min(rang).alias("premier"), F.max(rang).alias("dernier"), F.count_if(place.isNull() | rang.isNull()).alias("sans")
+    ), "passages")
+    count, far, missing = splits.agg(F.count(F.lit(1)), F.max(F.col("dernier") - F.col("premier")), F.sum("sans")).head()
+    if count > BROADCAST_ROWS or missing or (far or 0) >= 1 << PLACE_BITS:
+        return table, place
+    number = F.shiftleft(F.row_number().over(Window.orderBy("split")).cast("long"), PLACE_BITS) - F.col("premier")
+    key, base = _free("_split", table.columns), _free("_base", table.columns)
+    numbered = splits.select(F.col("split").alias(key), number.alias(base))
+    return table.join(F.broadcast(numbered), own.eqNullSafe(F.col(key)), "left"), F.col(base) + rang
+
+
+def _free(wanted: str, names: Iterable[str]) -> str:
+    taken = {name.lower() for name in names}
+    while wanted in taken:
+        wanted += "_"
+    return wanted
+
+
 def _words(value: Column) -> Column:
     """The words of a text, without marks between or around them."""
     parts = F.split(F.regexp_replace(value, fixed.WORD_EDGES, " "), fixed.WORD_BREAKS)

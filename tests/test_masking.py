@@ -1,5 +1,7 @@
 """Several large columns masked together, and originals of many words found inside texts."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from tamis import intake
 from tamis.functions import fixed
 from tamis.operators import lookup, privacy
 from tamis.session import written
+from tamis.sources import loader
 
 
 def people(spark, rows):
@@ -78,3 +81,27 @@ def test_a_masked_dataset_is_audited_by_its_stored_tokens(spark, tmp_path):
     leaking = clean.withColumn("note", F.lit("écrire à u3@x.fr, merci"))
     assert tuple(intake.audit(spark, store, row["id"], leaking).head()) == (10, 1)
     assert tamis.leaks is privacy.leaks
+
+
+def test_places_in_files_are_compared_as_numbers(spark, tmp_path):
+    setting = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(setting)
+    people = [(f"p{i % 40}", f"m{i * 7 % 300}@x.fr") for i in range(900)]
+    folder = f"{tmp_path}/gens.csv"
+    spark.createDataFrame(people, "nom string, mail string").repartition(3).write.option("header", True).csv(folder)
+    spark.conf.set(setting, "2048")
+    try:
+        df = loader.load(spark, folder, with_position=True)
+        refs = privacy._refs(df, detected("nom", "mail"))
+        table, position = privacy._by_number(df, refs, "_position")
+        told = table.select("_position", position.alias("n")).collect()
+        assert len(told) == 900 and [r.n for r in sorted(told, key=lambda r: tuple(r._position))] == sorted({r.n for r in told})
+        plan = table.groupBy("nom").agg(F.min(position))._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+        firsts = {}
+        for row in sorted(df.collect(), key=lambda r: tuple(r._position)):
+            firsts.setdefault(row.mail, len(firsts) + 1)
+        ranks = {row.empreinte: row.rang for row in privacy.tokens(df, detected("mail"), order_by="_position").collect()}
+        assert ranks == {hashlib.sha256(mail.encode()).hexdigest(): rank for mail, rank in firsts.items()}
+    finally:
+        spark.conf.set(setting, usual)
